@@ -43,6 +43,27 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.select("doc_id", quality.grade_of_labels().alias("grade")))
+    return quality.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 SHARD_BYTES = 4 << 20
 
 
@@ -53,7 +74,7 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op6_media_columns, op8_extendible_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_classifier, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
