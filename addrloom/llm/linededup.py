@@ -20,11 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store, textkit
+from . import bloom, store, textkit
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits for each key of a slice, probes for each key, and keys that a slice is made for.
-BITS_PER_KEY, PROBES, SLICE_KEYS = 12, 5, 4_000_000
 
 
 def _keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -46,31 +44,6 @@ def _documents(column: pa.Array) -> Iterator[bytes]:
         yield data[a:b].tobytes()
 
 
-def _bits(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Bit positions of each probe in a filter of ``size`` bits, a power of two."""
-    mixed = textkit.mix64(hashes)
-    step = (mixed >> np.uint64(32)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(PROBES):
-            yield (mixed + np.uint64(k) * step) & np.uint64(size - 1)
-
-
-def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(hashes), bool)
-    for at in _bits(hashes, len(bits) * 8):
-        hit &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0
-    return hit
-
-
-def _add(bits: np.ndarray, hashes: np.ndarray) -> None:
-    for at in _bits(hashes, len(bits) * 8):
-        np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-
-
-def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
-
-
 def build_filters(docs: DataFrame, column: str, min_chars: int, slices: int, folder: str) -> None:
     """Write the twice-seen filter of each slice that has keys to ``folder``/<slice>."""
 
@@ -81,20 +54,19 @@ def build_filters(docs: DataFrame, column: str, min_chars: int, slices: int, fol
                 found = {_digest(k) for k in _keys(text, min_chars) if k is not None}
                 own.append(np.frombuffer(b"".join(found), "<u8")[::2])
             seen, times = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-            where = _slice_of(seen, slices)
+            where = bloom.slice_of(seen, slices)
             edge = np.searchsorted(where, np.arange(slices + 1))
             rows = [(i, seen[a:b].tobytes(), seen[a:b][times[a:b] > 1].tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "once", "twice"])
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys = sum(map(len, rows["once"])) // 8
-        size = 1 << max(10, int(np.ceil(np.log2(max(1, min(keys, 2 * SLICE_KEYS)) * BITS_PER_KEY))))
-        once, twice = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+        once, twice = (bloom.empty(min(keys, 2 * bloom.SLICE_KEYS)) for _ in range(2))
         for a, b in zip(rows["once"], rows["twice"]):
             a = np.frombuffer(a, np.uint64)
-            _add(twice, a[_holds(once, a)])
-            _add(once, a)
-            _add(twice, np.frombuffer(b, np.uint64))
+            bloom.add(twice, a[bloom.holds(once, a)])
+            bloom.add(once, a)
+            bloom.add(twice, np.frombuffer(b, np.uint64))
         store.put(f"{folder}/{int(key[0])}", twice.tobytes())
         return pd.DataFrame({"slice": [key[0]], "bytes": [len(twice)]})
 
@@ -113,11 +85,7 @@ def _suspects(column: Column, min_chars: int, slices: int, folder: str) -> Colum
                 owner += [i] * len(found)
             owner = np.array(owner, np.int64)
             h = np.frombuffer(b"".join(digests), "<u8")[::2]
-            where, hit = _slice_of(h, slices), np.zeros(len(h), bool)
-            order = np.argsort(where, kind="stable")
-            present, first = np.unique(where[order], return_index=True)
-            for s, own in zip(present, np.split(order, first[1:])):
-                hit[own] = _holds(store.mapped(f"{folder}/{s}"), h[own])
+            hit = bloom.hits(h, slices, folder)
             chosen = [d for d, y in zip(digests, hit) if y]
             edge = np.searchsorted(owner[hit], np.arange(len(batch) + 1))
             yield pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(chosen, pa.binary()))
@@ -163,7 +131,7 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     spark, names = docs.sparkSession, docs.columns
     text = F.col(f"`{column}`").cast("string")
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
-    slices = max(1, -(-lines // SLICE_KEYS))
+    slices = max(1, -(-lines // bloom.SLICE_KEYS))
     folder = store.new_folder(spark, "twice-seen")
     build_filters(docs.where("doc_id IS NOT NULL").select(text.alias("text")), "text", min_chars, slices, folder)
     suspects = _suspects(F.when(F.col("doc_id").isNotNull(), text), min_chars, slices, folder)

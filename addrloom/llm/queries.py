@@ -73,8 +73,15 @@ def op8_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), ["doc_id"], F.octet_length("text"), SHARD_BYTES)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    kept = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_classifier, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_classifier, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

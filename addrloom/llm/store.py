@@ -43,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` written as a table in the shared folder, compressed, and read again."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -71,15 +78,19 @@ def put(uri: str, data: bytes | memoryview) -> None:
 _MAPPED: dict[str, np.ndarray] = {}
 
 
-def mapped(uri: str) -> np.ndarray:
-    """The bytes of a shared file, mapped into memory; kept for the life of the worker."""
+def mapped(uri: str) -> np.ndarray | None:
+    """The bytes of a shared file, mapped into memory and kept for the life of the worker; None if there is none."""
     if uri not in _MAPPED:
         if (path := _local(uri)) is not None:
+            if not os.path.exists(path):
+                return None
             _MAPPED[uri] = np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
         else:
             from pyarrow import fs
 
             system, path = fs.FileSystem.from_uri(uri)
+            if system.get_file_info(path).type == fs.FileType.NotFound:
+                return None
             with tempfile.NamedTemporaryFile() as f, system.open_input_stream(path) as source:
                 shutil.copyfileobj(source, f, 1 << 22)
                 f.flush()

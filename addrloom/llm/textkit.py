@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -33,8 +33,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LOWER_BYTE = _BYTE[_LOWER]
+BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LOWER_BYTE = BYTE_HASH[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -92,7 +92,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
     with np.errstate(over="ignore"):
-        terms = (_LOWER_BYTE if lower else _BYTE)[data[within + np.repeat(starts, lengths)]] * _powers(int(lengths.max()))[within]
+        terms = (_LOWER_BYTE if lower else BYTE_HASH)[data[within + np.repeat(starts, lengths)]] * _powers(int(lengths.max()))[within]
         return mix64(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
