@@ -37,6 +37,13 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy("position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op5_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import knn
+
+    rows = table(spark, sf_dir, "embeddings")
+    return knn.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -81,7 +88,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_classifier, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_classifier, op5_voronoi_topk, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
