@@ -50,6 +50,14 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op3_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    return lm.score_documents(docs, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -88,7 +96,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_classifier, op5_voronoi_topk, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_kneser_ney_scoring, op4_quality_classifier, op5_voronoi_topk, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
