@@ -92,7 +92,8 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float =
     sources are one source; repeated rows are documents of their own.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
-    rows = store.cut(rows.withColumn("_order", F.xxhash64(F.lit(7), "doc_id", "source", "size")))
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(7), "doc_id", "source", "size"))
+    rows = store.table(rows, "mix") if carry else store.cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     sizes = store.cut(sizes)
     schedule = turn_schedule(sizes.select("source")) if schedule is None else schedule
