@@ -15,6 +15,7 @@ in practice have a few thousand.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from . import store, textkit
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
+ENCODE_WORDS = 20_000
 PIECES_PER_BUCKET = 20_000
 
 
@@ -34,6 +36,7 @@ class WordCache:
     """Token ids of words, in flat arrays found by a 64-bit hash; starts afresh beyond ``CACHE_WORDS`` words."""
 
     def __init__(self, tokenizer_path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -49,24 +52,27 @@ class WordCache:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        wanted, sample, which = np.unique(textkit.word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+        # The tokenizer lower-cases all but its special tokens, which begin with <|.
+        lower = data.tobytes().find(b"<|") < 0
+        wanted, sample, which = np.unique(textkit.word_hashes(data, starts, ends, lower), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, wanted)
         new = np.ones(len(wanted), bool)
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != wanted[inside]
         if new.any():
             raw = data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
+            begin, end = starts[sample[new]].tolist(), ends[sample[new]].tolist()
+            count, flat = np.zeros(len(begin), np.int64), []
+            for s in range(0, len(begin), ENCODE_WORDS):  # the tokenizer's own results are large
+                found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(begin[s : s + ENCODE_WORDS], end[s : s + ENCODE_WORDS])], add_special_tokens=False)]
+                count[s : s + ENCODE_WORDS] = np.fromiter(map(len, found), np.int64, len(found))
+                flat.append(np.fromiter((i for ids in found for i in ids), np.uint32))
+            flat = np.concatenate(flat)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             self.ids[self.used : self.used + len(flat)] = flat
-            keys = np.concatenate((self.keys, wanted[new]))
-            order = np.argsort(keys, kind="stable")
-            first = np.concatenate((self.first, self.used + np.cumsum(count) - count))
-            self.keys, self.first, self.count = keys[order], first[order], np.concatenate((self.count, count))[order]
+            first = self.used + np.cumsum(count) - count
+            self.keys, self.first, self.count = np.insert(self.keys, at[new], wanted[new]), np.insert(self.first, at[new], first), np.insert(self.count, at[new], count)
             self.used += len(flat)
             at = np.searchsorted(self.keys, wanted)
         count, first = self.count[at][which], self.first[at][which]
@@ -74,6 +80,23 @@ class WordCache:
         return self.ids[np.arange(int(count.sum())) + np.repeat(first - ahead, count)], count
 
 
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[list(b".,;:!?")] = True
+
+
+def part_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a last stop after an ASCII letter in two: the tokenizer parts them there too, so fewer words are new."""
+    last = _STOP[data[ends - 1]] & (ends - starts > 1) & _LETTER[data[np.maximum(ends - 2, 0)]]
+    at = np.flatnonzero(last) + 1
+    cuts = ends[last] - 1
+    ahead = np.concatenate(([0], np.cumsum(last)))
+    return np.insert(starts, at, cuts), np.insert(np.where(last, ends - 1, ends), at, ends[last]), bounds + ahead[bounds]
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, text: str = "text") -> DataFrame:
     """Token ids of every whole text, id 0 at the end, cut at ``capacity`` only where longer.
 
@@ -83,11 +106,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_path)
+        if tokenizer_path not in _CACHES:  # it outlives the task with its worker
+            _CACHES[tokenizer_path] = WordCache(tokenizer_path)
+        cache = _CACHES[tokenizer_path]
         for batch in batches:
             data, offsets = textkit.byte_column(batch.column(1))
-            for row, end, part, at in textkit.chunks(data, offsets, 2 * textkit.CHUNK_BYTES):
-                starts, ends, bounds = textkit.word_bounds(part, at)
+            for row, end, part, at in textkit.chunks(data, offsets, textkit.CHUNK_BYTES // 2):
+                starts, ends, bounds = part_stops(part, *textkit.word_bounds(part, at))
                 ids, count = cache.ids_of(part, starts, ends)
                 edge = np.concatenate(([0], np.cumsum(count)))[bounds]
                 doc, piece, start, length, crc = [], [], [], [], []
