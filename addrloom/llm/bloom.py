@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +57,12 @@ def hits(hashes: np.ndarray, slices: int, folder: str) -> np.ndarray:
 
 
 def once(digests: DataFrame, column: str) -> tuple[str, int]:
-    """Filters over the first eight bytes of a binary column: their folder and the number of slices."""
+    """Filters over the first eight bytes of a binary column: their folder and the number of slices.
+
+    The rows are read twice, so they had better come from a table.
+    """
     spark = digests.sparkSession
-    digests = store.table(digests.select(F.col(column).alias("d")), "keys")
+    digests = digests.select(F.col(column).alias("d"))
     slices = max(1, -(-digests.count() // SLICE_KEYS))
     folder = store.new_folder(spark, "bloom")
 
@@ -74,3 +78,43 @@ def once(digests: DataFrame, column: str) -> tuple[str, int]:
     rows = digests.select(F.substring("d", 1, 8).alias("k"), F.shiftright(high * slices, 32).alias("slice"))
     rows.groupBy("slice").applyInPandas(build, "slice long").write.format("noop").mode("overwrite").save()
     return folder, slices
+
+
+def twice(lists: DataFrame, keys: int) -> tuple[str, int]:
+    """Filters over the hashes that occur at least twice in the packed lists (hashes binary) of about ``keys`` in all."""
+    folder = store.new_folder(lists.sparkSession, "twice")
+    slices = max(1, -(-keys // SLICE_KEYS))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                h, times = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
+                where = slice_of(h, slices)
+                edge = np.searchsorted(where, np.arange(slices + 1))
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    a, b = edge[s], edge[s + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([h[a:b].tobytes()], pa.binary()), pa.array([h[a:b][times[a:b] > 1].tobytes()], pa.binary())], ["slice", "once", "twice"])
+
+    merge_twice(lists.mapInArrow(deal, "slice long, once binary, twice binary"), folder)
+    return folder, slices
+
+
+def merge_twice(dealt: DataFrame, folder: str) -> None:
+    """Write the twice-seen filter of each slice of (slice, once, twice) to ``folder``/<slice>.
+
+    ``once`` holds the distinct hashes of a part of the data, ``twice`` those that are
+    repeated within it. A hash that the once-seen filter held already, or that a part
+    has twice, goes to the twice-seen filter.
+    """
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held, again = (empty(min(sum(map(len, rows["once"])) // 8, 2 * SLICE_KEYS)) for _ in range(2))
+        for a, b in zip(rows["once"], rows["twice"]):
+            a = np.frombuffer(a, np.uint64)
+            add(again, a[holds(held, a)])
+            add(held, a)
+            add(again, np.frombuffer(b, np.uint64))
+        store.put(f"{folder}/{int(key[0])}", again.tobytes())
+        return pd.DataFrame({"slice": [key[0]], "bytes": [len(again)]})
+
+    dealt.groupBy("slice").applyInPandas(merge, "slice long, bytes long").write.format("noop").mode("overwrite").save()

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -59,18 +58,7 @@ def build_filters(docs: DataFrame, column: str, min_chars: int, slices: int, fol
             rows = [(i, seen[a:b].tobytes(), seen[a:b][times[a:b] > 1].tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "once", "twice"])
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = sum(map(len, rows["once"])) // 8
-        once, twice = (bloom.empty(min(keys, 2 * bloom.SLICE_KEYS)) for _ in range(2))
-        for a, b in zip(rows["once"], rows["twice"]):
-            a = np.frombuffer(a, np.uint64)
-            bloom.add(twice, a[bloom.holds(once, a)])
-            bloom.add(once, a)
-            bloom.add(twice, np.frombuffer(b, np.uint64))
-        store.put(f"{folder}/{int(key[0])}", twice.tobytes())
-        return pd.DataFrame({"slice": [key[0]], "bytes": [len(twice)]})
-
-    docs.select(column).mapInArrow(hashes, "slice long, once binary, twice binary").groupBy("slice").applyInPandas(merge, "slice long, bytes long").write.format("noop").mode("overwrite").save()
+    bloom.merge_twice(docs.select(column).mapInArrow(hashes, "slice long, once binary, twice binary"), folder)
 
 
 def _suspects(column: Column, min_chars: int, slices: int, folder: str) -> Column:

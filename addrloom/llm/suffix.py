@@ -11,10 +11,13 @@ places are compared, the rest follow by subtracting one.
 ``repeated_spans`` finds, over all documents, the bytes that are covered by a
 string of ``length`` bytes that also starts elsewhere. Documents meet in shards
 by anchors: the anchor of a window of ``length`` bytes is the place inside it
-whose gram has the least hash, so equal windows have equal anchors. An anchor's
-context is all the text that its windows can cover. Contexts of one anchor
-hash meet in one shard, equal ones as a single string with a weight, and the
-shard's suffix array decides which of their windows repeat.
+whose gram has the least hash, so equal windows have equal anchors at equal
+distances. An anchor's windows go by steps of that distance into cells, and the
+bytes that all windows of a cell share are its core: cells whose core lies
+nowhere else hold no repeat. Bloom filters spare such cells the shuffle. Equal
+cell texts are one string with a weight; a string of weight 2 repeats
+throughout, and the suffix array of a shard decides for each string in whose
+company, by its core, another text was found, which of its windows repeat.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 
 from . import bloom, store, textkit
 
-LENGTH, GRAM = 400, 32
-SHARD_BYTES = 3 << 20
-#: Contexts of one anchor that one suffix array takes; beyond it their windows are counted in Spark.
-GROUP_CONTEXTS = 12_000
+LENGTH, GRAM, STEP = 400, 16, 64
+SHARD_BYTES = 1 << 20
+#: Strings of one core that one suffix array takes; beyond it their windows are counted in Spark.
+GROUP_STRINGS = 6_000
 
 
 # --- suffix arrays
@@ -105,29 +108,38 @@ def _induce_buckets(text: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.
 
 
 def _induce_steps(text: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The same, one suffix after the other, for large alphabets."""
+    """The same, one suffix after the other, for large alphabets.
+
+    The list holds for each suffix the one before it in the text, and -1 both for none
+    and for a place still empty; the last symbol is of the other type in either pass,
+    so that index skips itself. Each pass writes ahead of where it reads.
+    """
     n = len(text)
     ends = np.cumsum(sizes)
-    heads = (ends - sizes).tolist()
-    t, small = text.tolist(), s.tolist()
-    array = np.full(n, -1, np.int64)
+    array = np.zeros(n, np.int64)
     _spread(array, ends.copy(), lms[::-1], text[lms[::-1]], True)
-    sa = array.tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = t[j]
-            sa[heads[c]] = j
-            heads[c] += 1
-    tails = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = t[j]
-            tails[c] -= 1
-            sa[tails[c]] = j
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
+    sa = (array - 1).tolist()
+    bucket = np.where(s, -1, text).tolist()
+    free = (ends - sizes).tolist()
+    for j in sa:
+        c = bucket[j]
+        if c >= 0:
+            k = free[c]
+            sa[k] = j - 1
+            free[c] = k + 1
+    bucket = np.where(s, text, -1)
+    bucket[-1] = -1
+    bucket = bucket.tolist()
+    free = ends.tolist()
+    for j in reversed(sa):
+        c = bucket[j]
+        if c >= 0:
+            k = free[c] - 1
+            sa[k] = j - 1
+            free[c] = k
+    out = np.array(sa, np.int64) + 1
+    out[0] = n - 1
+    return out
 
 
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -259,81 +271,118 @@ def _gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
 STRETCH, PLACE_BITS = 1 << 20, np.uint64(24)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors of all windows of ``length`` bytes within a document.
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, its hash, first window, last window) of all windows of ``length`` bytes within a document.
 
     A window's anchor is the leftmost of its grams with the least leading 40 bits of
     the hash, which depends on the window's bytes alone.
     """
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     width, low_bits = length - gram + 1, (np.uint64(1) << PLACE_BITS) - np.uint64(1)
     end_of = np.repeat(offsets[1:], np.diff(offsets))
+    found = []
     for s in range(0, len(data) - length + 1, STRETCH):
         part = data[s : s + STRETCH + length - 1]
         h = _gram_hashes(part, gram)
         key = (h & ~low_bits) | np.arange(len(h), dtype=np.uint64)
-        size = 1
-        low = key
+        size, low = 1, key
         while size * 2 <= width:
             low = np.minimum(low[:-size], low[size:])
             size *= 2
         n, gap = len(key) - width + 1, width - size
-        low = np.minimum(low[:n], low[gap : gap + n])
+        at = (np.minimum(low[:n], low[gap : gap + n]) & low_bits).astype(np.int64)
         inside = np.arange(s, s + n) + length <= end_of[s : s + n]
-        at = (low[inside] & low_bits).astype(np.int64)
-        at = np.unique(at[np.concatenate(([True], at[1:] != at[:-1]))]) if len(at) else at
-        places.append(at + s)
-        hashes.append(h[at])
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
+        edge = np.ones(n, bool)
+        edge[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])
+        first = np.flatnonzero(edge)
+        last = np.append(first[1:], n) - 1
+        keep = inside[first]
+        first, last = first[keep], last[keep]
+        found.append((at[first] + s, h[at[first]], first + s, last + s))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none
+    return tuple(np.concatenate(c) for c in zip(*found))  # type: ignore[return-value]
 
 
 # --- over all documents
 
-OCCURRENCES = "h long, ctx long, digest binary, pos long, place long"
+#: A cell of windows: hash of its core, hash of its text, first window and number of windows.
+CELL = np.dtype([("core", "<i8"), ("text", "<i8"), ("lo", "<i8"), ("n", "<i4")])
 
 
 def _base(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True) >> 1
 
 
-def occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, ctx, digest, pos, place) of each anchor of each text: its hash, the hash of its context, where it is.
+def cells(raw: bytes, at: int, end: int, found: tuple[np.ndarray, ...], length: int, step: int) -> np.ndarray:
+    """The cells of one document's anchors, lo counted from its start ``at``."""
+    hash64, out = xxhash.xxh3_64_intdigest, []
+    for p, h, s0, s1 in zip(*(x.tolist() for x in found)):
+        for j in range((p - s1) // step, (p - s0) // step + 1):
+            lo, hi = max(s0, p - step * (j + 1) + 1), min(s1, p - step * j)
+            core = hash64(raw[p - step * j : p - step * (j + 1) + 1 + length], h ^ j)
+            out.append((core, hash64(raw[lo : hi + length], core ^ (p - lo)), lo - at, hi - lo + 1))
+    table = np.zeros(len(out), CELL)
+    if out:
+        core, text, lo, n = zip(*out)
+        table["core"], table["text"] = np.array(core, np.uint64).view(np.int64), np.array(text, np.uint64).view(np.int64)
+        table["lo"], table["n"] = lo, n
+    return table
 
-    Texts that a task meets again are passed over; a text that two tasks meet gives
-    equal rows, which count as one place.
-    """
+
+def packed_cells(texts: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """(digest, cells) of each text; one that a task meets again in a batch is passed over."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[bytes] = set()
             data, offsets = textkit.byte_column(batch.column(0))
             for _, _, part, at in textkit.chunks(data, offsets):
-                places, hashes = anchors(part, at, length, gram)
-                if not len(places):
-                    continue
-                owner = np.searchsorted(at, places, "right") - 1
+                found = anchors(part, at, length, gram)
                 raw = part.tobytes()
-                digests, fresh = {}, np.zeros(len(at) - 1, bool)
-                for i in np.unique(owner).tolist():
-                    digests[i] = hashlib.md5(raw[at[i] : at[i + 1]]).digest()
-                    fresh[i] = digests[i] not in seen
-                    seen.add(digests[i])
-                keep = fresh[owner]
-                places, hashes, owner = places[keep], hashes[keep], owner[keep]
-                begin = np.maximum(places - (length - gram), at[owner])
-                end = np.minimum(places + length, at[owner + 1])
-                ctx = np.array([xxhash.xxh3_64_intdigest(raw[a:b], seed=p - a) for a, b, p in zip(begin.tolist(), end.tolist(), places.tolist())], np.uint64)
-                pos = places - at[owner]
-                base = np.zeros(len(at), np.int64)
-                for i, d in digests.items():
-                    base[i] = _base(d)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array([digests[i] for i in owner.tolist()], pa.binary()), pa.array(pos), pa.array(base[owner] + pos)],
-                    ["h", "ctx", "digest", "pos", "place"],
-                )
-
-    return texts.select("text").mapInArrow(find, OCCURRENCES)
+                edge = np.searchsorted(found[2], at)
+                digests, made = [], []
+                for i in np.flatnonzero(np.diff(edge)).tolist():
+                    digest = hashlib.md5(raw[at[i] : at[i + 1]]).digest()
+                    if digest not in seen:
+                        seen.add(digest)
+                        digests.append(digest)
+                        made.append(cells(raw, int(at[i]), int(at[i + 1]), tuple(x[edge[i] : edge[i + 1]] for x in found), length, step).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(made, pa.binary())], ["digest", "cells"])
+
+    return texts.select("text").mapInArrow(find, "digest binary, cells binary")
+
+
+OCCURRENCES = "core long, text long, digest binary, lo long, n int, place long"
+
+
+def suspected(packed: DataFrame) -> DataFrame:
+    """(core, text, digest, lo, n, place) of the cells whose core a filter holds twice."""
+
+    total = packed.agg(F.sum(F.octet_length("cells")).alias("n")).first()["n"] or 0
+    folder, slices = bloom.twice(packed.select("cells").mapInArrow(_core_lists, "hashes binary"), total // CELL.itemsize)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(c, CELL) for c in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(own)), [len(c) for c in own])
+            table = np.concatenate(own) if own else np.zeros(0, CELL)
+            hit = bloom.hits(np.ascontiguousarray(table["core"]).view(np.uint64), slices, folder)
+            table, owner = table[hit], owner[hit]
+            base = np.array([_base(d) for d in batch.column(0).to_pylist()], np.int64)
+            lo = np.ascontiguousarray(table["lo"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(table["core"])), pa.array(np.ascontiguousarray(table["text"])), batch.column(0).take(pa.array(owner)), pa.array(lo), pa.array(np.ascontiguousarray(table["n"])), pa.array(base[owner] + lo)],
+                ["core", "text", "digest", "lo", "n", "place"],
+            )
+
+    return packed.mapInArrow(pick, OCCURRENCES)
+
+
+def _core_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(c, CELL)["core"] for c in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(own).tobytes() if own else b""], pa.binary())], ["hashes"])
 
 
 def _spans(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,65 +393,59 @@ def _spans(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets[first], np.append(offsets[:-1][first[1:]], offsets[-1]) + length
 
 
-CONTEXTS = "h long, ctx long, place long, weight int, head long, bytes binary"
+STRINGS = "core long, text long, place long, weight int, bytes binary"
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The contexts of (digest, anchors: h, ctx, pos, weight), cut from ``texts`` (digest, text)."""
+def _strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The texts of (digest, cells: core, text, lo, n, weight), cut from ``texts`` (digest, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
-            digest = batch.column("digest").to_pylist()
             data, offsets = textkit.byte_column(batch.column("text"))
-            lists, out = batch.column("anchors"), []
-            for i, d in enumerate(digest):
+            lists, out = batch.column("cells"), []
+            for i, d in enumerate(batch.column("digest").to_pylist()):
                 if d == before:
                     continue
                 before = d
                 raw, base = data[offsets[i] : offsets[i + 1]].tobytes(), _base(d)
                 for x in lists[i].as_py():
-                    a = max(0, x["pos"] - (length - gram))
-                    out.append((x["h"], x["ctx"], base + a, x["weight"], x["pos"] - a, raw[a : x["pos"] + length]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["h", "ctx", "place", "weight", "head", "bytes"])
+                    out.append((x["core"], x["text"], base + x["lo"], x["weight"], raw[x["lo"] : x["lo"] + x["n"] + length - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["core", "text", "place", "weight", "bytes"])
 
-    return texts.join(wanted, "digest").select("digest", "text", "anchors").mapInArrow(cut, CONTEXTS)
+    return texts.join(wanted, "digest").select("digest", F.col("body").alias("text"), "cells").mapInArrow(cut, STRINGS)
 
 
-SPANS = "h long, ctx long, a long, b long"
+SPANS = "core long, text long, a long, b long"
 
 
-def _shard_spans(contexts: DataFrame, total: int, length: int) -> DataFrame:
-    """Repeated spans of each context, relative to its anchor, by the suffix array of each shard."""
+def _shard_spans(strings: DataFrame, total: int, length: int) -> DataFrame:
+    """Repeated spans of each string by the suffix array of its shard."""
     shards = max(1, -(-total // SHARD_BYTES))
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["h", "ctx"])
+        rows = rows.drop_duplicates(["core", "text"])
         found = repeated_windows(list(rows["bytes"]), rows["place"].to_numpy(), rows["weight"].to_numpy(), length)
-        out = []
-        for h, c, head, offsets in zip(rows["h"], rows["ctx"], rows["head"], found):
-            for a, b in zip(*_spans(offsets, length)):
-                out.append((h, c, a - head, b - head))
-        return pd.DataFrame(out, columns=["h", "ctx", "a", "b"]).astype("int64")
+        out = [(c, t, a, b) for c, t, offsets in zip(rows["core"], rows["text"], found) for a, b in zip(*_spans(offsets, length))]
+        return pd.DataFrame(out, columns=["core", "text", "a", "b"]).astype("int64")
 
-    return contexts.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(solve, SPANS)
+    return strings.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards))).groupBy("shard").applyInPandas(solve, SPANS)
 
 
-def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with more contexts than one suffix array takes: every window is counted by its digest."""
+def _window_spans(strings: DataFrame, length: int) -> DataFrame:
+    """The same for cores with more strings than one suffix array takes: every window is counted by its digest."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c, place, weight, head, raw in zip(*(batch.column(k).to_pylist() for k in ("h", "ctx", "place", "weight", "head", "bytes"))):
+            for c, t, place, weight, raw in zip(*(batch.column(k).to_pylist() for k in ("core", "text", "place", "weight", "bytes"))):
                 n = len(raw) - length + 1
-                if n > 0:
-                    w = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
-                    a = np.arange(n) - head
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(a), pa.array(a + length), pa.array(w, pa.binary()), pa.array(np.arange(n) + place), pa.array(np.full(n, weight, np.int32))], ["h", "ctx", "a", "b", "w", "place", "weight"])
+                a = np.arange(n)
+                w = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.full(n, t)), pa.array(a), pa.array(a + length), pa.array(w, pa.binary()), pa.array(a + place), pa.array(np.full(n, weight, np.int32))], ["core", "text", "a", "b", "w", "place", "weight"])
 
-    rows = contexts.dropDuplicates(["h", "ctx"]).mapInArrow(windows, SPANS + ", w binary, place long, weight int")
-    again = rows.groupBy("w").agg(F.min("place").alias("lo"), F.max("place").alias("hi"), F.max("weight").alias("m")).where("lo < hi OR m > 1").select("w")
-    return rows.join(again, "w").select("h", "ctx", "a", "b")
+    rows = strings.dropDuplicates(["core", "text"]).mapInArrow(windows, SPANS + ", w binary, place long, weight int")
+    again = rows.groupBy("w").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("weight").alias("m")).where("first < last OR m > 1").select("w")
+    return rows.join(again, "w").select("core", "text", "a", "b")
 
 
 def _only(column: Column, folder: str, slices: int) -> Column:
@@ -420,44 +463,42 @@ def _near(texts: DataFrame, digests: DataFrame) -> DataFrame:
     return texts.where(_only(F.col("digest"), folder, slices))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(digest, n_copies) of the texts, and (digest, spans: a, b) of texts that occur once and hold repeats.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(digest) of the texts that occur twice or more, and (digest, spans: a, b) of texts that occur once and hold repeats.
 
     A text is known by its MD5. A text of ``length`` bytes or more that occurs twice
     repeats throughout, so it has no spans listed.
     """
     text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text")).where(F.octet_length("text") >= length)
-    copies = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_copies"))
-    occ = store.table(occurrences(texts, length, gram), "anchors")
-    groups = occ.groupBy("h", "ctx").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    kinds = groups.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    groups = store.table(groups.join(kinds, "h").where("kinds > 1 OR lo < hi").withColumn("weight", F.when(F.col("lo") < F.col("hi"), 2).otherwise(1)), "contexts")
-    several = groups.where("kinds > 1")
-    first = several.select("h", "ctx", "weight", F.col("lo").alias("place"), "kinds")
-    chosen = store.table(occ.join(first, ["h", "ctx", "place"]).dropDuplicates(["h", "ctx"]).select("digest", "h", "ctx", "pos", "weight", "kinds"), "chosen")
-    hashed = texts.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    wanted = chosen.groupBy("digest").agg(F.collect_list(F.struct("h", "ctx", "pos", "weight")).alias("anchors"))
-    contexts = _contexts(_near(hashed, chosen.select("digest").distinct()), wanted, length, gram)
-    large = several.where(F.col("kinds") > GROUP_CONTEXTS).select("h").distinct()
-    total = several.where(F.col("kinds") <= GROUP_CONTEXTS).count() * (2 * length - gram)
+    copies = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = store.table(copies.select("digest"), "copies")
+    occ = store.table(suspected(store.table(packed_cells(texts, length, gram, step), "cells")), "suspected")
+    strings = occ.groupBy("core", "text").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("n").alias("n"))
+    kinds = strings.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.col("first") < F.col("last")).alias("plain"))
+    strings = store.table(strings.join(kinds, "core").where("kinds > 1 OR first < last").withColumn("weight", F.when(F.col("first") < F.col("last"), 2).otherwise(1)), "strings")
+    # A string that lies at several places repeats throughout; arrays are for cores where some string does not.
+    mixed = strings.where("kinds > 1 AND NOT plain")
+    first = mixed.select("core", "text", "weight", F.col("first").alias("place"))
+    chosen = store.table(occ.join(first, ["core", "text", "place"]).dropDuplicates(["core", "text"]).select("digest", "core", "text", "lo", "n", "weight"), "chosen")
+    hashed = docs.select(text.alias("body")).where(F.octet_length("body") >= length).withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
+    wanted = chosen.groupBy("digest").agg(F.collect_list(F.struct("core", "text", "lo", "n", "weight")).alias("cells"))
+    cut = _strings(_near(hashed, chosen), wanted, length)
+    large = mixed.where(F.col("kinds") > GROUP_STRINGS).select("core").distinct()
+    total = mixed.where(F.col("kinds") <= GROUP_STRINGS).agg(F.sum(F.col("n") + length).alias("b")).first()["b"] or 0
     if large.isEmpty():
-        spans = _shard_spans(contexts, total, length)
+        spans = _shard_spans(cut, total, length)
     else:
-        contexts = store.table(contexts, "bytes")
-        spans = _shard_spans(contexts.join(large, "h", "left_anti"), total, length).unionByName(_window_spans(contexts.join(large, "h", "left_semi"), length))
-    # A context that occurs at several places repeats throughout.
-    alone = groups.where("weight > 1").select("h", "ctx", F.lit(-(length - gram)).cast("long").alias("a"), F.lit(length).cast("long").alias("b"))
+        cut = store.table(cut, "bytes")
+        spans = _shard_spans(cut.join(large, "core", "left_anti"), total, length).unionByName(_window_spans(cut.join(large, "core", "left_semi"), length))
+    alone = strings.where("weight > 1").select("core", "text", F.lit(0).cast("long").alias("a"), (F.col("n") + F.lit(length - 1)).cast("long").alias("b"))
     spans = spans.unionByName(alone)
-    of_text = occ.join(spans, ["h", "ctx"]).select("digest", F.greatest(F.col("pos") + F.col("a"), F.lit(0)).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
-    found = of_text.join(copies.where("n_copies = 1"), "digest", "left_semi").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    of_text = occ.join(spans, ["core", "text"]).select("digest", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
+    found = of_text.join(copies, "digest", "left_anti").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     return copies, found
 
 
-RESULT = "n_removed long, n_spans long, kept string"
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, column: str = "text") -> DataFrame:
     """``docs`` with ``column`` as bytes less every repeated string of ``length`` bytes, and n_bytes, n_removed, n_spans.
 
     Each byte goes that is covered by a string of ``length`` bytes that also starts
@@ -468,12 +509,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, colu
     """
     if clash := {"n_bytes", "n_removed", "n_spans", "_digest"} & set(docs.columns):
         raise ValueError(f"{sorted(clash)} are columns already")
-    copies, found = repeated_spans(docs, length, gram, column)
+    copies, found = repeated_spans(docs, length, gram, step, column)
     found = store.table(found, "spans")
     raw = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")
     rows = docs.withColumn("_raw", raw).withColumn("digest", F.unhex(F.md5("_raw")))
     folder, slices = bloom.once(found.select("digest"), "digest")
-    twice, many = bloom.once(copies.where("n_copies > 1").select("digest"), "digest")
+    twice, many = bloom.once(copies, "digest")
     rows = rows.withColumn("_maybe", _only(F.col("digest"), folder, slices) | ((F.octet_length("_raw") >= length) & _only(F.col("digest"), twice, many)))
 
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -500,7 +541,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, colu
     out = lambda df, kept, removed, spans: df.select(*[kept.alias(c) if c == column else F.col(f"`{c}`") for c in names], size.alias("n_bytes"), removed.alias("n_removed"), spans.alias("n_spans"))
     zero = F.lit(0).cast("long")
     clean = out(rows.where("NOT _maybe"), F.col("_raw"), zero, zero)
-    again = copies.where("n_copies > 1").select("digest", F.lit(True).alias("_again"))
+    again = copies.select("digest", F.lit(True).alias("_again"))
     rest = rows.where("_maybe").join(again, "digest", "left").join(found, "digest", "left")
     gone = rest.where(F.col("_again") & (F.octet_length("_raw") >= length))
     gone = out(gone, F.lit(b""), size, F.lit(1).cast("long"))
