@@ -21,6 +21,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from . import store
+
+    store.text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -35,6 +35,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             data, offsets = textkit.byte_column(batch.column(1))
+            textkit.release(len(data))
             raw = data.tobytes().lower()
             out = np.zeros(len(batch), np.uint64)
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -153,7 +154,8 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
         if len(keys):
             yield compare(keys, values)
 
-    found = store.cut(ordered.mapInArrow(verify, "a long, b long, over boolean"))
+    with store.short_rows(prints.sparkSession):
+        found = store.cut(ordered.mapInArrow(verify, "a long, b long, over boolean"))
     out = found.where("NOT over").select("a", "b")
     large = found.where("over").select(F.col("a").alias("variant"))
     return out if large.isEmpty() else out.unionByName(_large_links(made, large, bits))

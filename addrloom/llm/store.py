@@ -10,10 +10,12 @@ process into an unlinked temporary file.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -98,6 +100,28 @@ def mapped(uri: str) -> np.ndarray | None:
     return _MAPPED[uri]
 
 
+#: Rows of an Arrow batch of texts: an executor holds a few batches at a time, and texts can be long.
+TEXT_ROWS, SHORT_ROWS = 512, 10_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on no Arrow batch of this session has more than ``TEXT_ROWS`` rows."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH, str(TEXT_ROWS))
+
+
+@contextlib.contextmanager
+def short_rows(spark: SparkSession) -> Iterator[None]:
+    """What runs inside handles short rows in larger Arrow batches."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(SHORT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def spread(df: DataFrame, rows: int, each: int) -> int:
     """Partitions for ``rows`` rows at about ``each`` to a partition, the session's setting at least."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

@@ -7,6 +7,7 @@ document makes a chunk of its own), so memory does not follow the batch size.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,24 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+_PASSED = [0]
+_RELEASE_BYTES = 24 << 20
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
+
+
+def release(passed: int = _RELEASE_BYTES) -> None:
+    """Give freed memory back once enough bytes have passed: two workers and a JVM share an executor's memory."""
+    _PASSED[0] += passed
+    if _PASSED[0] >= _RELEASE_BYTES:
+        _PASSED[0] = 0
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+
+
 def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of documents of about ``limit`` bytes."""
     n, row = len(offsets) - 1, 0
@@ -68,6 +87,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
         end = min(max(end, row + 1), n)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        release(int(offsets[end] - offsets[row]))
         row = end
 
 

@@ -29,6 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat over documents; n_chars follows. A text may become empty and stays."""
+    store.text_batches(spark)
     kept = linededup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -39,6 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that share that doc_id the first by text stays. Texts that are null or
     blank all have the fingerprint 0 and so are one group.
     """
+    store.text_batches(spark)
     groups = simhash.near_duplicates(docs).where("component_rows > 1").select("doc_id", "component_id").distinct()
     losers = groups.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"))
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
@@ -62,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy's pieces with their sequence and offset."""
+    store.text_batches(spark)
     return packing.pack_documents(docs, tokenizer_path(), 2048)
 
 
