@@ -196,7 +196,7 @@ def resolve(addresses: DataFrame, gaz: Gazetteer, today: date, poi: DataFrame |
 def request_errors(addresses: DataFrame) -> DataFrame:
     """(addr_id, error) of texts that are blank and dates that are no dates, for string columns address and as_of_date."""
     blank = F.col("address").isNull() | (F.trim("address") == "")
-    bad = F.col("as_of_date").isNotNull() & F.try_to_date("as_of_date", F.lit("yyyy-MM-dd")).isNull()
+    bad = F.col("as_of_date").isNotNull() & F.try_to_date("as_of_date", "yyyy-MM-dd").isNull()
     return addresses.select("addr_id", F.when(blank, "address must not be empty").when(bad, "as_of_date must be an ISO date").alias("error")).where("error IS NOT NULL")
 
 

@@ -410,7 +410,7 @@ def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONF = (
     "WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate, {score} AS score, 1 + (d IS NOT NULL)::INT + (w IS NOT NULL)::INT AS depth, CASE WHEN o_orderkey % 2 = 0 THEN 'post_merger' ELSE 'pre_merger' END AS era, o_custkey % 25 AS gap FROM (SELECT *, {sims} FROM orders)), "
     "b AS (SELECT *, least(score / CASE WHEN era = 'post_merger' THEN 26 ELSE 40 END, 1) * CASE WHEN gap < 3 THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN depth = 1 THEN 0.70::DOUBLE WHEN depth < CASE WHEN era = 'post_merger' THEN 2 ELSE 3 END THEN 0.88::DOUBLE ELSE 1 END AS raw FROM a), "
-    "c AS (SELECT *, round_even(CAST(least(raw, 1) AS DECIMAL(18, 12)), 3)::DOUBLE AS confidence FROM b) "
+    "c AS (SELECT *, round_even(CAST(CAST(least(raw, 1) AS VARCHAR) AS DECIMAL(38, 20)), 3)::DOUBLE AS confidence FROM b) "
 ).format(score=SQL_SCORE, sims=SIMS)
 
 
