@@ -26,7 +26,7 @@ from . import textkit
 PREFIX_BYTES = (4, 5)
 SHARES = ("capitals", "marks", "digits", "repeats", "long words", "marks in a row", "words on a line", "top word")
 BANDS = np.array([0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.14, 0.18, 0.23, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 7_000
 
 _CAPITAL, _DIGIT, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _CAPITAL[65:91] = True
@@ -183,11 +183,11 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, m
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, end - row), batch.column(2).slice(row, end - row), pa.array([key[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], ["doc_id", "grade", "keys"])
 
     got = rated.select("text", "doc_id", "grade").mapInArrow(extract, "doc_id long, grade int, keys binary").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    blobs = got.column("keys").to_pylist()
-    keys = [np.frombuffer(blobs[i], np.uint64) for i in order]
-    doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    return fit(doc, np.concatenate(keys) if keys else np.zeros(0, np.uint64), got.column("grade").to_numpy()[order].astype(np.int64), min_df)
+    got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))
+    data, offsets = textkit.byte_column(got.column("keys"))
+    grades = got.column("grade").to_numpy().astype(np.int64)
+    del got
+    return fit(np.repeat(np.arange(len(grades)), np.diff(offsets) // 8), data.view(np.uint64), grades, min_df)
 
 
 def grade(docs: DataFrame, model: Model, wanted: int | None = None, least: float = 0.4) -> DataFrame:
@@ -213,5 +213,7 @@ def grade(docs: DataFrame, model: Model, wanted: int | None = None, least: float
             yield pa.StructArray.from_arrays([pa.array(tails.sum(1)), pa.array(tails[:, at])], ["expected_grade", "tail_probability"])
 
     scored = F.arrow_udf(score, "expected_grade double, tail_probability double")(F.col("text").cast("string"))
-    out = docs.withColumn("_scored", scored).select(*[F.col(f"`{c}`") for c in docs.columns], "_scored.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(row.alias("row"), scored.alias("scored"))
+    out = out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "scored.*")
     return out.withColumn("keep", F.col("tail_probability") >= F.lit(least))
