@@ -117,11 +117,13 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     if clash := {"n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError(f"{sorted(clash)} are columns already")
     spark, names = docs.sparkSession, docs.columns
-    text = F.col(f"`{column}`").cast("string")
+    # The row goes along as one value, so that its other columns may have any names.
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{column}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    text = F.col("text")
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
     slices = max(1, -(-lines // bloom.SLICE_KEYS))
     folder = store.new_folder(spark, "twice-seen")
-    build_filters(docs.where("doc_id IS NOT NULL").select(text.alias("text")), "text", min_chars, slices, folder)
+    build_filters(docs.where("doc_id IS NOT NULL").select("text"), "text", min_chars, slices, folder)
     suspects = _suspects(F.when(F.col("doc_id").isNotNull(), text), min_chars, slices, folder)
     found = docs.select("doc_id", suspects.alias("_s")).where(F.size("_s") > 0)
     # (digest, doc_id) pairs are counted by digest with partial sums, so a line of a third of all documents meets no task whole.
@@ -129,7 +131,7 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     repeated = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     drops = pairs.join(repeated, "digest").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("digest").alias("_drops"))
     marked = docs.withColumn("_s", F.size(suspects) > 0)
-    out = lambda df, gone: df.withColumn("_d", _drop(text, gone, min_chars)).select(*[F.col("_d.text").alias(c) if c == column else F.col(f"`{c}`") for c in names], "_d.n_lines", "_d.n_dropped")
+    out = lambda df, gone: df.withColumn("_d", _drop(text, gone, min_chars)).select(*[F.col("_d.text").alias(c) if c == column else F.col("row").getField(c).alias(c) for c in names], "_d.n_lines", "_d.n_dropped")
     none = F.lit(None).cast("array<binary>")
     clean = out(marked.where("NOT _s").drop("_s"), none)
     rest = marked.where("_s").drop("_s").join(drops.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")

@@ -82,7 +82,7 @@ def position(demand: Column, target: Column, pieces: Column, weight: Column) ->
 
 
 def mix(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float = 3.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: source, doc_id, size, source_size, target, taken, position, and the columns in ``carry``.
+    """One row per document: source, doc_id, size, source_size, target, taken, position, and ``carried``, a struct of the columns in ``carry``.
 
     Documents stand in an order drawn from a hash of doc_id and source, the same
     on every run. A source takes whole passes over its documents, then the words
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float =
     place in training; null if it takes no word. Null texts have no words; null
     sources are one source; repeated rows are documents of their own.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(7), "doc_id", "source", "size"))
     rows = store.table(rows, "mix") if carry else store.cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float =
     last = F.when(F.col("_part") > 0, F.col("_passes")).otherwise(F.col("_passes") - 1)
     middle = last * F.col("source_size") + F.col("_start") + F.when(F.col("_part") > 0, F.col("_part")).otherwise(F.col("size")) / 2
     out = out.withColumn("position", F.when(F.col("taken") > 0, position(middle, F.col("target"), F.col("pieces"), F.col("weight"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", *carry, "_passes", "_part", "_start", "pieces", "weight")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "position", *(["carried"] if carry else []), "_passes", "_part", "_start", "pieces", "weight")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

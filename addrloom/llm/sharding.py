@@ -36,7 +36,9 @@ def shard(df: DataFrame, keys: list[str], weight: Column, limit: int) -> DataFra
     """
     if limit < 1:
         raise ValueError("the limit must be positive")
-    rows = df.select(*keys, F.coalesce(weight.cast("long"), F.lit(0)).alias("bytes")).withColumn("_hash", F.xxhash64(F.lit(1), *keys))
+    if clash := {"bytes", "shard", "depth", "slice", "shard_bytes"} & set(keys):
+        raise ValueError(f"{sorted(clash)} are columns of the result")
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.coalesce(weight.cast("long"), F.lit(0)).alias("bytes")).withColumn("_hash", F.xxhash64(F.lit(1), *keys))
     rows = store.cut(rows)
     total = rows.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     top = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(2.0, total / limit))) + EXTRA_BITS))

@@ -80,7 +80,7 @@ def _close(f: np.ndarray, g: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _tie(f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is linked among ``f``: breadth first from each unreached one, so a group gives one link a member."""
+    """Links that join what is linked among ``f``: breadth first from each unreached one, so a group gives one link for each further member."""
     left, frm, to = np.arange(len(f)), [], []
     while len(left):
         root, left = left[0], left[1:]
@@ -90,7 +90,7 @@ def _tie(f: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             for x in edge:
                 hit = _close(f[left], f[x], bits) & ~reached
                 reached |= hit
-                frm.append(np.full(int(hit.sum()), root))
+                frm.append(np.full(int(hit.sum()), x))
                 to.append(left[hit])
             edge, left = left[reached], left[~reached]
     return (np.concatenate(frm), np.concatenate(to)) if frm else (left, left)

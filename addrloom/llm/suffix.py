@@ -320,7 +320,7 @@ def cells(raw: bytes, at: int, end: int, found: tuple[np.ndarray, ...], length:
     for p, h, s0, s1 in zip(*(x.tolist() for x in found)):
         for j in range((p - s1) // step, (p - s0) // step + 1):
             lo, hi = max(s0, p - step * (j + 1) + 1), min(s1, p - step * j)
-            core = hash64(raw[p - step * j : p - step * (j + 1) + 1 + length], h ^ j)
+            core = hash64(raw[p - step * j : max(0, p - step * (j + 1) + 1 + length)], h ^ j)  # empty for steps beyond the length
             out.append((core, hash64(raw[lo : hi + length], core ^ (p - lo)), lo - at, hi - lo + 1))
     table = np.zeros(len(out), CELL)
     if out:
@@ -507,12 +507,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     result is binary. Null texts are empty; repeated rows are documents of their
     own and so remove each other.
     """
-    if clash := {"n_bytes", "n_removed", "n_spans", "_digest"} & set(docs.columns):
+    if clash := {"n_bytes", "n_removed", "n_spans"} & set(docs.columns):
         raise ValueError(f"{sorted(clash)} are columns already")
     copies, found = repeated_spans(docs, length, gram, step, column)
     found = store.table(found, "spans")
     raw = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")
-    rows = docs.withColumn("_raw", raw).withColumn("digest", F.unhex(F.md5("_raw")))
+    # The row goes along as one value, so that its other columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), raw.alias("_raw")).withColumn("digest", F.unhex(F.md5("_raw")))
     folder, slices = bloom.once(found.select("digest"), "digest")
     twice, many = bloom.once(copies, "digest")
     rows = rows.withColumn("_maybe", _only(F.col("digest"), folder, slices) | ((F.octet_length("_raw") >= length) & _only(F.col("digest"), twice, many)))
@@ -538,7 +539,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     names = docs.columns
     cut = F.arrow_udf(apply, "kept binary, n_removed long, n_spans long")(F.col("_raw"), F.col("spans"))
     size = F.octet_length("_raw").cast("long")
-    out = lambda df, kept, removed, spans: df.select(*[kept.alias(c) if c == column else F.col(f"`{c}`") for c in names], size.alias("n_bytes"), removed.alias("n_removed"), spans.alias("n_spans"))
+    out = lambda df, kept, removed, spans: df.select(*[kept.alias(c) if c == column else F.col("row").getField(c).alias(c) for c in names], size.alias("n_bytes"), removed.alias("n_removed"), spans.alias("n_spans"))
     zero = F.lit(0).cast("long")
     clean = out(rows.where("NOT _maybe"), F.col("_raw"), zero, zero)
     again = copies.select("digest", F.lit(True).alias("_again"))

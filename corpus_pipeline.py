@@ -58,8 +58,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, carry=("text", "lang", "n_chars"))
     order = mixing.training_order(mixed)
     cut = F.col("words") < F.col("size")
-    text = F.when(cut, mixing.first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
-    return order.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    whole = F.col("carried.text")
+    order = order.withColumn("text", F.when(cut, mixing.first_words(whole, F.col("words"))).otherwise(whole))
+    n_chars = F.when(cut, F.length("text").cast("long")).otherwise(F.col("carried.n_chars"))
+    return order.select("doc_id", "text", F.col("carried.lang").alias("lang"), "source", n_chars.alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
