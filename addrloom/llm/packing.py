@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import store, textkit
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE_WORDS = 1_000_000
-ENCODE_WORDS = 20_000
+CACHE_WORDS = 1_300_000
+JOIN_WORDS = 256
 PIECES_PER_BUCKET = 20_000
 
 
@@ -40,12 +40,36 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        (self.mark,) = self.tokenizer.encode("!", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.count, self.ids, self.used = np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids.
+
+        Words go to the tokenizer many at a time, with an exclamation mark between them:
+        a token of its own, which no word without that mark has. Words with it go alone.
+        """
+        plain = np.array(["!" not in w for w in words], bool)
+        joined, alone = [w for w in words if "!" not in w], [w for w in words if "!" in w]
+        count = np.zeros(len(words), np.int64)
+        groups = [" ! ".join(joined[i : i + JOIN_WORDS]) + " !" for i in range(0, len(joined), JOIN_WORDS)]
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        mark = ids == self.mark
+        edge = np.flatnonzero(mark) - np.arange(len(joined))
+        count[plain] = np.diff(edge, prepend=0)
+        ids = ids[~mark]
+        if not alone:
+            return count, ids
+        single = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        count[~plain] = [len(x) for x in single]
+        rest, own = iter(np.split(ids, edge[:-1]) if joined else ()), iter(single)
+        return count, np.concatenate([next(rest) if p else next(own) for p in plain])
+
     def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each word has."""
         if not len(starts):
@@ -62,12 +86,7 @@ class WordCache:
         if new.any():
             raw = data.tobytes()
             begin, end = starts[sample[new]].tolist(), ends[sample[new]].tolist()
-            count, flat = np.zeros(len(begin), np.int64), []
-            for s in range(0, len(begin), ENCODE_WORDS):  # the tokenizer's own results are large
-                found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(begin[s : s + ENCODE_WORDS], end[s : s + ENCODE_WORDS])], add_special_tokens=False)]
-                count[s : s + ENCODE_WORDS] = np.fromiter(map(len, found), np.int64, len(found))
-                flat.append(np.fromiter((i for ids in found for i in ids), np.uint32))
-            flat = np.concatenate(flat)
+            count, flat = self._encode([raw[a:b].decode() for a, b in zip(begin, end)])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             self.ids[self.used : self.used + len(flat)] = flat
