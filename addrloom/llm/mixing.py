@@ -60,7 +60,8 @@ def targets(sizes: DataFrame, schedule: DataFrame, max_epochs: float = 3.0) -> D
     rows = rows.withColumn("total", F.sum("source_size").over(everything)).withColumn("used", F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("cap"))).over(upto), F.lit(0.0)))
     rows = rows.withColumn("rest", F.sum("weight").over(ahead)).withColumn("level", F.when(F.col("weight") > 0, (F.col("total") - F.col("used")) / F.col("rest")))
     # From the first source that doesn't stop below the level, the level holds for all that follow.
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "level"))).over(everything)["level"])
+    rows = rows.withColumn("_n", F.row_number().over(order))
+    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("stop"), F.struct("_n", "level"))).over(everything)["level"])
     target = F.when(F.col("weight") > 0, F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).otherwise(F.lit(0.0))
     return rows.select("source", "source_size", target.alias("target"), "pieces", "weight")
 
