@@ -106,7 +106,9 @@ def _bounds(query: pd.DataFrame, data: pd.DataFrame, pivots: np.ndarray, k: int)
     slack = rq * pn[data["cell"]][None, :] + pn[query["cell"]][:, None] * rx + rq * rx
     slack = slack * (1 + 1e-9) + 1e-6 * (1 + np.abs(p))
     low, high = p - slack, np.minimum(p + slack, query["norm"].to_numpy()[:, None] * data["norm"].to_numpy()[None, :] * (1 + 1e-9) + 1e-6)
-    out = []
+    # Scores that stop at a long's ends are ties there, so bounds beyond them tell nothing.
+    end = float(LONG) * (1 - 1e-9)
+    low, high, out = np.minimum(low, end), np.maximum(high, -end), []
     n = data["rows"].to_numpy()
     for i in range(len(query)):
         order = np.argsort(-low[i], kind="stable")
