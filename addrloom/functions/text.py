@@ -189,3 +189,9 @@ def reply_address(s: Column) -> Column:
     plain = code_fences_off(s)
     json = F.try_parse_json(plain)
     return F.when(json.isNotNull(), F.nullif(F.trim(F.get_json_object(plain, "$.address")), F.lit(""))).when((F.length(plain) <= 300) & (plain != ""), plain)
+
+
+def join_parts(parts: Column, fallback: Column) -> Column:
+    """The known parts of an address, once each and in order, with commas; the fallback if there are none."""
+    known = F.array_distinct(F.filter(F.array_compact(parts), lambda p: F.trim(p) != ""))
+    return F.when(F.size(known) > 0, F.array_join(known, ", ")).otherwise(fallback)

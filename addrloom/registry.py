@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import dicts, scoring, text
-from addrloom.operators import match, tables, vectors
+from addrloom.operators import extensions, match, tables, vectors
 from addrloom.operators.stages import cut
 from addrloom.plans import duck
 from addrloom.plans import resolve as plan
@@ -579,3 +579,58 @@ def resolve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolve_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as replies in JSON."""
     return plan.to_json(resolve_rows(spark))
+
+
+# --- extensions
+
+
+@query(
+    "SELECT o_orderkey, round(10 * (o_orderkey % 2) + 8 * (o_orderkey % 101 / 101.0::DOUBLE) + 12 * (o_orderkey % 3 / 2.0::DOUBLE) + 6 * (1 - least((o_orderkey % 90) / 50.0::DOUBLE, 1)), 6) AS score, "
+    "CASE WHEN o_orderkey % 101 >= 95 THEN 'auto_accept' WHEN o_orderkey % 101 >= 80 THEN 'light_review' WHEN o_orderkey % 101 >= 60 THEN 'review' ELSE 'manual' END AS route FROM orders"
+)
+def seven_term_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned score of seven terms, with a distance penalty, and the way of review."""
+    k = F.col("o_orderkey")
+    score = extensions.seven_terms(exact=(k % 2).cast("double"), fuzzy=k % 101 / 101, hierarchy=k % 3 / 2, geo=1 - extensions.geo_penalty((k % 90).cast("double")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.round(score, 6).alias("score"), extensions.review_route((k % 101) / 100).alias("route"))
+
+
+@query(
+    "WITH p AS (SELECT n_nationkey, CAST(n_nationkey * 3 - 40 AS DOUBLE) AS lat, CAST(n_nationkey * 7 - 80 AS DOUBLE) AS lon FROM nation) "
+    "SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 1))), 3) AS km "
+    "FROM p a JOIN p b ON a.n_nationkey % 5 = b.n_nationkey % 5"
+)
+def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Great-circle distances within groups of nations, for places made of their keys."""
+    p = _t(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_nationkey % 5 AS g", "CAST(n_nationkey * 3 - 40 AS DOUBLE) AS lat", "CAST(n_nationkey * 7 - 80 AS DOUBLE) AS lon")
+    other = p.select("g", F.col("n_nationkey").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return p.join(other, "g").select(F.col("n_nationkey").alias("a"), "b", F.round(extensions.distance_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3).alias("km"))
+
+
+@query(
+    "WITH r AS (SELECT c_custkey, c_nationkey AS d, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_custkey END AS w, CASE WHEN c_custkey % 3 = 0 THEN 'review' ELSE 'auto_accept' END AS action FROM customer) "
+    "SELECT count(*) AS n, avg((c_custkey % 7 <> 0)::INT) AS exact, avg((c_custkey % 7 <> 0)::INT) AS ward, avg((c_custkey % 7 = 0)::INT) FILTER (action <> 'auto_accept') AS uncertainty_precision, avg((c_custkey % 7 = 0)::INT) AS hallucination FROM r"
+)
+def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of results that invent every seventh customer's ward."""
+    c = _t(spark, sf_dir, "customer")
+    gold = c.selectExpr("c_custkey addr_id", "0 province_id", "c_nationkey district_id", "c_custkey ward_id")
+    found = c.selectExpr("c_custkey addr_id", "0 province_id", "c_nationkey district_id", "CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_custkey END ward_id", "CASE WHEN c_custkey % 3 = 0 THEN 'review' ELSE 'auto_accept' END action")
+    return extensions.accuracy(found, gold, c.selectExpr("c_custkey id"))
+
+
+@query("SELECT p_partkey, len(list_intersect(list_distinct(string_split(p_name, ' ')), ['small', 'ring', 'red'])) / CAST(len(list_distinct(string_split(p_name, ' ') || ['small', 'ring', 'red'])) AS DOUBLE) AS ratio FROM part")
+def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each part name shares with three words."""
+    return _t(spark, sf_dir, "part").select("p_partkey", vectors.token_set_ratio(F.col("p_name"), F.lit("small ring red")).alias("ratio"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'no address' WHEN o_custkey % 2 = 0 THEN o_orderpriority || ', ' || o_orderstatus ELSE o_orderstatus END AS address FROM orders"
+)
+def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses joined from parts of which some are missing or repeat."""
+    c = F.col("o_custkey")
+    first = F.when((c % 3 != 0) & (c % 2 == 0), F.col("o_orderpriority"))
+    parts = F.array(first, F.lit(" "), F.when(c % 3 != 0, F.col("o_orderstatus")), first)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.join_parts(parts, F.lit("no address")).alias("address"))
