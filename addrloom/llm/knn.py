@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import store
 
 K, SCALE = 10, 1024
-#: Pivots for n rows are sqrt(n) / 8, up to MAX_PIVOTS; rows of a block, queries of a group.
-MAX_PIVOTS, BLOCK_ROWS, GROUP_QUERIES = 512, 4096, 512
+#: Pivots for n rows are sqrt(n) / 8, up to MAX_PIVOTS; rows of a block, queries of a group, groups of a planning task.
+MAX_PIVOTS, BLOCK_ROWS, GROUP_QUERIES, PLAN_GROUPS = 512, 4096, 512, 64
 LONG = (1 << 63) - 1
 
 
@@ -148,7 +148,11 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec_i
         found = _bounds(g, b, np.zeros((1, d)) if p is None else p, k + 1) if len(g) and len(b) else []
         return pd.DataFrame(found, columns=["grp", "block"]).astype("int64")
 
-    pairs = store.cut(groups.groupBy("dim").cogroup(blocks.groupBy("dim")).applyInPandas(plan, "grp long, block long"))
+    # A task plans a few groups against all summaries of their dimension: rows / BLOCK_ROWS of 40 bytes.
+    parts = max(1, -(-(-(-q // GROUP_QUERIES) + MAX_PIVOTS) // PLAN_GROUPS)) if q > GROUP_QUERIES else 1
+    groups = groups.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(parts)))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = store.cut(groups.groupBy("dim", "part").cogroup(blocks.groupBy("dim", "part")).applyInPandas(plan, "grp long, block long"))
     packed = data.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("d"))
     bundles = asked.groupBy("grp").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("vec_id", "v")).alias("q"))
     met = pairs.join(packed, "block").join(bundles, "grp").select("dim", "d", "q")

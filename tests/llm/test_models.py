@@ -157,8 +157,10 @@ def plain_top(rows, k):
     return sorted(out)
 
 
+@pytest.mark.parametrize("plan_groups", [64, 1])
 @pytest.mark.parametrize(("block", "group", "dim", "scale"), [(4096, 512, 8, 1.0), (7, 2, 3, 1.0), (16, 3, 4, 1e12)])
-def test_top_k_against_brute_force(spark, monkeypatch, block, group, dim, scale):
+def test_top_k_against_brute_force(spark, monkeypatch, plan_groups, block, group, dim, scale):
+    monkeypatch.setattr(knn, "PLAN_GROUPS", plan_groups)
     monkeypatch.setattr(knn, "BLOCK_ROWS", block)
     monkeypatch.setattr(knn, "GROUP_QUERIES", group)
     r = random.Random(dim)
