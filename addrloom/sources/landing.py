@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from addrloom.sources import schemas
 
-#: Files of the older gazetteer, in the order in which they are fetched.
-FILES = ("sorted.json", "dvhcvn.json", "date.txt")
-
-
 def land(url: str, folder: str, force: bool = False, timeout: float = 60.0) -> tuple[str, bool]:
     """(path, whether it is new) of a file under ``folder``.
 
@@ -43,9 +39,9 @@ def land(url: str, folder: str, force: bool = False, timeout: float = 60.0) -> t
     return str(path), True
 
 
-def land_all(base: str, folder: str, force: bool = False) -> dict[str, bool]:
-    """Each of FILES below ``base``; an error ends it."""
-    return {name: land(f"{base.rstrip('/')}/{name}", folder, force)[1] for name in FILES}
+def land_all(base: str, names: tuple[str, ...], folder: str, force: bool = False) -> dict[str, bool]:
+    """Each of the files below ``base`` in turn; an error ends it."""
+    return {name: land(f"{base.rstrip('/')}/{name}", folder, force)[1] for name in names}
 
 
 def read_addresses(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
