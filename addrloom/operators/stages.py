@@ -14,13 +14,15 @@ _OWN: list[str] = []
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written to the checkpoint folder.
 
-    That is the one in ``spark.checkpoint.dir``; only where it is unset is a
-    temporary one made. A lost executor costs no more than the stage at hand.
+    That is the one in ``spark.checkpoint.dir``; only in local mode, where it is
+    unset, is a temporary one made. A lost executor costs no more than the stage at hand.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if context.master.partition("[")[0] != "local":
+                raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
             named = tempfile.mkdtemp(prefix="addrloom-stages-")
             _OWN.append(named)
             atexit.register(shutil.rmtree, named, True)
