@@ -1,7 +1,7 @@
 """Files that executors share: the folder in ``spark.checkpoint.dir`` and what lies in it.
 
-A cluster names the folder in ``spark.checkpoint.dir``; only where that is unset
-(tests, notebooks) a temporary one is made. Tasks write each file under a name
+A cluster names the folder in ``spark.checkpoint.dir``; only in local mode, where
+that is unset (tests, notebooks), a temporary one is made. Tasks write each file under a name
 of their own and rename it, so a task that is run again after a loss leaves the
 same file. Readers map a file into memory; a remote one is fetched once per
 process into an unlinked temporary file.
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="addrloom-shared-")
         atexit.register(shutil.rmtree, _OWN["dir"], True)
