@@ -129,6 +129,8 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     # (digest, doc_id) pairs are counted by digest with partial sums, so a line of a third of all documents meets no task whole.
     pairs = store.cut(found.select("doc_id", F.explode("_s").alias("digest")).distinct())
     repeated = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Written first, so that the join below has an exchange on either side and a very common line can be split.
+    repeated = store.cut(repeated)
     drops = pairs.join(repeated, "digest").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("digest").alias("_drops"))
     marked = docs.withColumn("_s", F.size(suspects) > 0)
     out = lambda df, gone: df.withColumn("_d", _drop(text, gone, min_chars)).select(*[F.col("_d.text").alias(c) if c == column else F.col("row").getField(c).alias(c) for c in names], "_d.n_lines", "_d.n_dropped")
