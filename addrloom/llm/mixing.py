@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from . import store
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BUCKET = 20_000
+#: Rows that are numbered together, and how many times fewer if they carry their texts along.
+ROWS_PER_BUCKET, CARRIED = 20_000, 5
 #: With the schedule of the contract: weights of the sources in turn, and how far a schedule swings around its weight.
 TURNS = (1.0, 2.0, 3.0)
 SWING = 0.5
@@ -93,16 +94,16 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float =
     sources are one source; repeated rows are documents of their own.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
-    rows = rows.withColumn("_order", F.xxhash64(F.lit(7), "doc_id", "source", "size"))
+    rows = rows.withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "source", "size"), 1))
     rows = store.table(rows, "mix") if carry else store.cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     sizes = store.cut(sizes)
     schedule = turn_schedule(sizes.select("source")) if schedule is None else schedule
     goal = targets(sizes.select("source", "source_size"), schedule, max_epochs)
     count = sizes.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    buckets = max(1, -(-count // ROWS_PER_BUCKET))
+    buckets = max(1, -(-count // (ROWS_PER_BUCKET // CARRIED if carry else ROWS_PER_BUCKET)))
     # A source may hold any share of the rows: it is dealt to buckets by the order's leading bits.
-    rows = rows.withColumn("_bucket", F.floor((F.shiftrightunsigned("_order", 33)) * F.lit(buckets) / F.lit(1 << 31)).cast("long")).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    rows = rows.withColumn("_bucket", F.shiftright(F.shiftright("_order", 32) * F.lit(buckets), 31)).withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_s")).select("_key", "_bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_ahead"))
     goal = goal.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
