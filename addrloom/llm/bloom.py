@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from . import store, textkit
 
-#: Bits for each key of a slice, probes for each key, and keys that a slice is made for.
-BITS_PER_KEY, PROBES, SLICE_KEYS = 12, 5, 4_000_000
+#: Bits for each key of a slice, probes for each key, keys that a slice is made for, and the most slices (a worker maps one file for each).
+BITS_PER_KEY, PROBES, SLICE_KEYS, MAX_SLICES = 12, 5, 1_000_000, 16_384
+
+
+def slices_for(keys: int) -> int:
+    return min(MAX_SLICES, max(1, -(-keys // SLICE_KEYS)))
 
 
 def empty(keys: int) -> np.ndarray:
@@ -63,7 +67,7 @@ def once(digests: DataFrame, column: str) -> tuple[str, int]:
     """
     spark = digests.sparkSession
     digests = digests.select(F.col(column).alias("d"))
-    slices = max(1, -(-digests.count() // SLICE_KEYS))
+    slices = slices_for(digests.count())
     folder = store.new_folder(spark, "bloom")
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +87,7 @@ def once(digests: DataFrame, column: str) -> tuple[str, int]:
 def twice(lists: DataFrame, keys: int) -> tuple[str, int]:
     """Filters over the hashes that occur at least twice in the packed lists (hashes binary) of about ``keys`` in all."""
     folder = store.new_folder(lists.sparkSession, "twice")
-    slices = max(1, -(-keys // SLICE_KEYS))
+    slices = slices_for(keys)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +112,7 @@ def merge_twice(dealt: DataFrame, folder: str) -> None:
     """
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held, again = (empty(min(sum(map(len, rows["once"])) // 8, 2 * SLICE_KEYS)) for _ in range(2))
+        held, again = (empty(sum(map(len, rows["once"])) // 8) for _ in range(2))
         for a, b in zip(rows["once"], rows["twice"]):
             a = np.frombuffer(a, np.uint64)
             add(again, a[holds(held, a)])

@@ -121,7 +121,7 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{column}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     text = F.col("text")
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
-    slices = max(1, -(-lines // bloom.SLICE_KEYS))
+    slices = bloom.slices_for(lines)
     folder = store.new_folder(spark, "twice-seen")
     build_filters(docs.where("doc_id IS NOT NULL").select("text"), "text", min_chars, slices, folder)
     suspects = _suspects(F.when(F.col("doc_id").isNotNull(), text), min_chars, slices, folder)
