@@ -136,7 +136,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec_i
         return none
     pivots = _pivots(data, n)
     data = store.cut(_blocked(_cells(data, pivots), BLOCK_ROWS, "block"))
-    asked = store.cut(_blocked(_cells(asked, pivots), GROUP_QUERIES, "grp"))
+    # Queries go by as many of the pivots as give groups of some size: each group has blocks sent to it.
+    few = max(1, -(-q // (GROUP_QUERIES // 2)))
+    asked = store.cut(_blocked(_cells(asked, {d: p[:few] for d, p in pivots.items()}), GROUP_QUERIES, "grp"))
     # Summaries: a row for each block, 1 / BLOCK_ROWS of the data plus one for each cell.
     blocks = data.groupBy("dim", "cell", "block").agg(F.max("dist").alias("radius"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("rows"))
     groups = asked.groupBy("dim", "cell", "grp").agg(F.max("dist").alias("radius"), F.max("norm").alias("norm"))
