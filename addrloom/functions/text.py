@@ -19,6 +19,15 @@ ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 SPACES = r"(?U)[\s\x{1c}-\x{1f}]+"
 
 
+def _words(values: list[str]) -> Column:
+    """An array of literals, given to Spark in one piece."""
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
+def _mapping(values: dict[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in values.items()) + ")")
+
+
 @cache
 def _accents() -> tuple[str, str]:
     """Characters of the basic plane that a canonical decomposition reduces to one other, and what they become."""
@@ -55,7 +64,7 @@ def expand_shorthand(s: Column) -> Column:
     s = F.regexp_replace(s, r"(?U)\bvung tau\b", dict(dicts.PROVINCES)["vung tau"])
     s = F.regexp_replace(s, r"(?U)\bq\.(1[0-2]|[1-9])\b", "quan $1")
     words = {k: v for k, v in dicts.PROVINCES if " " not in k} | dict(dicts.UNIT_TYPES) | {f"q{i}": f"quan {i}" for i in dicts.DISTRICT_NUMBERS}
-    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    table = _mapping(words)
     return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(WORD_OR_GAP), F.lit(0)), lambda w: F.coalesce(F.element_at(table, w), w)), "")
 
 
@@ -71,7 +80,7 @@ def tokens(s: Column) -> Column:
 
 
 def _structural() -> Column:
-    return F.array(*map(F.lit, dicts.STRUCTURAL))
+    return _words(dicts.STRUCTURAL)
 
 
 def strip_structural(s: Column) -> Column:
@@ -150,12 +159,13 @@ def street(s: Column, names: Column) -> Column:
     parts = F.transform(F.array_compact(names), lambda n: tokens(F.lower(n)))
     gone = F.concat(_structural(), F.flatten(parts), F.transform(parts, lambda p: F.array_join(p, "")))
     kept = F.filter(tokens(s), lambda w: (F.length(w) > 1) & ~F.array_contains(gone, w))
-    table = F.create_map(*[F.lit(x) for pair in dicts.STREETS for x in pair])
+    table = _mapping(dict(dicts.STREETS))
     return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda w: F.coalesce(F.element_at(table, w), w)), " "))
 
 
 def is_place_name(s: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, dicts.PLACE_WORDS)), lambda k: F.contains(F.lower(s), k))
+    # The text is lowered once, not for every word.
+    return F.transform(F.array(F.lower(s)), lambda x: F.exists(_words(dicts.PLACE_WORDS), lambda k: F.contains(x, k)))[0]
 
 
 def unit_type_of(prefix: Column) -> Column:

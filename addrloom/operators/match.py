@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import text
-from addrloom.operators.stages import cut
 from addrloom.operators.tables import valid_at
 
 UNIT_FIELDS = ("id", "gso_code", "full_name", "name", "unit_type", "ascii_name", "parent_id")
@@ -57,9 +56,10 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     A unit's score is its best similarity above the threshold over the variants,
     or its weightiest alias among them if that is more; aliases pass without a
     threshold. Ties go to units with an alias, then to the smaller id. Requests
-    without variants have no hits.
+    without variants have no hits. The requests are read three times, so they had
+    better come from a table or a cut stage.
     """
-    variants = cut(requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant")))
+    variants = requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant"))
     unit = F.struct(*UNIT_FIELDS)
     known = units.select(F.col("id").alias("unit_id"), unit.alias("unit"), "valid_from", "valid_to")
     fuzzy = variants.join(similar(variants, units), ["level", "parent", "variant"]).where(F.col("sim") > F.col("threshold")).select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias"))

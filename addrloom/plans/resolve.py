@@ -103,7 +103,6 @@ def candidates(prepared: DataFrame, gaz: Gazetteer) -> DataFrame:
     no_district = shape(joined.where(~post & child.isNull()), 0, none(unit), number, none(unit), number, zero, zero)
     districts = joined.where(~post & child.isNotNull())
     deeper = districts.withColumn("variants", text.without_parent(F.col("variants"), F.col("child.ascii_name"))).withColumn("request", F.struct(*key, "p_rank", "c_rank"))
-    deeper = cut(deeper)
     last = match.best_match(_requests(deeper, "ward", F.col("child.id"), "variants", dicts.CHILD_THRESHOLD), gaz.units, gaz.aliases, dicts.FAN_OUT).select("request", F.col("rank").alias("w_rank"), F.col("unit").alias("ward"), F.col("score").alias("w_score"))
     full = shape(deeper.join(last, "request", "left"), 0, child, c_score, F.col("ward"), F.col("w_score"), c_rank, F.coalesce("w_rank", F.lit(0)))
     best = shape(districts.where("c_rank = 1"), 1, child, c_score, none(unit), number, zero, zero)
