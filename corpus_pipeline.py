@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.llm import linededup, mixing, packing, quality, simhash, store
+from addrloom.llm import linededup, mixing, nearcopies, packing, quality, store
 from addrloom.llm.queries import table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,19 +35,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that fingerprints link: the one with the least doc_id.
+    """One document of each group that a similarity of 0.8 or more (five-word shingles) links: the one with the least doc_id.
 
-    Of rows that share that doc_id the first by text stays. Texts that are null or
-    blank all have the fingerprint 0 and so are one group.
+    Of rows that share that doc_id the first by text stays. Texts without words are one group.
     """
     store.text_batches(spark)
-    groups = simhash.near_duplicates(docs).where("component_rows > 1").select("doc_id", "component_id").distinct()
-    losers = groups.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone"))
+    rows = nearcopies.near_copies(docs)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    losers = rows.join(least, "component").where("NOT (doc_id <=> least)").select(F.col("doc_id").alias("_gone")).distinct()
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["_gone"]), "left_anti")
     if ids.isEmpty():
         return kept
-    # Rows that repeat a doc_id with one fingerprint are copies of each other too.
+    # Rows that repeat a doc_id with one text are copies of each other too.
     again = kept.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     once = kept.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
@@ -73,7 +73,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_repeated_lines),
-    ("SimHash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
