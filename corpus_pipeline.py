@@ -37,20 +37,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that a similarity of 0.8 or more (five-word shingles) links: the one with the least doc_id.
 
-    Of rows that share that doc_id the first by text stays. Texts without words are one group.
+    Rows are told apart by doc_id and text, so rows that lack or repeat a doc_id
+    are documents of their own. Any doc_id comes before none, and among equal ones
+    a digest of the text decides. Texts without words are one group.
     """
     store.text_batches(spark)
     rows = nearcopies.near_copies(docs)
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
-    losers = rows.join(least, "component").where("NOT (doc_id <=> least)").select(F.col("doc_id").alias("_gone")).distinct()
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["_gone"]), "left_anti")
-    if ids.isEmpty():
-        return kept
-    # Rows that repeat a doc_id with one text are copies of each other too.
-    again = kept.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = kept.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select("s.row")
+    counts = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    losers = counts.join(first, "row", "left_anti").select("row")
+    kept = docs.withColumn("row", nearcopies.identity()).join(losers, "row", "left_anti")
+    repeated = store.cut(counts.where("n > 1").join(first, "row", "left_semi").select("row"))
+    if not repeated.isEmpty():
+        # Rows that are equal in doc_id and text are copies of each other too.
+        again = kept.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+        kept = kept.join(repeated, "row", "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,20 @@ def test_rounds_and_remaining_pairs_agree(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "ROUNDS", rounds)
         monkeypatch.setattr(nearcopies, "FEW", few)
         assert {i for i, _ in kept(spark, rows)} == want
+
+
+def test_rows_without_or_with_a_repeated_doc_id(spark):
+    r = random.Random(10)
+    text = lambda n=80: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    base, near, other, lone, twin = text(), text(), text(), text(), text()
+    rows = [(None, ""), (1, " "), (None, lone), (None, other)]  # a blank text without doc_id removes no other text
+    rows += [(3, base), (7, edited(r, base.split(), 1)), (7, twin)]  # of the two documents 7 one is a copy
+    rows += [(None, near), (None, edited(r, near.split(), 1)), (9, text()), (9, text())]
+    copy = text()
+    rows += [(12, copy), (12, edited(r, copy.split(), 1)), (12, copy), (None, copy)]
+    got = kept(spark, rows)
+    assert sorted(t for i, t in got if i is None and t in (lone, other)) == sorted([lone, other]) and (None, "") not in got
+    assert (1, " ") in got and (3, base) in got and [t for i, t in got if i == 7] == [twin]
+    assert sum(i is None for i, _ in got) == 3
+    assert sum(i == 9 for i, _ in got) == 2 and sum(i == 12 for i, _ in got) == 1
+    assert len(got) == 9
