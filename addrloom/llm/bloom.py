@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store, textkit
@@ -60,6 +60,17 @@ def hits(hashes: np.ndarray, slices: int, folder: str) -> np.ndarray:
     return hit
 
 
+def only(column: Column, folder: str, slices: int) -> Column:
+    """Whether the filters of ``folder`` may hold the first eight bytes of a binary ``column`` of 16 bytes."""
+
+    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for digest in batches:
+            h = np.frombuffer(textkit.byte_column(digest)[0].tobytes(), "<u8")[::2]
+            yield pa.array(hits(h, slices, folder))
+
+    return F.arrow_udf(test, "boolean")(column)
+
+
 def once(digests: DataFrame, column: str) -> tuple[str, int]:
     """Filters over the first eight bytes of a binary column: their folder and the number of slices.
 

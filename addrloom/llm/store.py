@@ -15,10 +15,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -54,6 +58,40 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a task gathers to a row group of a kept table.
+GROUP_BYTES = 8 << 20
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The same, written by the Python workers: a file for each partition, visible only when complete.
+
+    For tables whose rows come from a worker anyway. On a local file system Hadoop's
+    writer starts three processes for each file to set permissions, each for a moment
+    as large as the JVM; this one starts none. An attempt that runs again leaves a
+    file of the same name.
+    """
+    path = new_folder(df.sparkSession, name)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = 0
+        if (first := next((b for b in batches if len(b)), None)) is not None:
+            held, size = [first], first.nbytes
+            with writing(f"{path}/part-{TaskContext.get().partitionId():06d}.parquet") as f, pq.ParquetWriter(f, first.schema, compression="zstd") as writer:
+                rows = len(first)
+                for batch in batches:
+                    if size >= GROUP_BYTES:
+                        writer.write_table(pa.Table.from_batches(held).combine_chunks())
+                        held, size = [], 0
+                    held.append(batch)
+                    size += batch.nbytes
+                    rows += len(batch)
+                writer.write_table(pa.Table.from_batches(held).combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
+
+    n = df.mapInArrow(write, "n long").groupBy().sum("n").first()[0]
+    return df.sparkSession.read.schema(df.schema).parquet(path) if n else df.sparkSession.createDataFrame([], df.schema)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -63,28 +101,43 @@ def _local(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
-def put(uri: str, data: bytes | memoryview) -> None:
-    """Write a whole file, visible only when complete."""
+@contextlib.contextmanager
+def writing(uri: str) -> Iterator[object]:
+    """A stream to a file that is visible only when complete."""
+    part = f"{uri}.{uuid.uuid4().hex}"
     if (path := _local(uri)) is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(part := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-            f.write(data)
+        with open(part := _local(part), "wb") as f:
+            yield f
         os.replace(part, path)
         return
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(uri)
-    with system.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
-        f.write(data)
+    part = path + part.removeprefix(uri)
+    with system.open_output_stream(part) as f:
+        yield f
     system.move(part, path)
 
 
-_MAPPED: dict[str, np.ndarray] = {}
+def put(uri: str, data: bytes | memoryview) -> None:
+    """Write a whole file, visible only when complete."""
+    with writing(uri) as f:
+        f.write(data)
+
+
+#: Files that a worker keeps mapped; beyond it those not used for longest go.
+MOST_MAPPED = 4096
+_MAPPED: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
 def mapped(uri: str) -> np.ndarray | None:
-    """The bytes of a shared file, mapped into memory and kept for the life of the worker; None if there is none."""
-    if uri not in _MAPPED:
+    """The bytes of a shared file, mapped into memory; None if there is none."""
+    if uri in _MAPPED:
+        _MAPPED.move_to_end(uri)
+    else:
+        while len(_MAPPED) >= MOST_MAPPED:
+            _MAPPED.popitem(last=False)
         if (path := _local(uri)) is not None:
             if not os.path.exists(path):
                 return None

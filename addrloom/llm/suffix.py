@@ -29,15 +29,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, store, textkit
 
 LENGTH, GRAM, STEP = 400, 16, 64
+#: Bytes that one suffix array takes.
 SHARD_BYTES = 1 << 20
-#: Strings of one core that one suffix array takes; beyond it their windows are counted in Spark.
-GROUP_STRINGS = 6_000
+#: Strings of one core that meet in one array; more are first parted into cells with longer cores, NARROWER times smaller.
+GROUP_STRINGS, NARROWER = 2_000, 8
 
 
 # --- suffix arrays
@@ -268,7 +269,7 @@ def _gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
 
 
 #: Window starts that are searched at once; a place among them fits the low bits of a key.
-STRETCH, PLACE_BITS = 1 << 20, np.uint64(24)
+STRETCH, PLACE_BITS = 1 << 18, np.uint64(24)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -393,7 +394,7 @@ def _spans(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets[first], np.append(offsets[:-1][first[1:]], offsets[-1]) + length
 
 
-STRINGS = "core long, text long, place long, weight int, bytes binary"
+STRINGS = "core long, text long, place long, weight int, bytes binary, kinds long"
 
 
 def _strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -410,8 +411,8 @@ def _strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 before = d
                 raw, base = data[offsets[i] : offsets[i + 1]].tobytes(), _base(d)
                 for x in lists[i].as_py():
-                    out.append((x["core"], x["text"], base + x["lo"], x["weight"], raw[x["lo"] : x["lo"] + x["n"] + length - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["core", "text", "place", "weight", "bytes"])
+                    out.append((x["core"], x["text"], base + x["lo"], x["weight"], raw[x["lo"] : x["lo"] + x["n"] + length - 1], x["kinds"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["core", "text", "place", "weight", "bytes", "kinds"])
 
     return texts.join(wanted, "digest").select("digest", F.col("body").alias("text"), "cells").mapInArrow(cut, STRINGS)
 
@@ -420,47 +421,80 @@ SPANS = "core long, text long, a long, b long"
 
 
 def _shard_spans(strings: DataFrame, total: int, length: int) -> DataFrame:
-    """Repeated spans of each string by the suffix array of its shard."""
+    """Repeated spans of each string by suffix arrays: a shard's cores go into arrays of ``SHARD_BYTES`` each, or of one core."""
     shards = max(1, -(-total // SHARD_BYTES))
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["core", "text"])
-        found = repeated_windows(list(rows["bytes"]), rows["place"].to_numpy(), rows["weight"].to_numpy(), length)
-        out = [(c, t, a, b) for c, t, offsets in zip(rows["core"], rows["text"], found) for a, b in zip(*_spans(offsets, length))]
+        rows = rows.drop_duplicates(["core", "text"]).sort_values("core", kind="stable")
+        core, raw, text, place, weight = (rows[k].to_numpy() for k in ("core", "bytes", "text", "place", "weight"))
+        ends = np.append(np.flatnonzero(core[1:] != core[:-1]) + 1, len(core))
+        size = np.cumsum([len(x) for x in raw])
+        out, a = [], 0
+        while a < len(core):
+            # Whole cores up to the bytes of an array, one core at least.
+            b = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(size[ends - 1], (size[a - 1] if a else 0) + SHARD_BYTES, "right") - 1)])
+            for c, t, offsets in zip(core[a:b].tolist(), text[a:b].tolist(), repeated_windows(list(raw[a:b]), place[a:b], weight[a:b], length)):
+                out += [(c, t, x, y) for x, y in zip(*_spans(offsets, length))]
+            a = b
+        textkit.release()
         return pd.DataFrame(out, columns=["core", "text", "a", "b"]).astype("int64")
 
     return strings.withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards))).groupBy("shard").applyInPandas(solve, SPANS)
 
 
-def _window_spans(strings: DataFrame, length: int) -> DataFrame:
-    """The same for cores with more strings than one suffix array takes: every window is counted by its digest."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, t, place, weight, raw in zip(*(batch.column(k).to_pylist() for k in ("core", "text", "place", "weight", "bytes"))):
-                n = len(raw) - length + 1
-                a = np.arange(n)
-                w = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.full(n, t)), pa.array(a), pa.array(a + length), pa.array(w, pa.binary()), pa.array(a + place), pa.array(np.full(n, weight, np.int32))], ["core", "text", "a", "b", "w", "place", "weight"])
-
-    rows = strings.dropDuplicates(["core", "text"]).mapInArrow(windows, SPANS + ", w binary, place long, weight int")
-    again = rows.groupBy("w").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("weight").alias("m")).where("first < last OR m > 1").select("w")
-    return rows.join(again, "w").select("core", "text", "a", "b")
+NARROW = "core long, text long, place long, weight int, bytes binary, n int, outer_core long, outer_text long, at long"
 
 
-def _only(column: Column, folder: str, slices: int) -> Column:
-    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for digest in batches:
-            h = np.frombuffer(textkit.byte_column(digest)[0].tobytes(), "<u8")[::2]
-            yield pa.array(bloom.hits(h, slices, folder))
+def _narrower(strings: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """The strings' own cells at a smaller ``step``, and the string and the offset that each comes from."""
 
-    return F.arrow_udf(test, "boolean")(column)
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textkit.byte_column(batch.column("bytes"))
+            found, raw = anchors(data, offsets, length, gram), data.tobytes()
+            edge = np.searchsorted(found[2], offsets)
+            made = [cells(raw, a, b, tuple(x[i:j] for x in found), length, step) for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), edge[:-1], edge[1:])]
+            owner = np.repeat(np.arange(len(made)), [len(m) for m in made])
+            table = np.concatenate(made) if made else np.zeros(0, CELL)
+            own = {k: batch.column(k).take(pa.array(owner)) for k in ("core", "text", "place", "weight")}
+            begin = offsets[owner] + table["lo"]
+            cut = pa.array([raw[a : a + n + length - 1] for a, n in zip(begin.tolist(), table["n"].tolist())], pa.binary())
+            plain = lambda k: pa.array(np.ascontiguousarray(table[k]))
+            yield pa.RecordBatch.from_arrays([plain("core"), plain("text"), pa.array(own["place"].to_numpy(zero_copy_only=False) + table["lo"]), own["weight"], cut, plain("n"), own["core"], own["text"], plain("lo")], ["core", "text", "place", "weight", "bytes", "n", "outer_core", "outer_text", "at"])
+
+    return strings.select("core", "text", "place", "weight", "bytes").mapInArrow(part, NARROW)
+
+
+def _decide(strings: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """Repeated spans of (core, text, place, weight, bytes, kinds); cores with more than ``GROUP_STRINGS`` go by narrower cells.
+
+    At a step of one window a cell is its core, so no core has two strings there and
+    the recursion ends.
+    """
+    few = F.col("kinds") <= GROUP_STRINGS
+    seen = strings.agg(F.sum(F.when(few, F.octet_length("bytes"))).alias("b"), F.max("kinds").alias("k")).first()
+    spans = _shard_spans(strings.where(few), seen["b"] or 0, length)
+    if (seen["k"] or 0) <= GROUP_STRINGS:
+        return spans
+    step = max(1, step // NARROWER)
+    parted = store.keep(_narrower(strings.where(~few).dropDuplicates(["core", "text"]), length, gram, step), "narrower")
+    met = parted.groupBy("core", "text").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("n").alias("n"), F.max("weight").alias("w"))
+    met = met.select("core", "text", F.col("first").alias("place"), "n", F.when((F.col("first") < F.col("last")) | (F.col("w") > 1), 2).otherwise(1).alias("weight"))
+    kinds = met.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), (F.min("weight") > 1).alias("plain"))
+    met = store.keep(met.join(kinds, "core").where("kinds > 1 OR weight > 1"), "narrower-met")
+    inner = met.where("weight > 1").select("core", "text", F.lit(0).cast("long").alias("a"), (F.col("n") + F.lit(length - 1)).cast("long").alias("b"))
+    mixed = met.where("kinds > 1 AND NOT plain").select("core", "text", "place", "weight", "kinds")
+    if not mixed.isEmpty():
+        bodies = parted.select("core", "text", "place", "bytes").join(mixed, ["core", "text", "place"]).dropDuplicates(["core", "text"])
+        inner = inner.unionByName(_decide(store.keep(bodies.select("core", "text", "place", "weight", "bytes", "kinds"), "bytes"), length, gram, step))
+    of = parted.select("core", "text", "outer_core", "outer_text", "at").join(inner, ["core", "text"])
+    return spans.unionByName(of.select(F.col("outer_core").alias("core"), F.col("outer_text").alias("text"), (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")))
 
 
 def _near(texts: DataFrame, digests: DataFrame) -> DataFrame:
     """``texts`` less almost all whose digest is not in ``digests``: a Bloom filter spares the others the shuffle."""
     folder, slices = bloom.once(digests, "digest")
-    return texts.where(_only(F.col("digest"), folder, slices))
+    return texts.where(bloom.only(F.col("digest"), folder, slices))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, column: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -472,25 +506,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     text = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text")).where(F.octet_length("text") >= length)
     copies = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = store.table(copies.select("digest"), "copies")
-    occ = store.table(suspected(store.table(packed_cells(texts, length, gram, step), "cells")), "suspected")
+    copies = store.keep(copies.select("digest"), "copies")
+    occ = store.keep(suspected(store.keep(packed_cells(texts, length, gram, step), "cells")), "suspected")
     strings = occ.groupBy("core", "text").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("n").alias("n"))
     kinds = strings.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min(F.col("first") < F.col("last")).alias("plain"))
-    strings = store.table(strings.join(kinds, "core").where("kinds > 1 OR first < last").withColumn("weight", F.when(F.col("first") < F.col("last"), 2).otherwise(1)), "strings")
+    strings = store.keep(strings.join(kinds, "core").where("kinds > 1 OR first < last").withColumn("weight", F.when(F.col("first") < F.col("last"), 2).otherwise(1)), "strings")
     # A string that lies at several places repeats throughout; arrays are for cores where some string does not.
     mixed = strings.where("kinds > 1 AND NOT plain")
-    first = mixed.select("core", "text", "weight", F.col("first").alias("place"))
-    chosen = store.table(occ.join(first, ["core", "text", "place"]).dropDuplicates(["core", "text"]).select("digest", "core", "text", "lo", "n", "weight"), "chosen")
+    first = mixed.select("core", "text", "weight", "kinds", F.col("first").alias("place"))
+    chosen = store.keep(occ.join(first, ["core", "text", "place"]).dropDuplicates(["core", "text"]).select("digest", "core", "text", "lo", "n", "weight", "kinds"), "chosen")
     hashed = docs.select(text.alias("body")).where(F.octet_length("body") >= length).withColumn("digest", F.unhex(F.md5(F.col("body").cast("binary"))))
-    wanted = chosen.groupBy("digest").agg(F.collect_list(F.struct("core", "text", "lo", "n", "weight")).alias("cells"))
-    cut = _strings(_near(hashed, chosen), wanted, length)
-    large = mixed.where(F.col("kinds") > GROUP_STRINGS).select("core").distinct()
-    total = mixed.where(F.col("kinds") <= GROUP_STRINGS).agg(F.sum(F.col("n") + length).alias("b")).first()["b"] or 0
-    if large.isEmpty():
-        spans = _shard_spans(cut, total, length)
-    else:
-        cut = store.table(cut, "bytes")
-        spans = _shard_spans(cut.join(large, "core", "left_anti"), total, length).unionByName(_window_spans(cut.join(large, "core", "left_semi"), length))
+    wanted = chosen.groupBy("digest").agg(F.collect_list(F.struct("core", "text", "lo", "n", "weight", "kinds")).alias("cells"))
+    spans = _decide(store.keep(_strings(_near(hashed, chosen), wanted, length), "bytes"), length, gram, step)
     alone = strings.where("weight > 1").select("core", "text", F.lit(0).cast("long").alias("a"), (F.col("n") + F.lit(length - 1)).cast("long").alias("b"))
     spans = spans.unionByName(alone)
     of_text = occ.join(spans, ["core", "text"]).select("digest", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
@@ -510,13 +537,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     if clash := {"n_bytes", "n_removed", "n_spans"} & set(docs.columns):
         raise ValueError(f"{sorted(clash)} are columns already")
     copies, found = repeated_spans(docs, length, gram, step, column)
-    found = store.table(found, "spans")
+    found = store.keep(found, "spans")
     raw = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")
     # The row goes along as one value, so that its other columns may have any names.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), raw.alias("_raw")).withColumn("digest", F.unhex(F.md5("_raw")))
     folder, slices = bloom.once(found.select("digest"), "digest")
     twice, many = bloom.once(copies, "digest")
-    rows = rows.withColumn("_maybe", _only(F.col("digest"), folder, slices) | ((F.octet_length("_raw") >= length) & _only(F.col("digest"), twice, many)))
+    rows = rows.withColumn("_maybe", bloom.only(F.col("digest"), folder, slices) | ((F.octet_length("_raw") >= length) & bloom.only(F.col("digest"), twice, many)))
 
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for raws, lists in batches:
