@@ -1,11 +1,16 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Pivots part queries and data into Voronoi cells. Cells are split into blocks of
-bounded size, and a block's summary (its pivot, radius, largest norm, rows) bounds
-the scores between a query group and a data block from below and above. The
-k-th best lower bound of a group over the summaries gives its threshold; a block
-is sent to a group only if its upper bound reaches that threshold. Each pair of
-group and block is solved locally, and the best k of a query's blocks are merged.
+Pivots part queries and data into Voronoi cells. Cells are cut into rings by the
+distance to the pivot, and a ring of many rows into blocks of bounded size. A
+block's summary (its pivot, least and largest distance, largest norm, and the ids
+that it counts for) bounds the scores between a query group and a data block from
+below and above. The k-th best lower bound of a group over the summaries gives its
+threshold; a block is sent to a group only if its upper bound reaches that
+threshold. Each pair of group and block is solved locally, and the best k of a
+query's blocks are merged.
+
+Each id counts in one block only, however often it is repeated: a query can leave
+out its own id and still have k other ids in the blocks that set its threshold.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from . import store
 K, SCALE = 10, 1024
 #: Pivots for n rows are sqrt(n) / 8, up to MAX_PIVOTS; rows of a block, queries of a group, groups of a planning task.
 MAX_PIVOTS, BLOCK_ROWS, GROUP_QUERIES, PLAN_GROUPS = 512, 4096, 512, 64
+#: Steps of distance that a cell's rows are counted by to cut it into rings.
+STEPS = 64
 LONG = (1 << 63) - 1
 
 
@@ -91,21 +98,39 @@ def _cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _blocked(cells: DataFrame, each: int, name: str) -> DataFrame:
-    """Cells dealt to blocks of about ``each`` rows by a hash of the row, so no block grows with a hot cell."""
-    sizes = cells.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("_n"))
-    cut = cells.join(sizes, ["dim", "cell"]).withColumn("_b", F.pmod(F.xxhash64(F.lit(3), "vec_id", "dist"), F.ceil(F.col("_n") / each)))
-    return cut.withColumn(name, F.xxhash64("dim", "cell", "_b")).drop("_n", "_b")
+    """Cells cut into blocks of about ``each`` rows: rings of distance from the pivot, and where a step of distance alone holds more, by a hash of the row.
+
+    Rows are counted by cell and step, and only those counts are summed up in order.
+    """
+    edges = cells.groupBy("dim", "cell").agg(F.max("dist").alias("_most"))
+    stepped = cells.join(edges, ["dim", "cell"]).withColumn("_step", F.least(F.lit(STEPS - 1), F.floor(F.col("dist") / F.greatest("_most", F.lit(1e-300)) * STEPS)).cast("int")).drop("_most")
+    sizes = store.keep(stepped.groupBy("dim", "cell", "_step").agg(F.count(F.lit(1)).alias("_n")), "steps")
+    before = Window.partitionBy("dim", "cell").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    ring = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / each)
+    sizes = sizes.select("dim", "cell", "_step", "_n", ring.alias("_ring"))
+    cut = stepped.join(sizes, ["dim", "cell", "_step"])
+    part = F.when(F.col("_n") > each, F.pmod(F.xxhash64(F.lit(3), "vec_id", "dist"), F.ceil(F.col("_n") / each)) + 1).otherwise(0)
+    return cut.withColumn(name, F.xxhash64("dim", "cell", "_ring", F.when(F.col("_n") > each, F.col("_step")), part)).drop("_n", "_ring", "_step")
 
 
 def _bounds(query: pd.DataFrame, data: pd.DataFrame, pivots: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """(group, block) pairs that may hold one of a group's best ``k``."""
+    """(group, block) pairs that may hold one of a group's best ``k`` ids; the ids that a block's ``rows`` count are in no other's."""
     p = pivots[query["cell"]] @ pivots[data["cell"]].T
     pn = np.linalg.norm(pivots, axis=1)
     # q = p + dq and x = s + dx with |dq| <= rq and |dx| <= rx: the product lies within this of p.s.
     rq, rx = query["radius"].to_numpy()[:, None], data["radius"].to_numpy()[None, :]
-    slack = rq * pn[data["cell"]][None, :] + pn[query["cell"]][:, None] * rx + rq * rx
-    slack = slack * (1 + 1e-9) + 1e-6 * (1 + np.abs(p))
-    low, high = p - slack, np.minimum(p + slack, query["norm"].to_numpy()[:, None] * data["norm"].to_numpy()[None, :] * (1 + 1e-9) + 1e-6)
+    qn, xn = query["norm"].to_numpy()[:, None], data["norm"].to_numpy()[None, :]
+    far = rq * pn[data["cell"]][None, :]
+    room = (1 + 1e-9) * far + 1e-6 * (1 + np.abs(p))
+    low = p - room - (1 + 1e-9) * (pn[query["cell"]][:, None] * rx + rq * rx)
+    high = np.minimum(p + room + (1 + 1e-9) * qn * rx, (1 + 1e-9) * qn * xn + 1e-6)
+    # Also 2 q.x = |q|^2 + |x|^2 - |q - x|^2, and a ring keeps its distance from q's ball.
+    both = pn[query["cell"]][:, None] + pn[data["cell"]][None, :]
+    apart = np.sqrt(np.maximum(both**2 - 2 * (pn[query["cell"]][:, None] * pn[data["cell"]][None, :] + p), 0))
+    off = 1e-6 * both + 1e-3
+    inner = data["inner"].to_numpy()[None, :] if "inner" in data else 0
+    gap = np.maximum(np.maximum(apart - off - rq - rx, inner - apart - off - rq), 0)
+    high = np.minimum(high, (qn**2 + xn**2 - gap**2) / 2 + 1e-9 * (qn**2 + xn**2) + 1e-6)
     # Scores that stop at a long's ends are ties there, so bounds beyond them tell nothing.
     end = float(LONG) * (1 - 1e-9)
     low, high, out = np.minimum(low, end), np.maximum(high, -end), []
@@ -128,7 +153,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec_i
     stop at its ends. Empty tables give no rows.
     """
     data = store.cut(quantized(df, id_column, vector))
-    asked = store.cut(quantized(queries, id_column, vector).dropDuplicates(["vec_id"]))
+    asked = store.cut(quantized(queries, id_column, vector).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s")).select("vec_id", "s.v", "s.dim"))
     n, q = data.count(), asked.count()
     spark = df.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -140,7 +165,10 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec_i
     few = max(1, -(-q // (GROUP_QUERIES // 2)))
     asked = store.cut(_blocked(_cells(asked, {d: p[:few] for d, p in pivots.items()}), GROUP_QUERIES, "grp"))
     # Summaries: a row for each block, 1 / BLOCK_ROWS of the data plus one for each cell.
-    blocks = data.groupBy("dim", "cell", "block").agg(F.max("dist").alias("radius"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("rows"))
+    blocks = data.groupBy("dim", "cell", "block").agg(F.max("dist").alias("radius"), F.min("dist").alias("inner"), F.max("norm").alias("norm"))
+    # An id counts for the least of its blocks; partial minima keep a very common id from meeting in one task.
+    counted = data.groupBy("dim", "vec_id").agg(F.min("block").alias("block")).groupBy("dim", "block").agg(F.count(F.lit(1)).alias("rows"))
+    blocks = store.keep(blocks.join(counted, ["dim", "block"], "left").fillna(0, ["rows"]), "summaries")
     groups = asked.groupBy("dim", "cell", "grp").agg(F.max("dist").alias("radius"), F.max("norm").alias("norm"))
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -148,13 +176,25 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_column: str = "vec_i
         d = int(key[0])
         p = shared.value.get(d)
         found = _bounds(g, b, np.zeros((1, d)) if p is None else p, k + 1) if len(g) and len(b) else []
-        return pd.DataFrame(found, columns=["grp", "block"]).astype("int64")
+        return pd.DataFrame(found, columns=["grp", "cell"]).astype("int64")
 
-    # A task plans a few groups against all summaries of their dimension: rows / BLOCK_ROWS of 40 bytes.
+    # First whole cells, of which there are as many as pivots: a task plans a few groups against all cells of their dimension.
     parts = max(1, -(-(-(-q // GROUP_QUERIES) + MAX_PIVOTS) // PLAN_GROUPS)) if q > GROUP_QUERIES else 1
-    groups = groups.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(parts)))
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = store.cut(groups.groupBy("dim", "part").cogroup(blocks.groupBy("dim", "part")).applyInPandas(plan, "grp long, block long"))
+    groups = store.keep(groups.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(parts))), "groups")
+    whole = blocks.groupBy("dim", "cell").agg(F.max("radius").alias("radius"), F.max("norm").alias("norm"), F.sum("rows").alias("rows")).withColumn("block", F.col("cell").cast("long"))
+    whole = whole.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    near = groups.groupBy("dim", "part").cogroup(whole.groupBy("dim", "part")).applyInPandas(plan, "grp long, cell long")
+
+    def refine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        d = int(rows["dim"].iloc[0])
+        p = shared.value.get(d)
+        g = rows.iloc[:1][["grp", "q_cell", "q_radius", "q_norm"]].set_axis(["grp", "cell", "radius", "norm"], axis=1)
+        return pd.DataFrame(_bounds(g, rows, np.zeros((1, d)) if p is None else p, k + 1), columns=["grp", "block"]).astype("int64")
+
+    # Then the blocks of those cells: a group's task has a row of 60 bytes for each of them, 1 / BLOCK_ROWS of the data at most.
+    mine = groups.select("grp", "dim", F.col("cell").alias("q_cell"), F.col("radius").alias("q_radius"), F.col("norm").alias("q_norm"))
+    of = near.join(mine, "grp").join(blocks.withColumn("cell", F.col("cell").cast("long")), ["dim", "cell"])
+    pairs = store.keep(of.groupBy("grp").applyInPandas(refine, "grp long, block long"), "pairs")
     packed = data.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("d"))
     bundles = asked.groupBy("grp").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("vec_id", "v")).alias("q"))
     met = pairs.join(packed, "block").join(bundles, "grp").select("dim", "d", "q")
