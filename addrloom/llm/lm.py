@@ -1,11 +1,14 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and mapped into memory by its workers.
 
-Counting: tasks gather the bigrams of a few million tokens, packed by context,
-and send them to shards of the context's hash. A shard adds them up, writes its
-bigrams as a sorted hash array with counts to the shared folder, and sends on
-what words need: the distinct contexts before a word, and a context's total and
-its followers seen once, twice, and more often. Shards of the words' hashes write
-those as sorted arrays too. Nothing but a few totals reaches the driver.
+Counting: tasks gather the bigrams of a few million tokens and send them to shards
+of the bigram's hash, so that the followers of a very frequent word are spread
+over all shards. A shard adds them up, writes its bigrams as a sorted hash array
+with counts to the shared folder, and sends on what words need, as far as it has
+it: the number of distinct contexts before a word, and of a context the total and
+its followers seen once, twice, and more often. Shards of the words' hashes add
+those up and write them as sorted arrays too. Nothing but a few totals reaches
+the driver. Words and bigrams are known by 64-bit hashes: among 10^9 distinct words
+the odds of one collision are 1 in 37.
 
 Scoring: workers map the arrays and look each text's tokens up, sorted, so that
 a lookup runs through an array from front to back. The model is any size; what
@@ -29,8 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, store, textkit
 
-#: Hashes of the marks at a text's start and end; tokens have 48 bits.
-MASK = np.uint64((1 << 48) - 1)
+#: Hashes of the marks at a text's start and end.
 START, END = np.uint64(0x5A17C0DE0001), np.uint64(0x5A17C0DE0002)
 #: Tokens that a task gathers before it sends, bytes of text to a shard of bigrams, and bigram shards to one of words.
 GATHER, SHARD_TEXT, WORD_SHARES = 2_500_000, 12_000_000, 6
@@ -49,7 +51,7 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, token) hashes of all tokens, an end after each text, and the bounds of each text's tokens."""
     starts, ends, bounds = textkit.word_bounds(data, offsets)
-    words = textkit.word_hashes(data, starts, ends) & MASK
+    words = textkit.word_hashes(data, starts, ends)
     n = len(offsets) - 1
     y = np.insert(words, bounds[1:], END)
     x = np.insert(words, bounds[:-1], START)
@@ -57,15 +59,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """48-bit numbers in six bytes each."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return values.astype("<u8").tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def _small(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -89,7 +87,7 @@ def _packed(x: np.ndarray, y: np.ndarray, shards: int) -> Iterator[tuple]:
     key = _pair(x, y)
     _, first, count = np.unique(key, return_index=True, return_counts=True)
     x, y = x[first], y[first]
-    where = _shard(x, shards)
+    where = bloom.slice_of(key[first], shards)
     order = np.lexsort((x, where))
     x, y, count, where = x[order], y[order], count[order], where[order]
     edge = np.searchsorted(where, np.arange(shards + 1))
@@ -147,7 +145,7 @@ def _merge_bigrams(packed: DataFrame, shards: int, word_shards: int, folder: str
             edge = np.searchsorted(where[order], np.arange(word_shards + 1))
             for s in np.flatnonzero(np.diff(edge)).tolist():
                 own = order[edge[s] : edge[s + 1]]
-                out.append((s, kind, _pack(words[own]), numbers[own].astype("<i8" if kind == 1 else "<u4").tobytes()))
+                out.append((s, kind, _pack(words[own]), b"".join(_small(numbers[own].ravel()))))
 
         after, times = np.unique(y, return_counts=True)
         send(0, after, times)
@@ -160,7 +158,7 @@ def _merge_bigrams(packed: DataFrame, shards: int, word_shards: int, folder: str
     return packed.groupBy("shard").applyInPandas(merge, WORDS)
 
 
-WORD = np.dtype([("word", "<u8"), ("count", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("contexts", "<u4")])
+WORD = np.dtype([("word", "<u8"), ("count", "<i8"), ("n1", "<i8"), ("n2", "<i8"), ("n3", "<i8"), ("contexts", "<i8")])
 TOTALS = ("b1", "b2", "b3", "b4", "bigrams", "w1", "w2", "w3", "w4", "w_more", "types", "words", "texts")
 
 
@@ -173,16 +171,17 @@ def _merge_words(sent: DataFrame, folder: str) -> DataFrame:
             return pd.DataFrame([out]).astype("int64")
         before, ctx = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
         y = np.concatenate([_unpack(b) for b in before["words"]] or [np.zeros(0, np.uint64)])
-        n = np.concatenate([np.frombuffer(b, "<u4") for b in before["numbers"]] or [np.zeros(0, np.uint32)])
+        n = np.concatenate([_counts(b[: len(w) // 8], b[len(w) // 8 :]) for w, b in zip(before["words"], before["numbers"])] or [np.zeros(0, np.int64)])
         x = np.concatenate([_unpack(b) for b in ctx["words"]] or [np.zeros(0, np.uint64)])
-        t = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 4) for b in ctx["numbers"]] or [np.zeros((0, 4), np.int64)])
+        t = np.concatenate([_counts(b[: len(w) // 2], b[len(w) // 2 :]).reshape(-1, 4) for w, b in zip(ctx["words"], ctx["numbers"])] or [np.zeros((0, 4), np.int64)])
         word = np.unique(np.concatenate((x, y)))
         made = np.zeros(len(word), WORD)
         made["word"] = word
         made["contexts"] = np.bincount(np.searchsorted(word, y), n, len(word))
         at = np.searchsorted(word, x)
         for i, f in enumerate(("count", "n1", "n2", "n3")):
-            made[f][at] = t[:, i]
+            # In whole numbers: each shard of bigrams sent its part.
+            np.add.at(made[f], at, t[:, i].astype(made[f].dtype))
         store.put(f"{folder}/words-{int(key[0])}", made.tobytes())
         real = (word != START) & (word != END)
         seen = made["contexts"][word != START]
@@ -231,7 +230,8 @@ class Model:
 
     def counts_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Counts of bigrams."""
-        key, where = _pair(x, y), _shard(x, self.shards)
+        key = _pair(x, y)
+        where = bloom.slice_of(key, self.shards)
         order = np.lexsort((key, where))
         edge = np.searchsorted(where[order], np.arange(self.shards + 1))
         out = np.zeros(len(x), np.int64)
@@ -297,7 +297,14 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Scores of every whole text; (held-out or not) a null text is empty and has the end alone."""
+    """Scores of every whole text, held out or not, one row for each row of ``docs``.
+
+    A null text is empty and has the end alone; a very long one is scored in one
+    piece, whose arrays are some 200 bytes a word. Repeated rows are scored alike, and rows
+    without a doc_id keep their null. Only doc_id and text are read, so other columns
+    may have any names. No rows give none; a model of no text knows no token, and
+    every probability is then 1 / (V + 1) = 1.
+    """
     total = model.train_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
