@@ -100,6 +100,32 @@ class Model:
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
+def loss(state: np.ndarray, rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, width: int, l2: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood with its penalty, and the gradient, at (weights, first threshold, logarithms of the steps)."""
+    n, top = len(grade), len(state) - width
+    w, theta = state[:width], state[width:]
+    cuts = np.concatenate((theta[:1], theta[:1] + np.cumsum(np.exp(theta[1:]))))
+    s = np.bincount(rows, w[cols], n)
+    upper = np.concatenate((_sigmoid(cuts[None, :] - s[:, None]), np.ones((n, 1))), 1)
+    lower = np.concatenate((np.zeros((n, 1)), upper[:, :-1]), 1)
+    at = np.arange(n)
+    up, low = upper[at, grade], lower[at, grade]
+    p = np.maximum(up - low, 1e-12)
+    dup, dlow = up * (1 - up) / p, low * (1 - low) / p
+    gs = (dup - dlow) / n  # of the negative log-likelihood by the score
+    gcut = np.zeros((n, top + 1))
+    gcut[at, grade] -= dup / n
+    part = np.zeros((n, top + 2))
+    part[at, grade] += dlow / n
+    gc = (gcut[:, :top] + part[:, 1 : top + 1]).sum(0)
+    gw = np.bincount(cols, gs[rows], width) + l2 * w / np.sqrt(max(n, 1))
+    gt = np.empty_like(theta)
+    gt[0] = gc.sum()
+    for k in range(1, len(theta)):
+        gt[k] = np.exp(theta[k]) * gc[k:].sum()
+    return float(-np.log(p).mean() + l2 * (w @ w) / 2 / np.sqrt(max(n, 1))), np.concatenate((gw, gt))
+
+
 def fit(doc: np.ndarray, key: np.ndarray, grade: np.ndarray, min_df: int = 3, deviations: float = 4.0, l2: float = 2e-3, rounds: int = 400) -> Model:
     """Maximum likelihood with an L2 penalty, by Adam over the whole sample.
 
@@ -129,27 +155,7 @@ def fit(doc: np.ndarray, key: np.ndarray, grade: np.ndarray, min_df: int = 3, de
     state = np.concatenate((w, theta))
     m, v = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, rounds + 1 if n else 1):
-        w, theta = state[:width], state[width:]
-        cuts = np.concatenate((theta[:1], theta[:1] + np.cumsum(np.exp(theta[1:]))))
-        s = np.bincount(rows, w[cols], n)
-        upper = np.concatenate((_sigmoid(cuts[None, :] - s[:, None]), np.ones((n, 1))), 1)
-        lower = np.concatenate((np.zeros((n, 1)), upper[:, :-1]), 1)
-        at = np.arange(n)
-        up, low = upper[at, grade], lower[at, grade]
-        p = np.maximum(up - low, 1e-12)
-        dup, dlow = up * (1 - up) / p, low * (1 - low) / p
-        gs = (dup - dlow) / n  # of the negative log-likelihood by the score
-        gcut = np.zeros((n, top + 1))
-        gcut[at, grade] -= dup / n
-        part = np.zeros((n, top + 2))
-        part[at, grade] += dlow / n
-        gc = (gcut[:, :top] + part[:, 1 : top + 1]).sum(0)
-        gw = np.bincount(cols, gs[rows], width) + l2 * w / np.sqrt(max(n, 1))
-        gt = np.empty_like(theta)
-        gt[0] = gc.sum()
-        for k in range(1, len(theta)):
-            gt[k] = np.exp(theta[k]) * gc[k:].sum()
-        g = np.concatenate((gw, gt))
+        _, g = loss(state, rows, cols, grade, width, l2)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         rate = 0.03 * min(1.0, 4 * (1 - step / (rounds + 1)))
         state = state - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -167,12 +173,15 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS, m
 
     ``sample_rows`` bounds the rated documents that it learns from: those whose
     hash of doc_id comes first, the same on every run. Only their feature hashes
-    reach the driver. Ratings without a grade or a document are passed over.
+    reach the driver. Ratings without a grade or a document are passed over. Of
+    several ratings of a doc_id the lowest grade holds, and of several texts the one
+    whose digest comes first. Empty tables give a model that ignores the text.
     """
-    chosen = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").dropDuplicates(["doc_id"])
+    chosen = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade >= 0").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample_rows)
     # sample_rows bounds the broadcast side: 16 bytes a row.
-    rated = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rated = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rated = rated.groupBy("doc_id", "grade").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("digest"), "text")).alias("s")).select("doc_id", "grade", "s.text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +204,10 @@ def grade(docs: DataFrame, model: Model, wanted: int | None = None, least: float
 
     ``keep`` holds where the tail probability is at least ``least``. Null texts
     count as empty; other columns, under any names but these three, pass through.
+    Every row is graded, repeated ones alike; an empty table gives none.
     """
+    if wanted is not None and not 1 <= wanted <= len(model.thresholds):
+        raise ValueError(f"wanted must lie between 1 and {len(model.thresholds)}")
     if clash := {"expected_grade", "tail_probability", "keep"} & set(docs.columns):
         raise ValueError(f"{sorted(clash)} are columns already")
     # The model has at most sample_rows * (distinct features a text) / min_df entries of 12 bytes.
