@@ -18,6 +18,8 @@ from . import store
 
 MAX_DEPTH = 62
 EXTRA_BITS = 3
+#: Depths that are rolled up in one pass.
+ROLL = 8
 ROWS_PER_PART = 20_000
 
 
@@ -43,10 +45,13 @@ def shard(df: DataFrame, keys: list[str], weight: Column, limit: int) -> DataFra
     total = rows.agg(F.sum("bytes").alias("b")).first()["b"] or 0
     top = min(MAX_DEPTH, max(1, math.ceil(math.log2(max(2.0, total / limit))) + EXTRA_BITS))
     sums = lambda d, of: of.groupBy(_prefix(d).alias("prefix")).agg(F.sum("bytes").alias("shard_bytes")).withColumn("depth", F.lit(d))
-    levels = [store.cut(sums(top, rows))]
-    for d in range(top - 1, -1, -1):
-        up = levels[-1].groupBy(F.shiftrightunsigned("prefix", 1).alias("prefix")).agg(F.sum("shard_bytes").alias("shard_bytes"))
-        levels.append(up.withColumn("depth", F.lit(d)))
+    levels, base = [store.cut(sums(top, rows))], top
+    # The sums of ROLL depths at a time: the buckets shrink by halves, so each pass reads far fewer than the one before.
+    while base > 0:
+        each = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("prefix", base - d).alias("prefix")) for d in range(max(0, base - ROLL), base)]))
+        up = levels[-1].where(F.col("depth") == base).select("shard_bytes", each.alias("at")).groupBy("at.depth", "at.prefix").agg(F.sum("shard_bytes").alias("shard_bytes"))
+        levels.append(store.cut(up.select("prefix", "shard_bytes", "depth")))
+        base = max(0, base - ROLL)
     deep, depth = levels[0].where(F.col("shard_bytes") > limit), top
     pending = rows.join(deep.select("prefix"), _prefix(top) == F.col("prefix"), "left_semi")
     while depth < MAX_DEPTH and not deep.isEmpty():
