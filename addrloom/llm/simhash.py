@@ -186,12 +186,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     component_id is the least doc_id among the documents that links reach from
     this one, itself included (null only if all of those are null). Null, empty
     and blank texts have the fingerprint 0 and link like any other; exact copies
-    and repeated rows share a fingerprint, so they are one node of the graph.
+    and repeated rows share a fingerprint, so they are one node of the graph. Only
+    doc_id and text are read, so other columns may have any names; an empty table
+    gives no rows.
     """
     prints = store.cut(fingerprints(docs, shingle))
     nodes = store.cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = cc.components(links(nodes.select("fingerprint"), bits))
     rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least", "n")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_rows"))
+    # Written first, so that the join below has an exchange on either side and a large component can be split.
+    least = store.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_rows")))
     classes = rooted.select("fingerprint", "root").join(least, "root").drop("root")
     return prints.join(classes, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "component_rows")
