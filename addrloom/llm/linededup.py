@@ -1,12 +1,13 @@
 """Line deduplication with two Bloom filters.
 
-A first pass sends the hashes of line keys, 8 bytes each and packed, to slices
-of the hash space. Each slice adds them to a once-seen filter, and those that it
-held already to a twice-seen filter, whose bits go to a file in the shared
-folder. In a second pass, tasks map those files into memory; only lines that hit
-the twice-seen filter are suspected, and only their digests shuffle, to be
-counted exactly and to choose the document that keeps the line. Documents
-without a suspected line are finished where they are read.
+The keys of each document's lines are read once, as digests, to a table in the
+shared folder. Their hashes, 8 bytes each and packed, go to slices of the hash
+space. Each slice adds them to a once-seen filter, and those that it held already
+to a twice-seen filter, whose bits go to a file in the shared folder. Then tasks
+map those files into memory; only digests that hit the twice-seen filter are
+suspected, and only they shuffle, to be counted exactly and to choose the document
+that keeps the line. Texts are read again where they are, and only documents that
+lose a line meet their list of digests.
 """
 
 from __future__ import annotations
@@ -43,42 +44,50 @@ def _documents(column: pa.Array) -> Iterator[bytes]:
         yield data[a:b].tobytes()
 
 
-def build_filters(docs: DataFrame, column: str, min_chars: int, slices: int, folder: str) -> None:
+def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, keys: 16 bytes for each distinct key) of (doc_id, text) rows that have a key."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, packed, size = [], [], 0
+            for i, text in enumerate(_documents(batch.column(1))):
+                size += len(text)
+                if found := {_digest(k) for k in _keys(text, min_chars) if k is not None}:
+                    at.append(i)
+                    packed.append(b"".join(found))
+            textkit.release(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(find, "doc_id long, keys binary")
+
+
+def build_filters(keys: DataFrame, slices: int, folder: str) -> None:
     """Write the twice-seen filter of each slice that has keys to ``folder``/<slice>."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: list[np.ndarray] = []
-            for text in _documents(batch.column(0)):
-                found = {_digest(k) for k in _keys(text, min_chars) if k is not None}
-                own.append(np.frombuffer(b"".join(found), "<u8")[::2])
-            seen, times = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+            seen, times = np.unique(np.frombuffer(textkit.byte_column(batch.column(0))[0].tobytes(), "<u8")[::2], return_counts=True)
             where = bloom.slice_of(seen, slices)
             edge = np.searchsorted(where, np.arange(slices + 1))
             rows = [(i, seen[a:b].tobytes(), seen[a:b][times[a:b] > 1].tobytes()) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "once", "twice"])
 
-    bloom.merge_twice(docs.select(column).mapInArrow(hashes, "slice long, once binary, twice binary"), folder)
+    bloom.merge_twice(keys.select("keys").mapInArrow(hashes, "slice long, once binary, twice binary"), folder)
 
 
-def _suspects(column: Column, min_chars: int, slices: int, folder: str) -> Column:
-    """Distinct digests of the document's lines that the twice-seen filter holds."""
+def suspects(keys: DataFrame, slices: int, folder: str) -> DataFrame:
+    """(doc_id, digest) of the keys that the twice-seen filter holds."""
 
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, digests = [], []
-            for i, text in enumerate(_documents(batch)):
-                found = dict.fromkeys(_digest(k) for k in _keys(text, min_chars) if k is not None)
-                digests += found
-                owner += [i] * len(found)
-            owner = np.array(owner, np.int64)
-            h = np.frombuffer(b"".join(digests), "<u8")[::2]
-            hit = bloom.hits(h, slices, folder)
-            chosen = [d for d, y in zip(digests, hit) if y]
-            edge = np.searchsorted(owner[hit], np.arange(len(batch) + 1))
-            yield pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(chosen, pa.binary()))
+            data, offsets = textkit.byte_column(batch.column(1))
+            hit = np.flatnonzero(bloom.hits(np.frombuffer(data.tobytes(), "<u8")[::2], slices, folder))
+            owner = np.repeat(np.arange(len(batch)), np.diff(offsets) // 16)[hit]
+            chosen = data.reshape(-1, 16)[hit].tobytes()
+            digests = pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer((np.arange(len(hit) + 1) * 16).astype(np.int32)), pa.py_buffer(chosen)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), digests], ["doc_id", "digest"])
 
-    return F.arrow_udf(find, "array<binary>")(column)
+    return keys.mapInArrow(find, "doc_id long, digest binary")
 
 
 def _drop(text: Column, drops: Column, min_chars: int) -> Column:
@@ -119,22 +128,24 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     spark, names = docs.sparkSession, docs.columns
     # The row goes along as one value, so that its other columns may have any names.
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{column}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    text = F.col("text")
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n")).first()["n"] or 0
-    slices = bloom.slices_for(lines)
-    folder = store.new_folder(spark, "twice-seen")
-    build_filters(docs.where("doc_id IS NOT NULL").select("text"), "text", min_chars, slices, folder)
-    suspects = _suspects(F.when(F.col("doc_id").isNotNull(), text), min_chars, slices, folder)
-    found = docs.select("doc_id", suspects.alias("_s")).where(F.size("_s") > 0)
+    keys = store.keep(line_keys(docs.where("doc_id IS NOT NULL"), min_chars), "line-keys")
+    n = keys.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0
+    slices, folder = bloom.slices_for(n // 16), store.new_folder(spark, "twice-seen")
+    build_filters(keys, slices, folder)
     # (digest, doc_id) pairs are counted by digest with partial sums, so a line of a third of all documents meets no task whole.
-    pairs = store.cut(found.select("doc_id", F.explode("_s").alias("digest")).distinct())
+    with store.short_rows(spark):
+        pairs = store.keep(suspects(keys, slices, folder).distinct(), "suspects")
     repeated = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     # Written first, so that the join below has an exchange on either side and a very common line can be split.
-    repeated = store.cut(repeated)
+    repeated = store.keep(repeated, "repeated")
     drops = pairs.join(repeated, "digest").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("digest").alias("_drops"))
-    marked = docs.withColumn("_s", F.size(suspects) > 0)
-    out = lambda df, gone: df.withColumn("_d", _drop(text, gone, min_chars)).select(*[F.col("_d.text").alias(c) if c == column else F.col("row").getField(c).alias(c) for c in names], "_d.n_lines", "_d.n_dropped")
-    none = F.lit(None).cast("array<binary>")
-    clean = out(marked.where("NOT _s").drop("_s"), none)
-    rest = marked.where("_s").drop("_s").join(drops.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    return clean.unionByName(out(rest, F.col("_drops")))
+    drops = store.keep(drops.select(F.col("doc_id").alias("_doc"), "_drops"), "drops")
+    of = lambda c: F.unhex(F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")))
+    losing, many = bloom.once(drops.select(of("_doc").alias("d")), "d")
+    marked = docs.withColumn("_s", bloom.only(of("doc_id"), losing, many))
+    shape = lambda df, text, lines, gone: df.select(*[text.alias(c) if c == column else F.col("row").getField(c).alias(c) for c in names], lines.alias("n_lines"), gone.alias("n_dropped"))
+    text = F.coalesce("text", F.lit(""))
+    lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    clean = shape(marked.where("NOT _s"), text, lines, F.lit(0).cast("long"))
+    rest = marked.where("_s").join(drops, F.col("doc_id") == F.col("_doc"), "left").withColumn("_d", _drop(F.col("text"), F.col("_drops"), min_chars))
+    return clean.unionByName(shape(rest, F.col("_d.text"), F.col("_d.n_lines"), F.col("_d.n_dropped")))
