@@ -42,17 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     a digest of the text decides. Texts without words are one group.
     """
     store.text_batches(spark)
-    rows = nearcopies.near_copies(docs)
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s")).select("s.row")
-    counts = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    losers = counts.join(first, "row", "left_anti").select("row")
-    kept = docs.withColumn("row", nearcopies.identity()).join(losers, "row", "left_anti")
-    repeated = store.cut(counts.where("n > 1").join(first, "row", "left_semi").select("row"))
-    if not repeated.isEmpty():
-        # Rows that are equal in doc_id and text are copies of each other too.
-        again = kept.join(repeated, "row", "left_semi").dropDuplicates(["row"])
-        kept = kept.join(repeated, "row", "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+    return nearcopies.first_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +65,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", drop_repeated_lines),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
