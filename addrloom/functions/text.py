@@ -131,7 +131,7 @@ def read_back(score: Column) -> Column:
     return score.cast("string").cast("double")
 
 
-HOUSE = r"(?iU)(?:\bso\.?\s*|\bs\.?\s*|#\s*)?(\d+[a-z]?(?:[/\-]\d+[a-z]?)*)"
+HOUSE = "(?iU)" + dicts.HOUSE
 
 
 def house_match(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from addrloom.functions import dicts
 
 STRUCT = "[" + ", ".join(f"'{w}'" for w in dicts.STRUCTURAL) + "]"
-HOUSE = r"(?i)(?:\bso\.?\s*|\bs\.?\s*|#\s*)?(\d+[a-z]?(?:[/\-]\d+[a-z]?)*)"
+HOUSE = "(?i)" + dicts.HOUSE
 
 
 def trigrams(x: str) -> str:
