@@ -1,10 +1,10 @@
 """Fuzzy matching of text variants against units, as equi-joins.
 
 Many addresses ask for the same variant below the same parent, so each distinct
-(parent, variant) is scored once: its trigrams meet an inverted index of the
-units on (parent, trigram), and shared trigrams are counted. Similarities of
-pairs without a shared trigram are 0, below every threshold in use. Addresses
-then look their variants' hits up.
+(parent, variant, day) is scored once: its trigrams meet an inverted index of the
+units on (parent, trigram), those not valid on the day drop out, and shared
+trigrams are counted. Similarities of pairs without a shared trigram are 0, below
+every threshold in use. Addresses then look their variants' hits up.
 """
 
 from __future__ import annotations
@@ -20,24 +20,50 @@ UNIT_FIELDS = ("id", "gso_code", "full_name", "name", "unit_type", "ascii_name",
 ROOT = -1
 
 
-def index_units(units: DataFrame) -> DataFrame:
-    """(level, parent, g, unit_id, n): a row for each trigram of each unit's plain name.
+def index_units(units: DataFrame, below_root: bool = False) -> DataFrame:
+    """(level, parent, g, unit_id, n, valid_from, valid_to): a row for each trigram of each unit's plain name.
 
-    Levels are found below their parent; units of every level also below ROOT, where
-    a search without a parent looks.
+    Units stand below their parent, those without one below ROOT; with ``below_root``
+    all stand there, where a search without a parent looks.
     """
     t = text.trigrams(F.col("ascii_name"))
-    rows = units.where(F.col("ascii_name").isNotNull()).select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), F.array_distinct(F.array(F.coalesce("parent_id", F.lit(ROOT)), F.lit(ROOT))).alias("ps"), t.alias("t"), F.size(t).alias("n"))
-    return rows.select("unit_id", "level", F.explode("ps").alias("parent"), "t", "n").select("level", "parent", F.explode("t").alias("g"), "unit_id", "n")
+    parent = F.lit(ROOT).cast("bigint") if below_root else F.coalesce("parent_id", F.lit(ROOT))
+    rows = units.where(F.col("ascii_name").isNotNull()).select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), parent.alias("parent"), "valid_from", "valid_to", t.alias("t"), F.size(t).alias("n"))
+    return rows.select("level", "parent", F.explode("t").alias("g"), "unit_id", "n", "valid_from", "valid_to")
+
+
+def scored(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """(level, parent, variant, as_of, unit_id, sim float) for (level, parent, variant, as_of, threshold) rows.
+
+    Only units valid on the day, and only such sizes as can pass the least threshold
+    asked for: the similarity is at most the smaller trigram set over the larger.
+    """
+    key = ["level", "parent", "variant", "as_of"]
+    distinct = pairs.groupBy(*key).agg(F.min("threshold").alias("least")).withColumn("t", text.trigrams(F.col("variant")))
+    asked = distinct.select(*key, "least", F.size("t").alias("m"), F.explode("t").alias("g"))
+    # A little less than the threshold, as similarities are compared as 4-byte floats.
+    sizes = F.least("m", "n") >= F.col("least") * F.greatest("m", "n") * (1 - 1e-6)
+    return _shared(asked.join(index, ["level", "parent", "g"]).where(valid_at(F.col("as_of")) & sizes), key)
+
+
+def _shared(met: DataFrame, key: list[str]) -> DataFrame:
+    shared = met.groupBy(*key, "unit_id", "m", "n").agg(F.count(F.lit(1)).alias("c"))
+    return shared.select(*key, "unit_id", text.overlap(F.col("c"), F.col("m"), F.col("n")).alias("sim"))
 
 
 def similar(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """(level, parent, variant, unit_id, sim float) for (level, parent, variant) rows: every unit with a trigram in common."""
-    distinct = pairs.select("level", "parent", "variant").distinct().withColumn("t", text.trigrams(F.col("variant")))
-    asked = distinct.select("level", "parent", "variant", F.size("t").alias("m"), F.explode("t").alias("g"))
-    met = asked.join(index_units(units), ["level", "parent", "g"])
-    shared = met.groupBy("level", "parent", "variant", "unit_id", "m", "n").agg(F.count(F.lit(1)).alias("c"))
-    return shared.select("level", "parent", "variant", "unit_id", text.overlap(F.col("c"), F.col("m"), F.col("n")).alias("sim"))
+    """(level, parent, variant, unit_id, sim float) for (level, parent, variant) rows: every unit of any day with a trigram in common."""
+    key = ["level", "parent", "variant"]
+    distinct = pairs.select(*key).distinct().withColumn("t", text.trigrams(F.col("variant")))
+    index = index_units(units).unionByName(index_units(units.where("parent_id IS NOT NULL"), below_root=True))
+    return _shared(distinct.select(*key, F.size("t").alias("m"), F.explode("t").alias("g")).join(index, ["level", "parent", "g"]), key)
+
+
+def named(variants: DataFrame, units: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(request, as_of, unit_id, score) of the units with an alias among (request, level, parent, as_of, variant) rows, and its greatest weight."""
+    places = units.select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), F.explode(F.array_distinct(F.array(F.coalesce("parent_id", F.lit(ROOT)), F.lit(ROOT)))).alias("parent"))
+    weights = aliases.where(F.col("unit_id").isNotNull()).groupBy(F.col("alias").alias("variant"), "unit_id").agg(F.max("weight").alias("score")).join(places, "unit_id")
+    return variants.join(weights, ["level", "parent", "variant"]).select("request", "as_of", "unit_id", "score")
 
 
 def similar_broadcast(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -50,22 +76,22 @@ def similar_broadcast(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return distinct.join(below, ["level", "parent"]).where(shared > 0).select("level", "parent", "variant", "unit_id", text.overlap(shared, F.size("t"), F.size("u")).alias("sim"))
 
 
-def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int) -> DataFrame:
+def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | None = None) -> DataFrame:
     """(request, rank, unit, score) for requests (request, level, parent, as_of, threshold, variants).
 
     A unit's score is its best similarity above the threshold over the variants,
     or its weightiest alias among them if that is more; aliases pass without a
     threshold. Ties go to units with an alias, then to the smaller id. Requests
-    without variants have no hits. The requests are read three times, so they had
-    better come from a table or a cut stage.
+    without variants have no hits. The requests are read twice, so they had better
+    come from a table or a cut stage, and so had the ``index`` (of ``index_units``;
+    made here if it is not given).
     """
     variants = requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant"))
     unit = F.struct(*UNIT_FIELDS)
     known = units.select(F.col("id").alias("unit_id"), unit.alias("unit"), "valid_from", "valid_to")
-    fuzzy = variants.join(similar(variants, units), ["level", "parent", "variant"]).where(F.col("sim") > F.col("threshold")).select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias"))
-    named = units.select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), F.explode(F.array_distinct(F.array(F.coalesce("parent_id", F.lit(ROOT)), F.lit(ROOT)))).alias("parent"))
-    weights = aliases.where(F.col("unit_id").isNotNull()).groupBy(F.col("alias").alias("variant"), "unit_id").agg(F.max("weight").alias("score")).join(named, "unit_id")
-    exact = variants.join(weights, ["level", "parent", "variant"]).select("request", "as_of", "unit_id", "score", F.lit(1).alias("by_alias"))
+    hits = scored(variants, index_units(units) if index is None else index)
+    fuzzy = variants.join(hits, ["level", "parent", "variant", "as_of"]).where(F.col("sim") > F.col("threshold")).select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias"))
+    exact = named(variants, units, aliases).withColumn("by_alias", F.lit(1))
     hits = fuzzy.unionByName(exact).groupBy("request", "as_of", "unit_id").agg(F.max("score").alias("score"), F.max("by_alias").alias("by_alias"))
     found = hits.join(known, "unit_id").where(valid_at(F.col("as_of")))
     order = Window.partitionBy("request").orderBy(F.desc("score"), F.desc("by_alias"), "unit_id")

@@ -17,10 +17,15 @@ from addrloom.sources import gazetteer, schemas
 
 @dataclass(frozen=True)
 class Gazetteer:
-    """Units with ids and the aliases for them."""
+    """Units with ids, the aliases for them, and their trigram index, which is made once if it is not given."""
 
     units: DataFrame
     aliases: DataFrame
+    index: DataFrame | None = None
+
+
+def indexed(gaz: Gazetteer) -> Gazetteer:
+    return gaz if gaz.index is not None else Gazetteer(gaz.units, gaz.aliases, cut(match.index_units(gaz.units)))
 
 
 def build(spark: SparkSession, nested: str, objects: str, aliases_before_merger: bool = False) -> Gazetteer:
@@ -36,17 +41,18 @@ def from_units(old: DataFrame, new: DataFrame, aliases_before_merger: bool = Fal
     """The same from the scanned units of either era."""
     old, new = gazetteer.with_ids(old), gazetteer.with_ids(new)
     units = cut(tables.close_out(tables.upsert(old, new)))
-    return Gazetteer(units, cut(gazetteer.seed_aliases(units.where("era = 'pre_merger'") if aliases_before_merger else units)))
+    return indexed(Gazetteer(units, cut(gazetteer.seed_aliases(units.where("era = 'pre_merger'") if aliases_before_merger else units))))
 
 
 def save(gaz: Gazetteer, folder: str) -> None:
     """Parquet by era and unit type, written to a new folder: a reader sees the old one or the whole new one."""
     gaz.units.write.partitionBy("era", "unit_type").parquet(f"{folder}/admin_units")
     gaz.aliases.write.parquet(f"{folder}/aliases")
+    indexed(gaz).index.write.partitionBy("level").parquet(f"{folder}/trigrams")
 
 
 def load(spark: SparkSession, folder: str) -> Gazetteer:
-    return Gazetteer(spark.read.parquet(f"{folder}/admin_units"), spark.read.parquet(f"{folder}/aliases"))
+    return Gazetteer(*[spark.read.parquet(f"{folder}/{name}") for name in ("admin_units", "aliases", "trigrams")])
 
 
 def prepare(addresses: DataFrame, compat: bool = True) -> DataFrame:
@@ -75,10 +81,10 @@ def provinces(prepared: DataFrame, gaz: Gazetteer) -> DataFrame:
     """(addr_id, as_of, p_rank, province, p_score): the sole province of a trusted last segment, else the best three."""
     rows = prepared.withColumn("request", F.struct("addr_id", "as_of"))
     none = F.lit(None).cast("bigint")
-    anchors = match.best_match(_requests(rows.where(F.col("anchor_variants").isNotNull()), "province", none, "anchor_variants", dicts.ANCHOR_THRESHOLD), gaz.units, gaz.aliases, 1)
+    anchors = match.best_match(_requests(rows.where(F.col("anchor_variants").isNotNull()), "province", none, "anchor_variants", dicts.ANCHOR_THRESHOLD), gaz.units, gaz.aliases, 1, gaz.index)
     anchors = cut(anchors.where(F.col("score") >= dicts.ANCHOR_ACCEPT))
     rest = rows.join(anchors.select("request"), "request", "left_anti")
-    others = match.best_match(_requests(rest, "province", none, "variants", dicts.PROVINCE_THRESHOLD), gaz.units, gaz.aliases, dicts.FAN_OUT)
+    others = match.best_match(_requests(rest, "province", none, "variants", dicts.PROVINCE_THRESHOLD), gaz.units, gaz.aliases, dicts.FAN_OUT, gaz.index)
     return anchors.unionByName(others).select("request.addr_id", "request.as_of", F.col("rank").alias("p_rank"), F.col("unit").alias("province"), F.col("score").alias("p_score"))
 
 
@@ -93,7 +99,7 @@ def candidates(prepared: DataFrame, gaz: Gazetteer) -> DataFrame:
     top = cut(top.withColumn("request", F.struct(*key, "p_rank")))
     post = F.col("era") == "post_merger"
     below = _requests(top, F.when(post, "ward").otherwise("district"), F.col("province.id"), "variants", dicts.CHILD_THRESHOLD)
-    found = cut(match.best_match(below, gaz.units, gaz.aliases, dicts.FAN_OUT).select("request", F.col("rank").alias("c_rank"), F.col("unit").alias("child"), F.col("score").alias("c_score")))
+    found = cut(match.best_match(below, gaz.units, gaz.aliases, dicts.FAN_OUT, gaz.index).select("request", F.col("rank").alias("c_rank"), F.col("unit").alias("child"), F.col("score").alias("c_score")))
     unit, none, number = found.schema["child"].dataType, lambda t: F.lit(None).cast(t), F.lit(None).cast("double")
     joined = top.join(found, "request", "left")
     shape = lambda df, second, d, ds, w, ws, d_rank, w_rank: df.select(*key, "era", F.struct(F.col("p_rank"), F.lit(second).alias("second"), d_rank.alias("d"), w_rank.alias("w")).alias("place"), "province", "p_score", d.alias("district"), ds.alias("d_score"), w.alias("ward"), ws.alias("w_score"))
@@ -103,7 +109,7 @@ def candidates(prepared: DataFrame, gaz: Gazetteer) -> DataFrame:
     no_district = shape(joined.where(~post & child.isNull()), 0, none(unit), number, none(unit), number, zero, zero)
     districts = joined.where(~post & child.isNotNull())
     deeper = districts.withColumn("variants", text.without_parent(F.col("variants"), F.col("child.ascii_name"))).withColumn("request", F.struct(*key, "p_rank", "c_rank"))
-    last = match.best_match(_requests(deeper, "ward", F.col("child.id"), "variants", dicts.CHILD_THRESHOLD), gaz.units, gaz.aliases, dicts.FAN_OUT).select("request", F.col("rank").alias("w_rank"), F.col("unit").alias("ward"), F.col("score").alias("w_score"))
+    last = match.best_match(_requests(deeper, "ward", F.col("child.id"), "variants", dicts.CHILD_THRESHOLD), gaz.units, gaz.aliases, dicts.FAN_OUT, gaz.index).select("request", F.col("rank").alias("w_rank"), F.col("unit").alias("ward"), F.col("score").alias("w_score"))
     full = shape(deeper.join(last, "request", "left"), 0, child, c_score, F.col("ward"), F.col("w_score"), c_rank, F.coalesce("w_rank", F.lit(0)))
     best = shape(districts.where("c_rank = 1"), 1, child, c_score, none(unit), number, zero, zero)
     every = wards.unionByName(bare).unionByName(no_district).unionByName(full).unionByName(best)
@@ -128,7 +134,7 @@ def _unit_out(unit: str, score: str) -> Column:
 def resolve_at(addresses: DataFrame, gaz: Gazetteer, compat: bool = True) -> DataFrame:
     """One row for each (addr_id, raw_input, as_of): the best candidates in the era of the date, confidence, house number, street."""
     prepared = cut(prepare(addresses, compat))
-    rows = ranked(candidates(prepared, gaz))
+    rows = ranked(candidates(prepared, indexed(gaz)))
     reasons = F.array_compact(F.array(*[scoring.reason(level, F.col(f"{level}.name"), F.col(s)) for level, s in (("province", "p_score"), ("district", "d_score"), ("ward", "w_score"))]))
     one = F.struct("rank", F.col("score").alias("score"), reasons.alias("reasons"), _unit_out("province", "p_score").alias("province"), _unit_out("district", "d_score").alias("district"), _unit_out("ward", "w_score").alias("ward"))
     depth = scoring.depth(F.col("province"), F.col("district"), F.col("ward"))
@@ -171,6 +177,7 @@ def resolve(addresses: DataFrame, gaz: Gazetteer, today: date, poi: DataFrame |
     address is resolved too, and wins if it is clearly better or the text names a
     place. Without a table nothing is looked up.
     """
+    gaz = indexed(gaz)
     first = cut(best_era(addresses, gaz, today, compat))
     empty = [F.lit(None).cast("string").alias(c) for c in ("geocoder_source", "geocoder_address")]
     echo = addresses.select("addr_id", F.date_format(F.coalesce("as_of_date", F.lit(today).cast("date")), "yyyy-MM-dd").alias("as_of_date"))
@@ -222,7 +229,7 @@ def search(spark: SparkSession, q: str, gaz: Gazetteer, today: date, unit_type:
 def search_many(asked: DataFrame, gaz: Gazetteer, unit_type: str, limit: int) -> DataFrame:
     """(query_id, rank, unit fields, score) for (query_id, q, as_of)."""
     rows = asked.select(F.col("query_id").alias("request"), "as_of", F.array(text.to_ascii(F.col("q"))).alias("variants"))
-    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit)
+    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit, match.index_units(gaz.units.where(F.col("unit_type") == unit_type), below_root=True))
     return hits.select(F.col("request").alias("query_id"), "rank", *[F.col(f"unit.{c}").alias(c) for c in ("id", "gso_code", "full_name", "name", "unit_type", "ascii_name")], F.bround("score", 4).alias("score"))
 
 

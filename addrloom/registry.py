@@ -91,7 +91,7 @@ def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"WITH a AS (SELECT c_custkey AS k, 'so ' || (c_custkey % 300 + 1000) || chr(CAST(97 + c_custkey % 3 AS INT)) || ' ' || lower(c_mktsegment) || ' nr ' || (c_nationkey + 1) AS s FROM customer "
     f"UNION ALL SELECT -CAST(k AS BIGINT), {duck.normalize('s')} FROM {V_INLINE}), b AS (SELECT k, s, {duck.house('s')} AS m FROM a) "
-    f"SELECT k, nullif(lower(regexp_extract(m, '{duck.HOUSE}', 1)), '') AS house_number, CASE WHEN m IS NULL THEN s ELSE trim(regexp_replace(CASE WHEN k = -11 THEN 'iso 5' ELSE replace(s, m, ' ') END, '\\s+', ' ', 'g')) END AS rest FROM b"
+    f"SELECT k, nullif(lower(regexp_extract(m, '{duck.HOUSE}', 1)), '') AS house_number, CASE WHEN m IS NULL THEN s ELSE trim(regexp_replace(regexp_replace(s, CASE WHEN lower(m) LIKE 's%' THEN '\\b' ELSE '' END || regexp_escape(m), ' '), '\\s+', ' ', 'g')) END AS rest FROM b"
 )
 def house_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """House number and the text without it, for an address made of each customer and the inline ones."""
@@ -144,7 +144,7 @@ SELECT p_partkey AS query_id, CAST(rank AS INT) AS rank, id, r.p_name AS name, r
 @query(TOPK)
 def fuzzy_topk_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search without a parent: each part's name less a letter against all distinct names."""
-    asked = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.lower(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1000))).alias("q"), F.lit(TODAY).alias("as_of"))
+    asked = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.lower(F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)"))).alias("q"), F.lit(TODAY).alias("as_of"))
     gaz = plan.Gazetteer(_part_units(spark, sf_dir), _no_aliases(spark))
     return plan.search_many(asked, gaz, "province", 5).select("query_id", "rank", "id", "name", "score")
 
@@ -163,7 +163,7 @@ def _supplier_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PARENT)
 def fuzzy_topk_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's name less a letter against the suppliers of the nation."""
-    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"), F.lit("ward").alias("level"), F.col("c_nationkey").cast("bigint").alias("parent"), F.lit(TODAY).alias("as_of"), F.lit(0.08).alias("threshold"), F.array(F.lower(F.concat(F.substring("c_name", 1, 3), F.substring("c_name", 5, 1000)))).alias("variants"))
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"), F.lit("ward").alias("level"), F.col("c_nationkey").cast("bigint").alias("parent"), F.lit(TODAY).alias("as_of"), F.lit(0.08).alias("threshold"), F.array(F.lower(F.concat(F.substring("c_name", 1, 3), F.expr("substring(c_name, 5)")))).alias("variants"))
     hits = match.best_match(rows, _supplier_units(spark, sf_dir), _no_aliases(spark), 3)
     return hits.select("request", "rank", F.col("unit.id").alias("id"), "score")
 
@@ -171,7 +171,7 @@ def fuzzy_topk_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PARENT.replace("SELECT c_custkey AS request, CAST(rank AS INT) AS rank, s_suppkey AS id, score", "SELECT count(*) AS n, round(sum(score), 6) AS total"))
 def fuzzy_join_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same hits by comparing with every unit below the parent, summed up."""
-    pairs = _t(spark, sf_dir, "customer").select("c_custkey", F.lit("ward").alias("level"), F.col("c_nationkey").cast("bigint").alias("parent"), F.lower(F.concat(F.substring("c_name", 1, 3), F.substring("c_name", 5, 1000))).alias("variant"))
+    pairs = _t(spark, sf_dir, "customer").select("c_custkey", F.lit("ward").alias("level"), F.col("c_nationkey").cast("bigint").alias("parent"), F.lower(F.concat(F.substring("c_name", 1, 3), F.expr("substring(c_name, 5)"))).alias("variant"))
     hits = pairs.join(match.similar_broadcast(pairs, _supplier_units(spark, sf_dir)), ["level", "parent", "variant"]).where(F.col("sim") > 0.08)
     order = Window.partitionBy("c_custkey").orderBy(F.desc("sim"), "unit_id")
     best = hits.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
@@ -198,8 +198,10 @@ ALIASES = (
 @query(f"SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS full_name, CAST(max(weight) AS DOUBLE) AS score FROM {ALIASES} a JOIN nation ON unit_id = n_nationkey WHERE alias IN ('n1', 'n7', 'n12', 'group 2', 'group 4') GROUP BY ALL")
 def alias_exact_max_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units with one of five aliases, and the weightiest."""
-    named = _nation_aliases(spark, sf_dir).where(F.col("alias").isin("n1", "n7", "n12", "group 2", "group 4"))
-    return named.join(_nation_units(spark, sf_dir), F.col("unit_id") == F.col("id")).where(tables.valid_at(F.lit(TODAY))).groupBy("id", "full_name").agg(F.max("weight").alias("score"))
+    asked = spark.createDataFrame([(0, "district", match.ROOT, TODAY, v) for v in ("n1", "n7", "n12", "group 2", "group 4")], "request bigint, level string, parent bigint, as_of date, variant string")
+    units = _nation_units(spark, sf_dir)
+    best = match.named(asked, units, _nation_aliases(spark, sf_dir)).groupBy("unit_id").agg(F.max("score").alias("score"))
+    return best.join(units, F.col("unit_id") == F.col("id")).where(tables.valid_at(F.lit(TODAY))).select("id", "full_name", "score")
 
 
 MERGED = """
@@ -439,12 +441,6 @@ def era_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.pick_era(both, TODAY).select("addr_id", "era")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CAST(toxic = 1 - quality AS INT)), 6) AS agreement, round(avg(toxic), 6) AS toxic_rate FROM labels")
-def accuracy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often one label foretells the other."""
-    return _t(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("toxic") == 1 - F.col("quality")).cast("int")), 6).alias("agreement"), F.round(F.avg("toxic"), 6).alias("toxic_rate"))
-
-
 # --- other rankings
 
 
@@ -500,9 +496,10 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s.selectExpr("s_suppkey addr_id", f"{raw} raw_input"), cut(units)
 
 
+NAMED = "substring(p_name, 1, 1) || substring(p_name, 3) || ' ' || n_name || ' ' || r_name"
 PLACES = """
 s AS (SELECT s_suppkey, p_name, n_nationkey, n_regionkey, replace(n_name, '_', ' ') AS n_name, r_name FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
-a AS (SELECT s_suppkey AS addr_id, lower(substring(p_name, 1, 1) || substring(p_name, 3) || ' ' || n_name || ' ' || r_name) AS rest0, lower(n_name) AS nn, lower(r_name) AS last, CAST(s_suppkey % 300 + 1000 AS VARCHAR) AS house_number FROM s),
+a AS (SELECT s_suppkey AS addr_id, {normal} AS rest0, lower(n_name) AS nn, lower(r_name) AS last, CAST(s_suppkey % 300 + 1000 AS VARCHAR) AS house_number FROM s),
 a2 AS (SELECT *, rest0 AS rest FROM a), a3 AS (SELECT *, {tokens} AS t FROM a2), v AS (SELECT addr_id, {variants} AS vs FROM a3),
 lt AS (SELECT addr_id, last, {ltokens} AS t FROM a), lv AS (SELECT addr_id, unnest({lvariants}) AS v FROM lt), lx AS (SELECT addr_id, {tv} AS x FROM lv),
 p AS (SELECT r_regionkey AS pid, r_name, {tp} AS y FROM region), ph AS (SELECT addr_id, pid, r_name, max({sim}) AS sim FROM lx, p GROUP BY ALL),
@@ -510,16 +507,19 @@ pt AS (SELECT addr_id, pid, r_name, {back} AS ps FROM (SELECT *, row_number() OV
 sv0 AS (SELECT addr_id, pid, r_name, ps, vs, list_filter(vs, lambda z: len(list_filter({ztokens}, lambda w: NOT list_contains(string_split(lower(r_name), ' '), w))) > 0) AS f FROM pt JOIN v USING (addr_id)), sv AS (SELECT addr_id, pid, ps, r_name, CASE WHEN len(f) > 0 THEN f ELSE vs END AS vs FROM sv0)
 """.format(
     tokens=duck.tokens("rest"), variants=duck.variants("rest", "t"), ltokens=duck.tokens("last"), lvariants=duck.variants("last", "t"), tv=duck.trigrams("v"), tp=duck.trigrams("r_name"),
-    sim=duck.overlap("x", "y"), back=duck.read_back("sim"), ztokens=duck.tokens("z"),
+    sim=duck.overlap("x", "y"), back=duck.read_back("sim"), ztokens=duck.tokens("z"), normal=duck.normalize(f"({NAMED})"),
 )
 
+#: Half even to three places of the number as it is written.
+SCORE3 = "round_even(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 20)), 3)::DOUBLE"
+
 POST = f"""
 WITH {PLACES}, x AS (SELECT addr_id, pid, {duck.trigrams('q')} AS x FROM (SELECT addr_id, pid, unnest(vs) AS q FROM sv)), w AS (SELECT 10000000 + s_suppkey AS wid, n_regionkey AS pid, p_name, {duck.trigrams('p_name')} AS y FROM s),
 h AS (SELECT addr_id, wid, p_name, max({duck.overlap('x', 'y')}) AS sim FROM x JOIN w USING (pid) GROUP BY ALL),
 k AS (SELECT addr_id, wid, p_name, {duck.read_back('sim')} AS ws, row_number() OVER (PARTITION BY addr_id ORDER BY sim DESC, wid) AS n FROM h WHERE sim > CAST(0.08 AS DOUBLE)),
 c AS (SELECT addr_id, pid, ps, wid, ws, 0 AS second, n FROM sv JOIN k USING (addr_id) WHERE n <= 3 UNION ALL SELECT addr_id, pid, ps, NULL, NULL, 1, 0 FROM sv),
-o AS (SELECT *, round(coalesce(ps * 10, 0) + coalesce(ws * 6 + 10, 0), 3) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY score DESC, second, n) AS rank FROM o)
-SELECT addr_id, CAST(rank AS INT) AS rank, CAST(pid AS BIGINT) AS province_id, CAST(-1 AS BIGINT) AS district_id, CAST(coalesce(wid, -1) AS BIGINT) AS ward_id, floor(score * 100 + 1e-6) / 100 AS score, house_number FROM r JOIN a USING (addr_id)
+o AS (SELECT *, {SCORE3.format('coalesce(ps * 10, 0) + coalesce(ws * 6 + 10, 0)')} AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY score DESC, second, n) AS rank FROM o)
+SELECT addr_id, CAST(rank AS INT) AS rank, CAST(pid AS BIGINT) AS province_id, CAST(-1 AS BIGINT) AS district_id, CAST(coalesce(wid, -1) AS BIGINT) AS ward_id, score, house_number FROM r JOIN a USING (addr_id)
 """
 
 PRE = f"""
@@ -532,10 +532,10 @@ wh AS (SELECT addr_id, did, wid, max({duck.overlap('x', 'y')}) AS sim FROM wx JO
 wk AS (SELECT addr_id, did, wid, {duck.read_back('sim')} AS ws, row_number() OVER (PARTITION BY addr_id, did ORDER BY sim DESC, wid) AS wn FROM wh WHERE sim > CAST(0.08 AS DOUBLE)),
 c AS (SELECT addr_id, pid, ps, k3.did, ds, wid, ws, 0 AS second, dn, coalesce(wn, 0) AS wn FROM sv JOIN k3 USING (addr_id) LEFT JOIN (SELECT * FROM wk WHERE wn <= 3) wk ON wk.addr_id = k3.addr_id AND wk.did = k3.did
 UNION ALL SELECT addr_id, pid, ps, did, ds, NULL, NULL, 1, 0, 0 FROM sv JOIN k3 USING (addr_id) WHERE dn = 1 UNION ALL SELECT addr_id, pid, ps, NULL, NULL, NULL, NULL, 0, 0, 0 FROM sv WHERE addr_id NOT IN (SELECT addr_id FROM k3)),
-o AS (SELECT *, coalesce(ps * 10, 0) + coalesce(ds * 8 + 6, 0) + coalesce(ws * 6 + 10, 0) AS raw FROM c), o2 AS (SELECT *, round(raw, 3) AS score FROM o),
+o AS (SELECT *, coalesce(ps * 10, 0) + coalesce(ds * 8 + 6, 0) + coalesce(ws * 6 + 10, 0) AS raw FROM c), o2 AS (SELECT *, {SCORE3.format('raw')} AS score FROM o),
 q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY addr_id, pid, did, wid ORDER BY score DESC, second, dn, wn) AS m FROM o2) WHERE m = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY score DESC, second, dn, wn) AS rank FROM q)
-SELECT addr_id, CAST(rank AS INT) AS rank, CAST(pid AS BIGINT) AS province_id, CAST(coalesce(did, -1) AS BIGINT) AS district_id, CAST(coalesce(wid, -1) AS BIGINT) AS ward_id, floor(score * 100 + 1e-6) / 100 AS score, house_number FROM r JOIN a USING (addr_id) WHERE rank <= 5
+SELECT addr_id, CAST(rank AS INT) AS rank, CAST(pid AS BIGINT) AS province_id, CAST(coalesce(did, -1) AS BIGINT) AS district_id, CAST(coalesce(wid, -1) AS BIGINT) AS ward_id, score, house_number FROM r JOIN a USING (addr_id) WHERE rank <= 5
 """
 
 
@@ -544,7 +544,7 @@ def _cascade(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
     prepared = cut(plan.prepare(addresses.withColumn("as_of", F.lit(as_of))))
     rows = plan.ranked(plan.candidates(prepared, plan.Gazetteer(units, _no_aliases(spark))))
     ids = [F.coalesce(F.col(f"{level}.id"), F.lit(-1)).alias(f"{level}_id") for level in ("province", "district", "ward")]
-    return rows.join(prepared.select("addr_id", "house_number"), "addr_id").select("addr_id", "rank", *ids, (F.floor(F.col("score") * 100 + 1e-6) / 100).alias("score"), "house_number")
+    return rows.join(prepared.select("addr_id", "house_number"), "addr_id").select("addr_id", "rank", *ids, "score", "house_number")
 
 
 @query(POST)
@@ -568,16 +568,96 @@ def resolve_rows(spark: SparkSession) -> DataFrame:
     return plan.resolve(sample.addresses(spark), gaz, TODAY, spark.createDataFrame(POI_ROWS, schemas.POI))
 
 
-@query()
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address for each supplier, in either era or on a given day, with a table of places for some.
+
+    Every twelfth names a place. Every fourth has a place on file, at the address of
+    the next supplier, and every eighth another of the source that is asked first.
+    Every seventh wants no lookup.
+    """
+    addresses, units = _places(spark, sf_dir)
+    k = F.col("addr_id")
+    rows = addresses.withColumn("raw_input", F.concat(F.when(k % 12 == 0, F.lit("Nhà hàng ")).otherwise(F.lit("")), "raw_input"))
+    rows = cut(rows.withColumn("as_of_date", F.when(k % 5 == 0, F.lit(dicts.PRE_MERGER_LAST))).withColumn("use_geocoder", k % 7 != 0))
+    place = lambda step, each, source: rows.where(k % each == 0).select((k + step).alias("_to"), F.lower(F.trim("raw_input")).alias("query_key"), F.concat(F.lit("place "), k).alias("display_name"), F.lit(source).alias("source"))
+    places = place(1, 4, "nominatim").unionByName(place(2, 8, "gemini"))
+    poi = places.join(rows.select(k.alias("_to"), F.col("raw_input").alias("address")), "_to").select("query_key", "address", "display_name", "source")
+    return plan.resolve(rows, plan.Gazetteer(units, _no_aliases(spark)), TODAY, poi)
+
+
+TWO = "round_even(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 20)), 2)::DOUBLE"
+
+
+def _era_sql(era: str) -> str:
+    """All results of one era: rank, score, names, confidence."""
+    cascade = (POST if era == "post_merger" else PRE).replace(f"({NAMED})", f"(CASE WHEN s_suppkey % 12 = 0 THEN 'nha hang ' ELSE '' END || {NAMED})")
+    post = era == "post_merger"
+    district = "NULL" if post else "(SELECT replace(n_name, '_', ' ') FROM nation WHERE 100 + n_nationkey = did)"
+    d = "CAST(NULL AS BIGINT)" if post else "did"
+    base = 10_000_000 if post else 1000
+    head, _, _ = cascade.rpartition("SELECT addr_id, CAST(rank AS INT)")
+    reason = lambda level, name, score: f"CASE WHEN {name} IS NOT NULL THEN '{level}=' || {name} || ' (' || format('{{:.2f}}', {TWO.format(score)}) || ')' END"
+    rows = (
+        f"{head} SELECT r.addr_id, rank, score, ps, {'NULL' if post else 'ds'} AS ds, ws, {d} AS did, wid, r_name AS pn, {district} AS dn, (SELECT p_name FROM part WHERE {base} + p_partkey = wid) AS wn, "
+        f"lead(score) OVER (PARTITION BY r.addr_id ORDER BY rank) AS runner_up, rest, house_number FROM r JOIN region ON r_regionkey = pid JOIN a2 ON a2.addr_id = r.addr_id"
+    )
+    most, levels = (26, 2) if post else (40, 3)
+    return (
+        f"(WITH z AS ({rows}), y AS (SELECT *, 1 + (did IS NOT NULL)::INT + (wid IS NOT NULL)::INT AS depth FROM z) SELECT addr_id, '{era}' AS era, rest, house_number, score, pn, dn, wn, (SELECT count(*) FROM z AS o WHERE o.addr_id = y.addr_id AND o.rank <= 5) AS n_candidates, "
+        f"list_filter([{reason('province', 'pn', 'ps')}, {reason('district', 'dn', 'ds')}, {reason('ward', 'wn', 'ws')}], lambda q: q IS NOT NULL) AS reasons, "
+        f"{SCORE3.format(f'least(least(score / {most}, 1) * CASE WHEN score - runner_up < 3 THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN depth = 1 THEN 0.70::DOUBLE WHEN depth < {levels} THEN 0.88::DOUBLE ELSE 1 END, 1)')} AS confidence FROM y WHERE rank = 1)"
+    )
+
+
+RESOLVED = f"""
+WITH post AS {_era_sql('post_merger')}, pre AS {_era_sql('pre_merger')},
+every AS (SELECT s_suppkey AS addr_id, CASE WHEN s_suppkey % 12 = 0 THEN 'Nhà hàng ' ELSE '' END || 'so ' || (s_suppkey % 300 + 1000) || ' ' || substring(p_name, 1, 1) || substring(p_name, 3) || ' ' || replace(n_name, '_', ' ') || ', ' || r_name AS raw
+FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+era AS (SELECT every.addr_id, raw, {{normal}} AS normalized, post, pre FROM every LEFT JOIN post ON post.addr_id = every.addr_id LEFT JOIN pre ON pre.addr_id = every.addr_id),
+none AS (SELECT *, CASE WHEN round(coalesce(pre.confidence, 0) - 0.05, 6) > round(coalesce(post.confidence, 0), 6) THEN pre ELSE post END AS either, CASE WHEN round(coalesce(pre.confidence, 0) - 0.05, 6) > round(coalesce(post.confidence, 0), 6) THEN 'pre_merger' ELSE 'post_merger' END AS best FROM era),
+f AS (SELECT addr_id, raw, normalized, addr_id % 12 = 0 AS named, CASE WHEN addr_id % 5 = 0 THEN pre ELSE either END AS r, CASE WHEN addr_id % 5 = 0 THEN 'pre_merger' ELSE best END AS era FROM none),
+g AS (SELECT f.*, CASE WHEN f.addr_id % 8 = 0 AND EXISTS (FROM every e WHERE e.addr_id = f.addr_id + 2) THEN f.addr_id + 2 WHEN f.addr_id % 4 = 0 AND EXISTS (FROM every e WHERE e.addr_id = f.addr_id + 1) THEN f.addr_id + 1 END AS other FROM f),
+h AS (SELECT g.*, n.addr_id IS NOT NULL AS used, n.normalized AS normalized2, CASE WHEN g.addr_id % 5 = 0 THEN n.pre ELSE n.either END AS r2, CASE WHEN g.addr_id % 5 = 0 THEN 'pre_merger' ELSE n.best END AS era2
+FROM g LEFT JOIN none n ON n.addr_id = g.other AND g.addr_id % 7 <> 0 AND (g.named OR coalesce(g.r.confidence, 0) < 0.65)),
+w AS (SELECT *, used AND (named OR coalesce(r2.confidence, 0) > coalesce(r.confidence, 0) + 0.05) AS wins FROM h),
+x AS (SELECT addr_id, used, other, CASE WHEN wins THEN normalized2 ELSE normalized END AS normalized, CASE WHEN wins THEN era2 ELSE era END AS era, CASE WHEN wins THEN r2 ELSE r END AS r FROM w),
+resolved AS (SELECT addr_id, normalized, era, CASE WHEN addr_id % 5 = 0 THEN '2025-06-30' ELSE '{TODAY}' END AS as_of_date, coalesce(r.confidence, 0) AS confidence, CASE WHEN r.confidence >= 0.8 THEN 'auto_accept' WHEN r.confidence >= 0.6 THEN 'review' ELSE 'low_confidence' END AS action,
+r.house_number AS house_number, r.rest AS rest, used AS geocoder_used, CASE WHEN used THEN CASE WHEN other = addr_id + 2 THEN 'gemini' ELSE 'nominatim' END END AS geocoder_source, CASE WHEN used THEN 'place ' || addr_id END AS geocoder_address, r.score AS score, r.pn AS province, r.dn AS district, r.wn AS ward, coalesce(r.n_candidates, 0) AS n_candidates, r.reasons AS reasons FROM x)
+""".replace("{normal}", duck.normalize("raw"))
+
+STREET_LEFT = (
+    f"list_filter(string_split(rest, ' '), lambda w: length(w) > 1 AND NOT list_contains(string_split(lower(concat_ws(' ', province, district, ward)), ' '), w) AND NOT list_contains({duck.STRUCT}, w))"
+)
+
+
+@query(
+    RESOLVED + f"SELECT addr_id, normalized, era, as_of_date, confidence, action, house_number, nullif(array_to_string(list_transform({STREET_LEFT}, lambda w: coalesce({STREET_MAP}[w], w)), ' '), '') AS street_raw, geocoder_used, geocoder_source, geocoder_address, score, province, district, ward, "
+    "CAST(n_candidates AS INT) AS n_candidates, array_to_string(reasons, '; ') AS reasons FROM resolved"
+)
 def resolve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole resolution of the sample addresses, one row each."""
+    """The whole resolution of an address for each supplier: eras, lookups, candidates, reasons, confidence."""
     levels = [F.col(f"top.{level}.full_name").alias(level) for level in ("province", "district", "ward")]
-    return resolve_rows(spark).select("addr_id", "normalized", "era", "as_of_date", "confidence", "action", "house_number", "street_raw", "geocoder_used", "geocoder_source", "geocoder_address", F.col("top.score").alias("score"), *levels, F.size("candidates").alias("n_candidates"))
+    return _resolved(spark, sf_dir).select(
+        "addr_id", "normalized", "era", "as_of_date", "confidence", "action", "house_number", "street_raw", "geocoder_used", "geocoder_source", "geocoder_address", F.col("top.score").alias("score"), *levels,
+        F.size("candidates").alias("n_candidates"), F.array_join("top.reasons", "; ").alias("reasons"),
+    )
 
 
-@query()
+@query(RESOLVED + "SELECT addr_id, era, confidence, action, score, province, ward, CAST(n_candidates AS INT) AS n_candidates, geocoder_used FROM resolved")
 def resolve_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as replies in JSON."""
+    """The same as replies in JSON, read back field by field."""
+    replies = plan.to_json(_resolved(spark, sf_dir))
+    parsed = F.parse_json("response")
+    field = lambda path, kind="string": F.variant_get(parsed, path, kind)
+    return replies.select(
+        "addr_id", field("$.era").alias("era"), field("$.confidence", "double").alias("confidence"), field("$.action").alias("action"), field("$.top.score", "double").alias("score"), field("$.top.province.full_name").alias("province"), field("$.top.ward.full_name").alias("ward"),
+        F.size(field("$.candidates", "array<variant>")).alias("n_candidates"), field("$.geocoder_used", "boolean").alias("geocoder_used"),
+    )
+
+
+@query()
+def resolve_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample addresses with accents, shorthand and missing parts, as replies in JSON; tests hold their results."""
     return plan.to_json(resolve_rows(spark))
 
 
