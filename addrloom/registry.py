@@ -714,3 +714,122 @@ def address_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when((c % 3 != 0) & (c % 2 == 0), F.col("o_orderpriority"))
     parts = F.array(first, F.lit(" "), F.when(c % 3 != 0, F.col("o_orderstatus")), first)
     return _t(spark, sf_dir, "orders").select("o_orderkey", text.join_parts(parts, F.lit("no address")).alias("address"))
+
+
+# --- sources, requests and replies
+
+
+def _provinces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as provinces with their nations as wards; the fourth has none on file."""
+    n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct((F.col("n_nationkey") + 100).cast("string").alias("Code"), F.concat(F.lit("Phường "), "n_name").alias("FullName")))).alias("Wards"))
+    rows = _t(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    return rows.select(F.col("r_regionkey").cast("string").alias("Code"), F.concat(F.lit("Tỉnh "), "r_name").alias("FullName"), F.when(F.col("r_regionkey") != 4, F.col("Wards")).alias("Wards"))
+
+
+@query("SELECT (SELECT count(*) FROM region) AS provinces, count(*) AS wards FROM nation WHERE n_regionkey <> 4")
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file of provinces holds."""
+    return gazetteer.object_counts(_provinces(spark, sf_dir))
+
+
+@query(
+    "SELECT CAST(r_regionkey AS VARCHAR) AS gso_code, 'Tỉnh ' || r_name AS full_name, 'province' AS unit_type, lower(replace(r_name, '_', '_')) AS ascii_name, NULL AS parent_gso_code FROM region UNION ALL "
+    "SELECT CAST(n_nationkey + 100 AS VARCHAR), 'Phường ' || n_name, 'ward', lower(n_name), CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_regionkey <> 4"
+)
+def object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same file's units."""
+    return gazetteer.object_units(_provinces(spark, sf_dir)).select("gso_code", "full_name", "unit_type", "ascii_name", "parent_gso_code")
+
+
+@query("SELECT CAST(count(*) AS INT) AS elements, CAST((SELECT count(*) FROM nation WHERE n_regionkey = 0) AS INT) AS first_children FROM region")
+def levels_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of regions with their nations passes the check of its shape, and is counted."""
+    n = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("level2_id"), F.col("n_name").alias("name"))).alias("level2s"))
+    levels = _t(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(F.struct(F.col("r_regionkey").cast("string").alias("level1_id"), "level2s").alias("x"))
+    doc = levels.agg(F.array_sort(F.collect_list("x")).alias("data")).select(F.parse_json(F.to_json(F.struct("data"))).alias("doc"))
+    data = F.variant_get("doc", "$.data", "array<variant>")
+    return gazetteer.check_levels(doc).select(F.size(data).alias("elements"), F.size(F.variant_get("doc", "$.data[0].level2s", "array<variant>")).alias("first_children"))
+
+
+@query("SELECT r_regionkey AS gso_code, CAST(count(*) AS BIGINT) AS districts FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
+def nested_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested list of regions and nations passes its check and becomes units, counted by parent."""
+    text_of = lambda *c: F.array(*[F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2) for x in c])
+    node = lambda code, name, kind, children: F.concat(F.lit("["), F.array_join(F.concat(text_of(code.cast("string"), name, F.lit(kind), name), F.array(children)), ","), F.lit("]"))
+    n = _t(spark, sf_dir, "nation").select("n_regionkey", node(F.col("n_nationkey"), F.col("n_name"), "Quận", F.lit("[]")).alias("x")).groupBy("n_regionkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list("x"), ","), F.lit("]")).alias("below"))
+    r = _t(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(node(F.col("r_regionkey"), F.col("r_name"), "Tỉnh", F.col("below")).alias("x"))
+    doc = r.agg(F.concat(F.lit("["), F.array_join(F.collect_list("x"), ","), F.lit("]")).alias("value")).select(F.parse_json("value").alias("doc"))
+    units = gazetteer.nested_units(doc)
+    return units.where("unit_type = 'district'").groupBy(F.col("parent_gso_code").cast("int").alias("gso_code")).agg(F.count(F.lit(1)).alias("districts"))
+
+
+@query("SELECT max(CAST(o_orderdate AS DATE))::VARCHAR AS data_as_of FROM orders")
+def data_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date in a file of blank lines and one with the date."""
+    day = _t(spark, sf_dir, "orders").agg(F.max(F.col("o_orderdate").cast("date")).cast("string").alias("d"))
+    return gazetteer.first_date(day.select(F.explode(F.array(F.lit(""), F.concat(F.lit("  "), "d", F.lit(" ")), F.lit(" "))).alias("value")))
+
+
+@query(f"SELECT gso_code, valid_from::VARCHAR AS valid_from, 'pre_merger' AS era FROM {SCD}")
+def era_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row gets the older era, as a first migration would set it."""
+    return tables.backfill_era(_scd(spark, sf_dir)).select("gso_code", F.col("valid_from").cast("string").alias("valid_from"), "era")
+
+
+@query("SELECT 'r' || r_regionkey AS gso_code, r_name AS full_name FROM region WHERE contains(lower(r_name), 'a') ORDER BY 1 LIMIT 1")
+def spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first region with a letter in its plain name."""
+    return tables.spot_check(gazetteer.with_ids(_tree(spark, sf_dir)), "a").select("gso_code", "full_name")
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey AS addr_id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE o_orderpriority END AS address, CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '2025-13-01' WHEN 2 THEN 'soon' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders) "
+    "SELECT addr_id, CASE WHEN address IS NULL OR trim(address) = '' THEN 'address must not be empty' ELSE 'as_of_date must be an ISO date' END AS error FROM a WHERE address IS NULL OR trim(address) = '' OR (day IS NOT NULL AND TRY_CAST(day AS DATE) IS NULL)"
+)
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with requests made of orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    address = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.lit("  ")).otherwise(F.col("o_orderpriority"))
+    day = F.when(c % 4 == 0, F.lit(None)).when(c % 4 == 1, F.lit("2025-13-01")).when(c % 4 == 2, F.lit("soon")).otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    return plan.request_errors(_t(spark, sf_dir, "orders").select(k.alias("addr_id"), address.cast("string").alias("address"), day.cast("string").alias("as_of_date")))
+
+
+@query(
+    "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN c_name WHEN 2 THEN NULL WHEN 3 THEN 'near ' || c_name WHEN 4 THEN NULL ELSE NULL END AS address FROM customer"
+)
+def reply_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in replies: bare and fenced JSON, JSON without one, plain text, blank text, text that is too long."""
+    k, name = F.col("c_custkey") % 6, F.col("c_name")
+    json_of = F.to_json(F.struct(F.concat(name, F.lit(" ")).alias("address"), F.lit(1).alias("n")))
+    reply = F.when(k == 0, json_of).when(k == 1, F.concat(F.lit("```json\n"), json_of, F.lit("\n```"))).when(k == 2, F.lit('{"address": "  "}')).when(k == 3, F.concat(F.lit("```\nnear "), name, F.lit("\n```"))).when(k == 4, F.lit("  ")).otherwise(F.repeat(name, 40))
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.reply_address(reply).alias("address"))
+
+
+@query(CONF + ", g AS (SELECT o_custkey, o_orderkey, score, lead(score) OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS runner_up, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS n FROM a) SELECT o_custkey, coalesce(score - runner_up < 3, false) AS ambiguous FROM g WHERE n = 1")
+def judge_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each customer's two best orders are so close that a slower judge decides."""
+    rows = _sims(spark, sf_dir).withColumn("score", scoring.candidate_score(F.col("p"), F.col("d"), F.col("w")))
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("score"), "o_orderkey")
+    best = rows.withColumn("runner_up", F.lead("score").over(order)).withColumn("n", F.row_number().over(order)).where("n = 1")
+    return best.select("o_custkey", extensions.ambiguous(F.col("score"), F.col("runner_up"), dicts.CLOSE_GAP).alias("ambiguous"))
+
+
+@query(RESOLVED + "SELECT addr_id, era, confidence, action, CAST(len(reasons) AS INT) AS n_reasons FROM resolved")
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each address was resolved as it was, read back from JSON."""
+    parsed = F.parse_json("explanation")
+    field = lambda path, kind="string": F.variant_get(parsed, path, kind)
+    rows = extensions.explain(_resolved(spark, sf_dir))
+    return rows.select("addr_id", field("$.era").alias("era"), field("$.confidence", "double").alias("confidence"), field("$.action").alias("action"), F.size(field("$.reasons", "array<string>")).alias("n_reasons"))
+
+
+@query(
+    "SELECT c_custkey, s_suppkey, CAST(damerau_levenshtein(a, b) AS INT) AS damerau, round(jaro_winkler_similarity(a, b), 9) AS jaro_winkler, round(CASE WHEN len(x) * len(y) > 0 THEN len(list_intersect(x, y)) / sqrt(len(x) * len(y)) ELSE 0 END, 9) AS cosine FROM "
+    f"(SELECT *, {duck.trigrams('a')} AS x, {duck.trigrams('b')} AS y FROM (SELECT c_custkey, s_suppkey, lower(substring(c_name, 1, 3) || c_mktsegment) AS a, lower(reverse(substring(s_name, 1, 8)) || n_name) AS b FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey))"
+)
+def string_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit, Jaro-Winkler and trigram distances of texts made of customers and of the suppliers of their nation."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lower(F.concat(F.substring("c_name", 1, 3), "c_mktsegment")).alias("a"))
+    s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.lower(F.concat(F.reverse(F.substring("s_name", 1, 8)), "n_name")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return c.join(s, "c_nationkey").select("c_custkey", "s_suppkey", vectors.damerau(a, b).alias("damerau"), F.round(vectors.jaro_winkler(a, b), 9).alias("jaro_winkler"), F.round(vectors.trigram_cosine(a, b), 9).alias("cosine"))

@@ -79,12 +79,22 @@ def object_units(provinces: DataFrame) -> DataFrame:
 
 def count_objects(spark: SparkSession, path: str) -> DataFrame:
     """(provinces, wards) that a file of provinces holds."""
-    return spark.read.schema(schemas.POST_MERGER_JSON).json(path, multiLine=True).agg(F.count(F.lit(1)).alias("provinces"), F.coalesce(F.sum(F.when(F.col("Wards").isNotNull(), F.size("Wards"))), F.lit(0)).alias("wards"))
+    return object_counts(spark.read.schema(schemas.POST_MERGER_JSON).json(path, multiLine=True))
+
+
+def object_counts(provinces: DataFrame) -> DataFrame:
+    """The same for (Code, FullName, Wards) rows."""
+    return provinces.agg(F.count(F.lit(1)).alias("provinces"), F.coalesce(F.sum(F.when(F.col("Wards").isNotNull(), F.size("Wards"))), F.lit(0)).alias("wards"))
 
 
 def scan_date(spark: SparkSession, path: str) -> DataFrame:
     """(data_as_of) of the text file that names the data's date."""
-    return spark.read.text(path).select(F.trim("value").alias("data_as_of")).where("data_as_of <> ''").limit(1)
+    return first_date(spark.read.text(path))
+
+
+def first_date(lines: DataFrame) -> DataFrame:
+    """The same for (value) rows of one file, in order."""
+    return lines.select(F.trim("value").alias("data_as_of")).where("data_as_of <> ''").limit(1)
 
 
 def unit_id(code: Column, valid_from: Column) -> Column:
