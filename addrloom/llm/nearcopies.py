@@ -10,9 +10,10 @@ most one bit meet in an equality join. Keys have 31 free bits, so chance meeting
 stay few over many texts. At a similarity of 0.8, 99 of 100 pairs meet
 (simulated; more above), and README has the share measured on the test data.
 
-Texts that meet are verified: first by the bits of an unweighted fingerprint, which
-rules out what is far off, then over whole sets. Where many meet, all are first
-compared with one of them, and only those in different components remain.
+Texts that meet are verified: first by size and by the bits of an unweighted
+fingerprint, which rule out what is far off, then over whole sets. Where so many
+meet that their pairs would outgrow them, all are compared with one of them, and
+only pairs in different components remain for the next round.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ SHINGLE, SEED = 5, 42
 #: Weighted fingerprints of a text, and the bits and first bits of their segments.
 PRINTS, WIDTH, STARTS = 4, 32, (0, 32)
 #: Differing bits of the unweighted fingerprints beyond which no pair is verified; at 0.8 they differ in 10, by 3 more or less.
-FAR = 26
-#: Rounds of comparing with one text for each variant, and remaining pairs to each row at which they end.
-ROUNDS, FEW = 12, 4
+FAR = 21
+#: Texts of a variant whose pairs are listed at once, and those whose pairs a task counts; pairs to each text that are listed; rounds before all are.
+SMALL, RUN, FEW, ROUNDS = 8, 8192, 4, 6
 #: Nodes to a file.
 SLICE = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -132,34 +133,135 @@ def variants(nodes: DataFrame) -> DataFrame:
     return each.select(F.explode(F.array(*made)).alias("key"), "node")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], bool]]:
+    """(keys, other columns, whether it is a part of a run above ``most`` rows) of whole runs of one key, many at a time; parts of a long run come in order."""
+    held, over = None, None
+    for batch in batches:
+        got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if over is not None:
+            n = int(np.searchsorted(got[0] != over, True)) if (got[0] != over).any() else len(got[0])
+            if n:
+                yield got[0][:n], [c[:n] for c in got[1:]], True
+                got = [c[n:] for c in got]
+        if not len(got[0]):
+            continue
+        over = None
+        held = got if held is None else [np.concatenate(c) for c in zip(held, got)]
+        edge = int(np.flatnonzero(np.concatenate(([True], held[0][1:] != held[0][:-1])))[-1])
+        if len(held[0]) - edge > most:
+            over = held[0][-1]
+        if edge and (edge >= 1 << 15 or over is not None):
+            yield held[0][:edge], [c[:edge] for c in held[1:]], False
+            held = [c[edge:] for c in held]
+        if over is not None:
+            yield held[0], held[1:], True
+            held = None
+    if held is not None and len(held[0]):
+        yield held[0], held[1:], False
+
+
+FOUND = "pair boolean, a long, b long"
+
+
+def _batch(pair: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    if pair and len(a):
+        a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0).T
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), pair)), pa.array(np.ascontiguousarray(a).astype(np.int64)), pa.array(np.ascontiguousarray(b).astype(np.int64))], ["pair", "a", "b"])
+
+
+def _within(keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of one key, for keys with up to ``most`` rows."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    length = np.diff(np.append(first, len(keys)))
+    few = np.repeat(length <= most, length)
+    for d in range(1, most):
+        at = np.flatnonzero(few[: max(0, len(keys) - d)])
+        at = at[keys[at] == keys[at + d]]
+        if not len(at):
+            return
+        yield at, at + d
+
+
 def meetings(sets: DataFrame) -> DataFrame:
-    """(key, node) of the distinct sets that meet another under a variant."""
+    """What meets under a variant: pairs of nodes (pair, a, b) where few do, else (not pair, key, node) of each."""
     keys = variants(sets).repartition("key").sortWithinPartitions("key")
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row waits for the next one; ``met`` says whether it equals the one before.
-        last, met = None, False
-        for batch in batches:
-            if not len(batch):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (node,), long in _runs(batches, RUN):
+            if long:
+                yield _batch(False, key, node)
                 continue
-            whole = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            key = whole.column(0).to_numpy(zero_copy_only=False)
-            same = key[1:] == key[:-1]
-            before = np.concatenate(([met], same))
-            keep = before[:-1] | same
-            yield whole.slice(0, len(whole) - 1).filter(pa.array(keep))
-            last, met = whole.slice(len(whole) - 1), bool(before[-1])
-        if last is not None and met:
-            yield last
+            pairs = list(_within(key, SMALL))
+            if pairs:
+                yield _batch(True, *(node[np.concatenate(x)] for x in zip(*pairs)))
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            length = np.diff(np.append(first, len(key)))
+            if (many := np.repeat(length > SMALL, length)).any():
+                yield _batch(False, key[many], node[many])
 
     with store.short_rows(sets.sparkSession):
-        return store.keep(keys.mapInArrow(several, "key long, node long"), "meetings")
+        return store.keep(keys.mapInArrow(meet, FOUND), "meetings")
+
+
+def _near(n: np.ndarray, m: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether sizes and unweighted fingerprints leave a similarity of 0.8 possible."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(f ^ g) <= FAR)
+
+
+def open_pairs(held: DataFrame, k: int) -> DataFrame:
+    """Of (key, node, n, sketch, root): pairs in different components that may be alike, and the members of variants that still have others.
+
+    A variant with few such pairs has them all listed; of one with many, those of the
+    member whose hash in round ``k`` comes first.
+    """
+    ordered = held.select("key", F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "sketch", "root").repartition("key").sortWithinPartitions("key", "h")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
+        for key, (_, node, n, sketch, root), long in _runs(batches, RUN):
+            sketch = sketch.view(np.uint64)
+            if long:
+                if lead is None or lead[0] != key[0]:
+                    lead = (key[0], node[0], n[0], sketch[0], root[0])
+                hit = (root != lead[4]) & _near(n, lead[2], sketch, lead[3])
+                yield _batch(True, np.full(int(hit.sum()), lead[1]), node[hit])
+                yield _batch(False, key, node)
+                continue
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            a, b, again = [], [], []
+            for s, e in zip(first.tolist(), np.append(first[1:], len(key)).tolist()):
+                if (root[s:e] == root[s]).all():
+                    continue
+                left, right, count, star = [], [], 0, None
+                for i in range(s, e - 1):
+                    hit = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & _near(n[i + 1 : e], n[i], sketch[i + 1 : e], sketch[i]))
+                    if len(hit) and star is None:
+                        star = (np.full(len(hit), node[i]), node[hit])
+                    count += len(hit)
+                    if count > FEW * (e - s) and k < ROUNDS:
+                        left, right = [star[0]], [star[1]]
+                        again.append((s, e))
+                        break
+                    left.append(np.full(len(hit), node[i]))
+                    right.append(node[hit])
+                a += left
+                b += right
+            if a:
+                yield _batch(True, np.concatenate(a), np.concatenate(b))
+            if again:
+                at = np.concatenate([np.arange(s, e) for s, e in again])
+                yield _batch(False, key[at], node[at])
+
+    with store.short_rows(held.sparkSession):
+        return store.keep(ordered.mapInArrow(find, FOUND), "open")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes in ``wanted``, which lie in sorted files: texts stay where they are."""
     wanted = store.keep(wanted, "wanted")
-    slices, folder = max(1, -(-wanted.count() // SLICE)), store.new_folder(wanted.sparkSession, "nodes")
+    if not (n := wanted.count()):
+        return wanted.sparkSession.createDataFrame([], "node long, shingles array<long>")
+    slices, folder = max(1, -(-n // SLICE)), store.new_folder(wanted.sparkSession, "nodes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for batch in batches]
@@ -200,40 +302,45 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(met: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, root) of the components that the pairs of similarity 0.8 or more make; lone nodes do not appear. None if there are none.
 
-    ``known`` holds (node, n, sketch) of the nodes in ``met``. Whole sets are fetched
-    for those that some pair of the first round asks for, and for the others when
-    rounds go on.
+    ``known`` holds (node, n, sketch) of every node, ``met`` what ``meetings`` found.
+    Variants with more than ``RUN`` members that are still open after the last round
+    have their pairs listed by a join, which Spark splits where one is common.
     """
-    met = store.keep(met.join(known, "node"), "met")
+    of = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"f_{x}"))
+    near = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b"))) <= FAR)
+    pairs = met.where("pair").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
+    members = met.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("node"))
     sets, found, roots = None, None, None
-    for k in range(ROUNDS + 1):
-        held = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        classes = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_keys = classes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q").select("key", F.expr("(m * m - q) / 2").alias("pairs"))
-        held = store.keep(held.join(open_keys, "key"), "open")
-        left = held.groupBy("key").agg(F.max("pairs").alias("p"), F.count(F.lit(1)).alias("m")).agg(F.sum("p").alias("p"), F.sum("m").alias("m")).first()
-        if not left["m"]:
+    for k in range(ROUNDS + 2):
+        left = not members.isEmpty()
+        if left:
+            held = members.join(known, "node")
+            held = held.withColumn("root", F.col("node")) if roots is None else held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            if k:  # variants whose members are all in one component are done
+                held = held.join(held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "key")
+            if k > ROUNDS:
+                side = lambda x: held.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"f_{x}"), F.col("root").alias(f"r_{x}"))
+                more = side("a").join(side("b"), "key").where(near & (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b"))).select("a", "b")
+            else:
+                opened = open_pairs(held, k)
+                more = opened.where("pair").select("a", "b")
+                members = opened.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("node"))
+            pairs = more if pairs is None else pairs.unionByName(more)
+        if pairs is None:
             break
-        few = left["p"] <= FEW * left["m"] or k == ROUNDS
-        one = held if few else held.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "sketch", "root")).alias("s")).select("key", "s.*")
-        other = one.select("key", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"), F.col("root").alias("_root"))
-        near = (F.col("root") != F.col("_root")) & (5 * F.least("n", "_n") >= 4 * F.greatest("n", "_n")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("_sketch"))) <= FAR)
-        pairs = held.select("key", "node", "n", "sketch", "root").join(other, "key").where(near & (F.col("node") < F.col("_node")) if few else near)
-        pairs = store.keep(pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            if few:
-                break
-            continue
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        if sets is not None:
-            asked = asked.join(sets.select("node"), "node", "left_anti")
-        more = whole_sets(docs, asked)
-        sets = more if sets is None else sets.unionByName(more)
-        new = _alike(pairs, sets)
-        found = new if found is None else found.unionByName(new)
-        if not new.isEmpty():
-            roots = store.keep(cc.components(found).distinct(), "roots")
-        if few:
+        pairs = store.keep(pairs.distinct(), "pairs")
+        if not pairs.isEmpty():
+            asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+            if sets is not None:
+                asked = asked.join(sets.select("node"), "node", "left_anti")
+            fetched = whole_sets(docs, asked)
+            sets = fetched if sets is None else sets.unionByName(fetched)
+            new = _alike(pairs, sets)
+            found = new if found is None else found.unionByName(new)
+            if not new.isEmpty():
+                roots = store.keep(cc.components(found).distinct(), "roots")
+        pairs = None
+        if not left:
             break
     return roots
 
@@ -248,7 +355,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     rows = store.keep(nodes_of(docs), "nodes")
     sets = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints"))
-    roots = links(meetings(sets.select("node", "prints")), rows.select("node", "n", "sketch").distinct(), docs)
+    known = store.keep(rows.select("node", "n", "sketch").distinct(), "known")
+    roots = links(meetings(sets.select("node", "prints")), known, docs)
     if roots is None:
         return rows.select("row", "doc_id", F.col("node").alias("component"))
     return store.keep(rows.select("row", "doc_id", "node").join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("component")), "copies")
