@@ -1,8 +1,8 @@
 """ISO media containers in a binary column.
 
 ``parse`` walks the nested boxes of a container and decodes its sample tables
-into codec, duration, sample byte ranges and key frames; it reads box headers and
-tables only, never the samples. ``encode_frames`` stores bytes losslessly as raw
+into codec, duration, sample byte ranges and key frames; the runs of fragmented
+files (``moof``) add theirs. It reads box headers and tables only, never the samples. ``encode_frames`` stores bytes losslessly as raw
 8-bit gray video, 64 samples to a line and up to 64 lines to a frame, every frame
 a key frame; ``payload`` reads the stored samples back through the tables.
 """
@@ -33,6 +33,7 @@ class BrokenMedia(ValueError):
 
 @dataclass
 class Track:
+    number: int = 0
     kind: str = ""
     codec: str = ""
     timescale: int = 0
@@ -93,6 +94,9 @@ def _track(raw: memoryview, start: int, end: int) -> Track:
     track, at = Track(), {}
     _tables(raw, start, end, track, at)
     try:
+        if b"tkhd" in at:
+            body, _ = at[b"tkhd"]
+            track.number = struct.unpack_from(">I", raw, body + (20 if raw[body] else 12))[0]
         if b"mdhd" in at:
             body, _ = at[b"mdhd"]
             track.timescale, track.duration = struct.unpack_from(">IQ" if raw[body] else ">II", raw, body + (20 if raw[body] else 12))
@@ -158,15 +162,86 @@ def _track(raw: memoryview, start: int, end: int) -> Track:
     return track
 
 
+def _runs_of(raw: memoryview, begin: int, body: int, end: int, tracks: dict[int, Track], usual: dict[int, tuple[int, int, int]]) -> None:
+    """Add the samples of a fragment, which starts at ``begin``; ``usual`` has a track's duration, size and flags of a sample."""
+    after = begin
+    for kind, b, e in boxes(raw, body, end):
+        if kind != b"traf":
+            continue
+        parts = list(boxes(raw, b, e))
+        head = next((x for x in parts if x[0] == b"tfhd"), None)
+        if head is None:
+            raise BrokenMedia("a fragment of no track")
+        flags, number = struct.unpack_from(">II", raw, head[1])
+        flags &= 0xFFFFFF
+        if (track := tracks.get(number)) is None:
+            raise BrokenMedia(f"a fragment of track {number}, which is not there")
+        at, base, own = head[1] + 8, begin if flags & 0x20000 else after, list(usual.get(number, (0, 0, 0)))
+        if flags & 1:
+            base = struct.unpack_from(">Q", raw, at)[0]
+            at += 8
+        at += 4 * bool(flags & 2)
+        for k, bit in enumerate((8, 0x10, 0x20)):
+            if flags & bit:
+                own[k] = struct.unpack_from(">I", raw, at)[0]
+                at += 4
+        clock = next((x for x in parts if x[0] == b"tfdt"), None)
+        time = track.duration if clock is None else struct.unpack_from(">Q" if raw[clock[1]] else ">I", raw, clock[1] + 4)[0]
+        after = base
+        for _, r, stop in (x for x in parts if x[0] == b"trun"):
+            flags, count = struct.unpack_from(">II", raw, r)
+            flags &= 0xFFFFFF
+            at, first = r + 8, None
+            if flags & 1:
+                after = base + struct.unpack_from(">i", raw, at)[0]
+                at += 4
+            if flags & 4:
+                first = struct.unpack_from(">I", raw, at)[0]
+                at += 4
+            there = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+            if stop - at < 4 * sum(there) * count or (not there[1] and own[1] * count > len(raw)):
+                raise BrokenMedia("a run is cut off")
+            table = np.frombuffer(raw, ">u4", sum(there) * count, at).astype(np.int64).reshape(count, -1)
+            column = lambda k: table[:, sum(there[:k])] if there[k] else np.full(count, own[k], np.int64)  # noqa: B023, E731
+            steps, sizes, marks = column(0), column(1), column(2).copy()
+            if count and first is not None:
+                marks[0] = first
+            starts = after + np.cumsum(sizes) - sizes
+            after += int(sizes.sum())
+            if count and (starts.min() < 0 or after > len(raw)):
+                raise BrokenMedia("a sample lies outside the file")
+            track.keys = np.concatenate((track.keys, len(track.sizes) + np.flatnonzero(marks & 0x10000 == 0)))
+            track.starts, track.sizes = np.concatenate((track.starts, starts)), np.concatenate((track.sizes, sizes))
+            track.times = np.concatenate((track.times, time + np.cumsum(steps) - steps))
+            time += int(steps.sum())
+            track.duration = max(track.duration, time)
+
+
 def parse(raw: bytes) -> list[Track]:
-    """The tracks of a container; raises BrokenMedia for anything else."""
-    view, tracks, seen = memoryview(raw), [], False
+    """The tracks of a container, with the samples of its fragments; raises BrokenMedia for anything else."""
+    view, tracks, seen, fragments, usual, begin = memoryview(raw), [], False, [], {}, 0
     for kind, body, end in boxes(view, 0, len(view)):
         if kind == b"moov":
             seen = True
-            tracks += [_track(view, b, e) for k, b, e in boxes(view, body, end) if k == b"trak"]
+            for k, b, e in boxes(view, body, end):
+                if k == b"trak":
+                    tracks.append(_track(view, b, e))
+                elif k == b"mvex":
+                    for name, x, stop in boxes(view, b, e):
+                        if name == b"trex" and stop - x >= 24:
+                            number, _, *rest = struct.unpack_from(">5I", view, x + 4)
+                            usual[number] = tuple(rest)
+        elif kind == b"moof":
+            fragments.append((begin, body, end))
+        begin = end
     if not seen:
         raise BrokenMedia("there is no moov box")
+    known = {t.number: t for t in tracks}
+    try:
+        for fragment in fragments:
+            _runs_of(view, *fragment, known, usual)
+    except struct.error as e:
+        raise BrokenMedia(str(e)) from None
     return tracks
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -185,6 +186,40 @@ def test_media_of_rows_and_of_nothing(spark):
     assert media.media_digest(media.text_media(docs.where("false"))).count() == 0
 
 
+def box(kind: bytes, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def fragmented() -> tuple[bytes, bytes]:
+    """A track without samples of its own and two fragments: sizes and flags in the run, then usual ones; and its samples."""
+    full = lambda kind, flags, *parts: box(kind, struct.pack(">I", flags), *parts)
+    stbl = box(b"stbl", full(b"stsd", 0, struct.pack(">I", 1), box(b"avc1", bytes(28))), full(b"stsz", 0, bytes(8)), full(b"stco", 0, bytes(4)), full(b"stsc", 0, bytes(4)), full(b"stts", 0, bytes(4)))
+    mdia = box(b"mdia", full(b"mdhd", 0, struct.pack(">IIIII", 0, 0, 1000, 0, 0)), full(b"hdlr", 0, struct.pack(">I4s12x", 0, b"vide")), box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", 7, struct.pack(">5I", 0, 0, 5, 0, 0), bytes(60)), mdia)
+    head = box(b"ftyp", b"isom") + box(b"moov", trak, box(b"mvex", full(b"trex", 0, struct.pack(">5I", 5, 1, 10, 4, 0x10000))))
+
+    def moof(at: int, tfdt: int, sized: bool) -> bytes:
+        run = struct.pack(">II", 3, at) if not sized else struct.pack(">IiI", 3, at, 0)  # count, offset, first flags
+        body = b"".join(struct.pack(">II", 20 + k, 5 + k) for k in range(3)) if sized else b""
+        return box(b"moof", full(b"mfhd", 0, struct.pack(">I", 1)), box(b"traf", full(b"tfhd", 0x20000, struct.pack(">I", 5)), full(b"tfdt", 0, struct.pack(">I", tfdt)), full(b"trun", 0x305 if sized else 1, run, body)))
+
+    one, two = bytes(range(65, 83)), bytes(range(97, 109))
+    a = moof(len(moof(0, 0, True)) + 8, 0, True)
+    b = moof(len(moof(0, 0, False)) + 8, 63, False)
+    return head + a + box(b"mdat", one) + b + box(b"mdat", two), one + two
+
+
+def test_fragments():
+    raw, samples = fragmented()
+    (track,) = media.parse(raw)
+    assert media.payload(raw, track) == samples and track.codec == "avc1" and track.seconds == pytest.approx(0.093)
+    assert track.sizes.tolist() == [5, 6, 7, 4, 4, 4] and track.times.tolist() == [0, 20, 41, 63, 73, 83] and track.keys.tolist() == [0]
+    for cut in (len(raw) - 1, len(raw) - 30):
+        with pytest.raises(media.BrokenMedia):
+            media.parse(raw[:cut])
+
+
 # --- sharding
 
 
