@@ -70,6 +70,22 @@ def explain(results: DataFrame) -> DataFrame:
     return results.select("addr_id", F.to_json(body).alias("explanation"))
 
 
+def to_label(results: DataFrame, n: int, edge: float = REVIEW[2][1]) -> DataFrame:
+    """The ``n`` results that a label would teach most: those nearest the edge between review and manual work, the smaller addr_id first on ties."""
+    return results.withColumn("distance", F.bround(F.abs(F.col("confidence") - edge), 6)).orderBy("distance", "addr_id").limit(n)
+
+
+def candidate_graph(results: DataFrame) -> DataFrame:
+    """(addr_id, from_id, to_id, level, weight) edges: from the address (null) to its candidates' provinces and on down, with the best score of those that use an edge."""
+    each = results.select("addr_id", F.explode("candidates").alias("c"))
+    steps, levels = [], ("province", "district", "ward")
+    for k, level in enumerate(levels):
+        up = F.coalesce(*[F.col(f"c.{x}.id") for x in reversed(levels[:k])], F.lit(None).cast("bigint"))
+        steps.append(F.struct(up.alias("from_id"), F.col(f"c.{level}.id").alias("to_id"), F.lit(level).alias("level")))
+    edges = each.select("addr_id", F.col("c.score").alias("score"), F.explode(F.array(*steps)).alias("e")).where("e.to_id IS NOT NULL")
+    return edges.groupBy("addr_id", "e.from_id", "e.to_id", "e.level").agg(F.max("score").alias("weight"))
+
+
 def calibrate(samples: DataFrame, features: list[str], label: str = "correct"):  # noqa: ANN201
     """A logistic model of being right by numeric features, fitted over all samples; ``transform`` adds probability."""
     from pyspark.ml import Pipeline

@@ -104,10 +104,11 @@ def with_places(rows: DataFrame, units: DataFrame) -> DataFrame:
 def repair_tokens(rows: DataFrame, confusions: DataFrame, column: str) -> DataFrame:
     """``column`` with its misread tokens put right: a token's most frequent correction, the first by letter on ties.
 
-    The text is taken apart into (row, place, token), so corrections are joined by
-    token whatever the size of their table.
+    Each distinct text, known by its MD5, is taken apart into (text, place, token), so
+    corrections are joined by token whatever the size of their table. A null text stays null.
     """
     best = confusions.groupBy("wrong_token").agg(F.min(F.struct((-F.col("frequency")).alias("f"), "corrected_token"))["corrected_token"].alias("right"))
-    spread = rows.withColumn("_row", F.xxhash64(*rows.columns)).select("_row", column).distinct().select("_row", F.posexplode(F.split(column, " ")).alias("_at", "wrong_token"))
-    fixed = spread.join(best, "wrong_token", "left").groupBy("_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("right", "wrong_token").alias("t")))), lambda x: x["t"]), " ").alias("_fixed"))
-    return rows.withColumn("_row", F.xxhash64(*rows.columns)).join(fixed, "_row", "left").withColumn(column, F.col("_fixed")).select(*rows.columns)
+    known = F.md5(F.col(column).cast("binary"))
+    spread = rows.where(F.col(column).isNotNull()).select(known.alias("_text"), column).distinct().select("_text", F.posexplode(F.split(column, " ")).alias("_at", "wrong_token"))
+    fixed = spread.join(best, "wrong_token", "left").groupBy("_text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("right", "wrong_token").alias("t")))), lambda x: x["t"]), " ").alias("_fixed"))
+    return rows.withColumn("_text", known).join(fixed, "_text", "left").withColumn(column, F.col("_fixed")).select(*rows.columns)

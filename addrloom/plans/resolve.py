@@ -13,6 +13,7 @@ from addrloom.operators import match, tables
 from addrloom.operators.stages import cut
 from addrloom.operators.tables import counts
 from addrloom.sources import gazetteer, schemas
+from addrloom.sources import landing as landed
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,23 @@ def load(spark: SparkSession, folder: str) -> Gazetteer:
     return Gazetteer(*[spark.read.parquet(f"{folder}/{name}") for name in ("admin_units", "aliases", "trigrams")])
 
 
+def refresh(spark: SparkSession, landing: str, folder: str, url: str | None = None, names: tuple[str, str] = ("nested.json", "objects.json"), force: bool = False, strict: bool = True) -> tuple[Gazetteer, DataFrame]:
+    """Land the two files, build the gazetteer of both eras, check it, and save it to a new folder: (gazetteer, checks).
+
+    Without ``url`` the files in ``landing`` are taken as they are. With ``strict`` a check
+    that fails is an error, and nothing is saved; there are a few checks.
+    """
+    if url is not None:
+        landed.land_all(url, names, landing, force)
+    gaz = build(spark, f"{landing}/{names[0]}", f"{landing}/{names[1]}")
+    checks = cut(tables.quality_checks(gaz.units.where("era = 'pre_merger'").withColumn("valid_to", F.lit(None).cast("date")), gaz.aliases))
+    failed = [r["check"] for r in checks.where("NOT ok").collect()]
+    if failed and strict:
+        raise ValueError(f"checks failed: {', '.join(sorted(failed))}")
+    save(gaz, folder)
+    return gaz, checks
+
+
 def prepare(addresses: DataFrame, compat: bool = True) -> DataFrame:
     """(addr_id, raw_input, as_of) with era, normalized, house_number, rest, variants, anchor_variants."""
     out = addresses.withColumn("era", scoring.era_of(F.col("as_of"))).withColumn("normalized", text.normalize(F.col("raw_input"), compat))
@@ -170,7 +188,7 @@ def best_poi(poi: DataFrame) -> DataFrame:
 
 
 def resolve(addresses: DataFrame, gaz: Gazetteer, today: date, poi: DataFrame | None = None, compat: bool = True) -> DataFrame:
-    """One row for each address (addr_id, raw_input, as_of_date, use_geocoder).
+    """One row for each address (addr_id, raw_input, as_of_date, use_geocoder); addr_id is its key.
 
     Places by name and results below a confidence are looked up in ``poi``, a table
     (query_key, address, display_name, source) in place of a geocoder. The place's

@@ -833,3 +833,19 @@ def string_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.lower(F.concat(F.reverse(F.substring("s_name", 1, 8)), "n_name")).alias("b"))
     a, b = F.col("a"), F.col("b")
     return c.join(s, "c_nationkey").select("c_custkey", "s_suppkey", vectors.damerau(a, b).alias("damerau"), F.round(vectors.jaro_winkler(a, b), 9).alias("jaro_winkler"), F.round(vectors.trigram_cosine(a, b), 9).alias("cosine"))
+
+
+@query(CONF + "SELECT o_orderkey AS addr_id, confidence, CAST(round(abs(confidence - 0.6), 6) AS DOUBLE) AS distance FROM c ORDER BY distance, addr_id LIMIT 50")
+def labels_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty orders whose confidence lies nearest to the edge of review."""
+    return extensions.to_label(_confidence(spark, sf_dir).select(F.col("o_orderkey").alias("addr_id"), "confidence"), 50)
+
+
+@query(
+    f"WITH post AS ({POST}), p AS (SELECT * FROM post WHERE rank <= 5), e AS (SELECT addr_id, NULL AS from_id, province_id AS to_id, 'province' AS level, score FROM p UNION ALL SELECT addr_id, province_id, ward_id, 'ward', score FROM p WHERE ward_id >= 0) "
+    "SELECT addr_id, CAST(from_id AS BIGINT) AS from_id, to_id, level, max(score) AS weight FROM e GROUP BY ALL"
+)
+def candidate_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of each supplier's address as a graph."""
+    addresses, units = _places(spark, sf_dir)
+    return extensions.candidate_graph(plan.resolve_at(addresses.withColumn("as_of", F.lit(TODAY)), plan.Gazetteer(units, _no_aliases(spark))))

@@ -146,3 +146,21 @@ def test_stream(spark, gaz, tmp_path):
     source = spark.readStream.schema(schemas.ADDRESSES).parquet(str(tmp_path / "in"))
     stream.resolve_stream(source, gaz, TODAY, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(sample.ADDRESSES)
+
+
+def test_refresh_checks_and_saves(spark, tmp_path):
+    sample.write(str(tmp_path / "landing"))
+    with pytest.raises(ValueError, match="count_province"):
+        plan.refresh(spark, str(tmp_path / "landing"), str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+    gaz, checks = plan.refresh(spark, str(tmp_path / "landing"), str(tmp_path / "out"), strict=False)
+    assert checks.count() == 5
+    again = plan.load(spark, str(tmp_path / "out"))
+    assert again.units.count() == gaz.units.count() and again.index.count() == gaz.index.count()
+    assert plan.search(spark, "ha noi", again, TODAY).first()["full_name"] == "Thành phố Hà Nội"
+
+
+def test_repaired_tokens_keep_rows(spark):
+    rows = spark.createDataFrame([(1, "a bad ring"), (1, "a bad ring"), (2, None), (3, "")], "k int, s string")
+    fixed = tables.repair_tokens(rows, spark.createDataFrame([("bad", "red", 2)], schemas.OCR_CONFUSIONS), "s")
+    assert sorted(map(tuple, fixed.collect()), key=str) == sorted([(1, "a red ring"), (1, "a red ring"), (2, None), (3, "")], key=str)
