@@ -322,7 +322,12 @@ def media_info(df: DataFrame, column: str, into: str = "media_info") -> DataFram
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) of every whole text: its UTF-8 bytes with zeros up to a positive multiple of 64, as a container."""
+    """(doc_id, n_bytes, media) of every whole text: its UTF-8 bytes with zeros up to a positive multiple of 64, as a container.
+
+    A null text is empty. Repeated rows give equal containers, rows without a doc_id
+    keep their null, and an empty table gives no rows. Only doc_id and text are read,
+    so other columns may have any names.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

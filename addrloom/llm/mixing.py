@@ -91,10 +91,12 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float =
     up to its target from the first documents in that order; the last of them is
     cut. ``position`` is where the document's last, cut or only, copy begins its
     place in training; null if it takes no word. Null texts have no words; null
-    sources are one source; repeated rows are documents of their own.
+    sources are one source; repeated rows are documents of their own, and rows that
+    differ in what they carry alone follow a hash of that. An empty table gives no
+    rows; columns that are not named here are not read.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []))
-    rows = rows.withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "source", "size"), 1))
+    rows = rows.withColumn("_order", F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "source", "size"), 1)).withColumn("_tie", F.xxhash64(*[F.col("carried").getField(c) for c in carry if "map<" not in dict(docs.dtypes)[c]], F.lit(0)) if carry else F.lit(0).cast("long"))
     rows = store.table(rows, "mix") if carry else store.cut(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     sizes = store.cut(sizes)
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, max_epochs: float =
     ahead = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_s")).select("_key", "_bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_ahead"))
     goal = goal.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
     ahead = ahead.join(goal, "_key")
-    within = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(ahead, ["_key", "_bucket"])
     start = F.col("_ahead") + F.col("_own")
     words = F.round("target").cast("long")

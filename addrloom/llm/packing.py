@@ -3,13 +3,14 @@
 The plan is made over counts: pieces of one length are alike, so best-fit
 decreasing runs over the length histogram (at most ``capacity`` entries) and
 moves whole ranges of sequences at a time. Each piece then takes the planned
-slot of its rank within its length.
+slot of its rank within its length: tasks find it by binary search in the plan,
+which is broadcast within the bound below.
 
 Plan size. A range of sequences with equal room is taken whole or split, and one
 length splits at most two ranges and opens at most two, so there are under
 5 * capacity ranges; a sequence of ``capacity`` ids holds fewer than
 sqrt(2 * capacity) different lengths, so a range is met by fewer than that many
-segments. For 2,048 this bounds the plan by 656,000 segments (21 MB); plans met
+segments. For 2,048 this bounds the plan by 656,000 segments (31 MB); plans met
 in practice have a few thousand.
 """
 
@@ -247,5 +248,11 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    """Every document's pieces with their slots."""
+    """Every document's pieces with their slots: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    A null text is empty, and an empty one is a piece of the closing id alone; a very
+    long text is cut into pieces of ``capacity`` ids. Repeated rows and rows without a
+    doc_id are documents of their own. Only doc_id and text are read, so other columns
+    may have any names. An empty table gives no rows.
+    """
     return pack(tokenized_pieces(docs, tokenizer_path, capacity), capacity)

@@ -532,7 +532,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     anywhere else in the table, the same document included; strings never cross
     documents, and are judged on the input. Removal can cut a character, so the
     result is binary. Null texts are empty; repeated rows are documents of their
-    own and so remove each other.
+    own and so remove each other. A very long text is one string of cells like any
+    other; an empty table gives no rows; other columns pass through, but n_bytes,
+    n_removed and n_spans may not be there yet.
     """
     if clash := {"n_bytes", "n_removed", "n_spans"} & set(docs.columns):
         raise ValueError(f"{sorted(clash)} are columns already")
