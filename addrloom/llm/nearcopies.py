@@ -34,8 +34,10 @@ SHINGLE, SEED = 5, 42
 PRINTS, WIDTH, STARTS = 4, 32, (0, 32)
 #: Differing bits of the unweighted fingerprints beyond which no pair is verified; at 0.8 they differ in 10, by 3 more or less.
 FAR = 21
-#: Texts of a variant whose pairs are listed at once, and those whose pairs a task counts; pairs to each text that are listed; rounds before all are.
-SMALL, RUN, FEW, ROUNDS = 8, 8192, 4, 6
+#: Texts of a variant whose pairs are listed at once, and those whose pairs a task counts.
+SMALL, RUN = 8, 8192
+#: Pairs to each text that are listed in the first round; pairs of a variant that are listed later; rounds before all are.
+FEW, LISTED, ROUNDS = 4, 20_000, 6
 #: Nodes to a file.
 SLICE = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +214,7 @@ def open_pairs(held: DataFrame, k: int) -> DataFrame:
     """Of (key, node, n, sketch, root): pairs in different components that may be alike, and the members of variants that still have others.
 
     A variant with few such pairs has them all listed; of one with many, those of the
-    member whose hash in round ``k`` comes first.
+    first member with any, in the order of a hash of round ``k``.
     """
     ordered = held.select("key", F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "sketch", "root").repartition("key").sortWithinPartitions("key", "h")
 
@@ -238,7 +240,7 @@ def open_pairs(held: DataFrame, k: int) -> DataFrame:
                     if len(hit) and star is None:
                         star = (np.full(len(hit), node[i]), node[hit])
                     count += len(hit)
-                    if count > FEW * (e - s) and k < ROUNDS:
+                    if count > max(FEW * (e - s), LISTED if k else 0) and k < ROUNDS:
                         left, right = [star[0]], [star[1]]
                         again.append((s, e))
                         break
@@ -333,6 +335,8 @@ def links(met: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame | None
             asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
             if sets is not None:
                 asked = asked.join(sets.select("node"), "node", "left_anti")
+            elif left:  # and of what later rounds may ask for, so that texts are read once
+                asked = asked.unionByName(members.select("node")).distinct()
             fetched = whole_sets(docs, asked)
             sets = fetched if sets is None else sets.unionByName(fetched)
             new = _alike(pairs, sets)
@@ -354,7 +358,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     meets is decided exactly but for 64-bit hashes of shingles and of sets.
     """
     rows = store.keep(nodes_of(docs), "nodes")
-    sets = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints"))
+    # A named number of parts, since small rows that grow 256-fold below should not be gathered into few.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = rows.repartition(parts, "node").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prints").alias("prints"))
     known = store.keep(rows.select("node", "n", "sketch").distinct(), "known")
     roots = links(meetings(sets.select("node", "prints")), known, docs)
     if roots is None:
