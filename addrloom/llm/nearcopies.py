@@ -216,7 +216,7 @@ def open_pairs(held: DataFrame, k: int) -> DataFrame:
     A variant with few such pairs has them all listed; of one with many, those of the
     first member with any, in the order of a hash of round ``k``.
     """
-    ordered = held.select("key", F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "sketch", "root").repartition("key").sortWithinPartitions("key", "h")
+    ordered = held.select("key", F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "sketch", "root").repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "h")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None
