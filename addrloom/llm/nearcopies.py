@@ -185,10 +185,11 @@ def _within(keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """What meets under a variant: pairs of nodes (pair, a, b) where few do, else (not pair, key, node) of each."""
+    """What meets under a variant: pairs of nodes (pair, a, b) where few do, else (not pair, key, node) of each; keys may name several variants of the same members."""
     keys = variants(sets).repartition("key").sortWithinPartitions("key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for key, (node,), long in _runs(batches, RUN):
             if long:
                 yield _batch(False, key, node)
@@ -198,8 +199,17 @@ def meetings(sets: DataFrame) -> DataFrame:
                 yield _batch(True, *(node[np.concatenate(x)] for x in zip(*pairs)))
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             length = np.diff(np.append(first, len(key)))
-            if (many := np.repeat(length > SMALL, length)).any():
-                yield _batch(False, key[many], node[many])
+            sets_of, nodes_of_sets = [], []
+            for at in np.flatnonzero(length > SMALL).tolist():
+                # Variants with the same members are one: an equal segment has all of its variants in common.
+                own = np.sort(node[first[at] : first[at] + length[at]])
+                digest = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+                if digest not in known:
+                    known.add(digest)
+                    sets_of.append(np.full(len(own), digest, np.uint64).view(np.int64))
+                    nodes_of_sets.append(own)
+            if sets_of:
+                yield _batch(False, np.concatenate(sets_of), np.concatenate(nodes_of_sets))
 
     with store.short_rows(sets.sparkSession):
         return store.keep(keys.mapInArrow(meet, FOUND), "meetings")
@@ -324,7 +334,7 @@ def links(met: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame | None
     of = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"f_{x}"))
     near = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b"))) <= FAR)
     pairs = met.where("pair").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
-    members = met.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    members = store.keep(met.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "members")
     sets, found, roots = None, None, None
     for k in range(ROUNDS + 2):
         left = not members.isEmpty()
