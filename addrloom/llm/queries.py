@@ -98,8 +98,26 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import resample
+
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"), 25, 20, 7)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import interactions
+
+    return interactions.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_kneser_ney_scoring, op4_quality_classifier, op5_voronoi_topk, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_kneser_ney_scoring, op4_quality_classifier, op5_voronoi_topk, op6_media_columns, op7_simhash_near_dedup, op8_extendible_sharding, op9_line_dedup, op10_suffix_array_dedup, op11_importance_resampling, op12_toxicity, op13_filter_interactions)}
 
 
 #: Whole inner products over the stated queries, exact as long as they fit 64 bits.
@@ -118,6 +136,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 """
 
 
+#: Documents by part and failed filters, against every step of every order.
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: [a, b, c, d, e][ord(x) - 64]) AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS f, string_split(filter_order[1:step - 1], '') AS before FROM o, range(1, 6) r(step)),
+j AS (SELECT part, filter_order, step, f, n, good, toxic, fails, NOT list_has_any(fails, before) AS there, list_contains(fails, f) AS bad FROM m, s),
+g AS (SELECT part, filter_order, CAST(step AS INT) AS step, f, CAST(coalesce(sum(n) FILTER (there AND NOT bad), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (there AND bad), 0) AS BIGINT) AS removed,
+CAST(coalesce(sum(n) FILTER (NOT there AND bad), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = [f]), 0) AS BIGINT) AS unique_fails,
+CAST(coalesce(sum(good) FILTER (there AND bad), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (there AND bad), 0) AS BIGINT) AS toxic_lost FROM j GROUP BY ALL)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Tokens, models, 64-bit string hashes and media are beyond DuckDB's SQL; the tests hold those against brute force."""
-    return {"op5_voronoi_topk": OP5, "op9_line_dedup": OP9}
+    """Tokens, models, CRC and 64-bit string hashes and media are beyond DuckDB's SQL; the tests hold those against brute force."""
+    return {"op5_voronoi_topk": OP5, "op9_line_dedup": OP9, "op13_filter_interactions": OP13}

@@ -20,6 +20,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: All ASCII but letters and digits: what parts words where marks are no part of them.
+MARKS = np.arange(256) < 128
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -91,10 +94,10 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         row = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each document the index of its first word (one more at the end)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes that are no ``gap``), and for each document the index of its first word (one more at the end)."""
     n = len(data)
-    solid = ~SPACE[data]
+    solid = ~gap[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], solid[:-1])) & ~edge[:-1]
