@@ -9,10 +9,14 @@ every threshold in use. Addresses then look their variants' hits up.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import text
+from addrloom.operators import simjoin
+from addrloom.operators.stages import cut
 from addrloom.operators.tables import valid_at
 
 UNIT_FIELDS = ("id", "gso_code", "full_name", "name", "unit_type", "ascii_name", "parent_id")
@@ -59,6 +63,46 @@ def similar(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return _shared(distinct.select(*key, F.size("t").alias("m"), F.explode("t").alias("g")).join(index, ["level", "parent", "g"]), key)
 
 
+@dataclass(frozen=True)
+class PrefixIndex:
+    """Postings of units below their parents by the rarity of their trigrams, and the trigrams' frequencies."""
+
+    postings: DataFrame
+    freq: DataFrame
+    sizes: list[int]
+
+
+def prefix_index(units: DataFrame, below_root: bool = False) -> PrefixIndex:
+    """The same units as in ``index_units``, for searches of the best few among many."""
+    parent = F.lit(ROOT).cast("bigint") if below_root else F.coalesce("parent_id", F.lit(ROOT))
+    rows = units.where(F.col("ascii_name").isNotNull()).select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), parent.alias("parent"), "valid_from", "valid_to", "ascii_name")
+    freq = simjoin.frequencies(rows, "ascii_name")
+    index = cut(simjoin.postings(rows, ["level", "parent", "unit_id", "valid_from", "valid_to"], "ascii_name", freq))
+    return PrefixIndex(index, freq, simjoin.set_sizes(index))
+
+
+#: Units among which a search reads whole postings: fewer stages then weigh more than fewer candidates.
+FEW_UNITS = 2_000
+
+
+def search_index(units: DataFrame) -> DataFrame | PrefixIndex:
+    """An index of all ``units`` below ROOT; either kind gives the same hits."""
+    return index_units(units, below_root=True) if units.limit(FEW_UNITS + 1).count() <= FEW_UNITS else prefix_index(units, below_root=True)
+
+
+
+def scored_best(pairs: DataFrame, index: PrefixIndex, top: int) -> DataFrame:
+    """What ``scored`` gives, but of each variant the ``top`` best alone and those as good as the last of them.
+
+    A unit among a request's best is among those of the variant it is best by, so
+    no request loses one.
+    """
+    key = ["level", "parent", "variant", "as_of"]
+    distinct = pairs.groupBy(*key).agg(F.min("threshold").alias("least"))
+    asked = cut(simjoin.by_rarity(distinct, [*key, "least"], "variant", index.freq))
+    return simjoin.top_k(asked, index.postings, key, ["level", "parent"], top, valid_at(F.col("as_of")), index.sizes).select(*key, "unit_id", "sim")
+
+
 def named(variants: DataFrame, units: DataFrame, aliases: DataFrame) -> DataFrame:
     """(request, as_of, unit_id, score) of the units with an alias among (request, level, parent, as_of, variant) rows, and its greatest weight."""
     places = units.select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), F.explode(F.array_distinct(F.array(F.coalesce("parent_id", F.lit(ROOT)), F.lit(ROOT)))).alias("parent"))
@@ -76,7 +120,7 @@ def similar_broadcast(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return distinct.join(below, ["level", "parent"]).where(shared > 0).select("level", "parent", "variant", "unit_id", text.overlap(shared, F.size("t"), F.size("u")).alias("sim"))
 
 
-def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | None = None) -> DataFrame:
+def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | None = None) -> DataFrame:
     """(request, rank, unit, score) for requests (request, level, parent, as_of, threshold, variants).
 
     A unit's score is its best similarity above the threshold over the variants,
@@ -84,12 +128,13 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     threshold. Ties go to units with an alias, then to the smaller id. Requests
     without variants have no hits. The requests are read twice, so they had better
     come from a table or a cut stage, and so had the ``index`` (of ``index_units``;
-    made here if it is not given).
+    made here if it is not given). Where thousands of units stand below a parent, one
+    of ``prefix_index`` leaves out the postings of common trigrams.
     """
     variants = requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant"))
     unit = F.struct(*UNIT_FIELDS)
     known = units.select(F.col("id").alias("unit_id"), unit.alias("unit"), "valid_from", "valid_to")
-    hits = scored(variants, index_units(units) if index is None else index)
+    hits = scored_best(variants, index, top) if isinstance(index, PrefixIndex) else scored(variants, index_units(units) if index is None else index)
     fuzzy = variants.join(hits, ["level", "parent", "variant", "as_of"]).where(F.col("sim") > F.col("threshold")).select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias"))
     exact = named(variants, units, aliases).withColumn("by_alias", F.lit(1))
     hits = fuzzy.unionByName(exact).groupBy("request", "as_of", "unit_id").agg(F.max("score").alias("score"), F.max("by_alias").alias("by_alias"))

@@ -247,7 +247,7 @@ def search(spark: SparkSession, q: str, gaz: Gazetteer, today: date, unit_type:
 def search_many(asked: DataFrame, gaz: Gazetteer, unit_type: str, limit: int) -> DataFrame:
     """(query_id, rank, unit fields, score) for (query_id, q, as_of)."""
     rows = asked.select(F.col("query_id").alias("request"), "as_of", F.array(text.to_ascii(F.col("q"))).alias("variants"))
-    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit, match.index_units(gaz.units.where(F.col("unit_type") == unit_type), below_root=True))
+    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit, match.search_index(gaz.units.where(F.col("unit_type") == unit_type)))
     return hits.select(F.col("request").alias("query_id"), "rank", *[F.col(f"unit.{c}").alias(c) for c in ("id", "gso_code", "full_name", "name", "unit_type", "ascii_name")], F.bround("score", 4).alias("score"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import dicts, scoring, text
-from addrloom.operators import extensions, match, tables, vectors
+from addrloom.operators import extensions, match, simjoin, tables, vectors
 from addrloom.operators.stages import cut
 from addrloom.plans import duck
 from addrloom.plans import resolve as plan
@@ -178,6 +178,38 @@ def fuzzy_join_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(text.read_back(F.col("sim"))), 6).alias("total"))
 
 
+PAIRS = """
+WITH q AS (SELECT c_custkey, {tq} AS x FROM (SELECT c_custkey, lower(substring(c_name, 1, 3) || substring(c_name, 5)) AS q FROM customer)), u AS (SELECT c_custkey AS like_key, {tu} AS y FROM customer),
+c AS (SELECT c_custkey, like_key, any_value(m) AS m, any_value(n) AS n, count(*) AS c FROM (SELECT c_custkey, len(x) AS m, unnest(x) AS g FROM q) JOIN (SELECT like_key, len(y) AS n, unnest(y) AS g FROM u) USING (g) GROUP BY c_custkey, like_key),
+s AS (SELECT c_custkey, like_key, CAST(c AS DOUBLE) / (m + n - c) AS exact, CAST(exact AS FLOAT) AS sim FROM c)
+""".format(tq=duck.trigrams("q"), tu=duck.trigrams("c_name"))
+
+
+def _misspelt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    names = _t(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("name"))
+    return names.select("c_custkey", F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)")).alias("name")), names
+
+
+@query(PAIRS + f"SELECT c_custkey AS request, CAST(rank AS INT) AS rank, like_key AS id, {duck.read_back('sim')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY sim DESC, like_key) AS rank FROM s WHERE sim > CAST(0.3 AS DOUBLE)) WHERE rank <= 3")
+def fuzzy_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's name less a letter among all customers' names, which share a template: the three best without reading its postings."""
+    asked, names = _misspelt(spark, sf_dir)
+    units = names.selectExpr("c_custkey id", "CAST(c_custkey AS STRING) gso_code", "name full_name", "name", "'ward' unit_type", "name ascii_name", "CAST(NULL AS BIGINT) parent_id", "DATE'2000-01-01' valid_from", "CAST(NULL AS DATE) valid_to")
+    rows = asked.select(F.col("c_custkey").alias("request"), F.lit("ward").alias("level"), F.lit(None).cast("bigint").alias("parent"), F.lit(TODAY).alias("as_of"), F.lit(0.3).alias("threshold"), F.array("name").alias("variants"))
+    return match.best_match(rows, units, _no_aliases(spark), 3, match.prefix_index(units)).select("request", "rank", F.col("unit.id").alias("id"), "score")
+
+
+SIMILAR = PAIRS + f"SELECT c_custkey, like_key, {duck.read_back('sim')} AS sim FROM s WHERE sim >= CAST(0.6 AS FLOAT)"
+
+
+@query(SIMILAR)
+def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a customer's name less a letter and any customer's name with a similarity of 0.6 or more."""
+    asked, names = _misspelt(spark, sf_dir)
+    pairs = simjoin.threshold_join(asked, names.withColumnRenamed("c_custkey", "like_key"), "c_custkey", "like_key", "name", 0.6)
+    return pairs.select("c_custkey", "like_key", text.read_back(F.col("sim")).alias("sim"))
+
+
 def _nation_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) id", "CAST(n_nationkey AS STRING) gso_code", "n_name full_name", "n_name name", "'district' unit_type", "replace(n_name, '_', ' ') ascii_name", "CAST(n_regionkey AS BIGINT) parent_id", "DATE'2000-01-01' valid_from", "CAST(NULL AS DATE) valid_to", "'pre_merger' era")
 
