@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrloom.functions import text
+from addrloom.functions import phonetic, text
 from addrloom.operators import simjoin
 from addrloom.operators.stages import cut
 from addrloom.operators.tables import valid_at
@@ -110,6 +110,25 @@ def named(variants: DataFrame, units: DataFrame, aliases: DataFrame) -> DataFram
     return variants.join(weights, ["level", "parent", "variant"]).select("request", "as_of", "unit_id", "score")
 
 
+def index_sounds(units: DataFrame, below_root: bool = False) -> DataFrame:
+    """(level, parent, key, unit_id, ascii_name, valid_from, valid_to): units by the sound of their name."""
+    parent = F.lit(ROOT).cast("bigint") if below_root else F.coalesce("parent_id", F.lit(ROOT))
+    key = phonetic.sound_key(F.col("ascii_name"))
+    return units.where(key != "").select(F.col("unit_type").alias("level"), parent.alias("parent"), key.alias("key"), F.col("id").alias("unit_id"), "ascii_name", "valid_from", "valid_to")
+
+
+def sounding(variants: DataFrame, sounds: DataFrame) -> DataFrame:
+    """(request, as_of, unit_id, score) of the units that sound like a variant of (request, level, parent, as_of, variant) rows.
+
+    An equi-join on the sound key. The score lies halfway between the trigram
+    similarity and 1, so that of names that sound alike the one spelt alike is first.
+    """
+    asked = variants.withColumn("key", phonetic.sound_key(F.col("variant"))).where(F.col("key") != "")
+    met = asked.join(sounds, ["level", "parent", "key"]).where(valid_at(F.col("as_of")))
+    score = (text.read_back(text.similarity(F.col("variant"), F.col("ascii_name"))) + 1) / 2
+    return met.groupBy("request", "as_of", "unit_id").agg(F.max(score).alias("score"))
+
+
 def similar_broadcast(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """The same by comparing each variant with all units below its parent; for few units to a parent."""
     t = text.trigrams(F.col("variant"))
@@ -120,7 +139,7 @@ def similar_broadcast(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return distinct.join(below, ["level", "parent"]).where(shared > 0).select("level", "parent", "variant", "unit_id", text.overlap(shared, F.size("t"), F.size("u")).alias("sim"))
 
 
-def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | None = None) -> DataFrame:
+def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | None = None, sounds: DataFrame | None = None) -> DataFrame:
     """(request, rank, unit, score) for requests (request, level, parent, as_of, threshold, variants).
 
     A unit's score is its best similarity above the threshold over the variants,
@@ -129,7 +148,8 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     without variants have no hits. The requests are read twice, so they had better
     come from a table or a cut stage, and so had the ``index`` (of ``index_units``;
     made here if it is not given). Where thousands of units stand below a parent, one
-    of ``prefix_index`` leaves out the postings of common trigrams.
+    of ``prefix_index`` leaves out the postings of common trigrams. With ``sounds`` (of
+    ``index_sounds``) units that sound like a variant are hits as well.
     """
     variants = requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant"))
     unit = F.struct(*UNIT_FIELDS)
@@ -137,6 +157,8 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     hits = scored_best(variants, index, top) if isinstance(index, PrefixIndex) else scored(variants, index_units(units) if index is None else index)
     fuzzy = variants.join(hits, ["level", "parent", "variant", "as_of"]).where(F.col("sim") > F.col("threshold")).select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias"))
     exact = named(variants, units, aliases).withColumn("by_alias", F.lit(1))
+    if sounds is not None:
+        fuzzy = fuzzy.unionByName(sounding(variants, sounds).withColumn("by_alias", F.lit(0)))
     hits = fuzzy.unionByName(exact).groupBy("request", "as_of", "unit_id").agg(F.max("score").alias("score"), F.max("by_alias").alias("by_alias"))
     found = hits.join(known, "unit_id").where(valid_at(F.col("as_of")))
     order = Window.partitionBy("request").orderBy(F.desc("score"), F.desc("by_alias"), "unit_id")

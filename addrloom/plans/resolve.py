@@ -232,8 +232,8 @@ def resolve_one(spark: SparkSession, address: str, gaz: Gazetteer, today: date,
     return resolve(spark.createDataFrame([(0, address, day, use_geocoder)], schemas.ADDRESSES), gaz, today, poi)
 
 
-def search(spark: SparkSession, q: str, gaz: Gazetteer, today: date, unit_type: str = "province", limit: int = 10) -> DataFrame:
-    """Units of a type whose names are like ``q``, best first; shorthand is not expanded here."""
+def search(spark: SparkSession, q: str, gaz: Gazetteer, today: date, unit_type: str = "province", limit: int = 10, by_sound: bool = False) -> DataFrame:
+    """Units of a type whose names are like ``q``, best first; shorthand is not expanded here. ``by_sound`` finds names that sound like it too."""
     if not q:
         raise ValueError("q must not be empty")
     if unit_type not in schemas.UNIT_TYPES:
@@ -241,13 +241,15 @@ def search(spark: SparkSession, q: str, gaz: Gazetteer, today: date, unit_type:
     if not 1 <= limit <= 30:
         raise ValueError("limit must lie between 1 and 30")
     asked = spark.createDataFrame([(0, q, today)], "query_id bigint, q string, as_of date")
-    return search_many(asked, gaz, unit_type, limit).drop("query_id").orderBy("rank")
+    return search_many(asked, gaz, unit_type, limit, by_sound).drop("query_id").orderBy("rank")
 
 
-def search_many(asked: DataFrame, gaz: Gazetteer, unit_type: str, limit: int) -> DataFrame:
+def search_many(asked: DataFrame, gaz: Gazetteer, unit_type: str, limit: int, by_sound: bool = False) -> DataFrame:
     """(query_id, rank, unit fields, score) for (query_id, q, as_of)."""
     rows = asked.select(F.col("query_id").alias("request"), "as_of", F.array(text.to_ascii(F.col("q"))).alias("variants"))
-    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit, match.search_index(gaz.units.where(F.col("unit_type") == unit_type)))
+    units = gaz.units.where(F.col("unit_type") == unit_type)
+    sounds = match.index_sounds(units, below_root=True) if by_sound else None
+    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit, match.search_index(units), sounds)
     return hits.select(F.col("request").alias("query_id"), "rank", *[F.col(f"unit.{c}").alias(c) for c in ("id", "gso_code", "full_name", "name", "unit_type", "ascii_name")], F.bround("score", 4).alias("score"))
 
 

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from addrloom.functions import dicts, scoring, text
+from addrloom.functions import dicts, phonetic, scoring, text
 from addrloom.operators import extensions, match, simjoin, tables, vectors
 from addrloom.operators.stages import cut
 from addrloom.plans import duck
@@ -43,6 +43,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores: one small file would be one task, though the pairs made of its rows are many."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _inline(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(INLINE, "k bigint, s string")
 
@@ -732,9 +737,66 @@ def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT p_partkey, len(list_intersect(list_distinct(string_split(p_name, ' ')), ['small', 'ring', 'red'])) / CAST(len(list_distinct(string_split(p_name, ' ') || ['small', 'ring', 'red'])) AS DOUBLE) AS ratio FROM part")
-def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that each part name shares with three words."""
-    return _t(spark, sf_dir, "part").select("p_partkey", vectors.token_set_ratio(F.col("p_name"), F.lit("small ring red")).alias("ratio"))
+    return _t(spark, sf_dir, "part").select("p_partkey", vectors.word_jaccard(F.col("p_name"), F.lit("small ring red")).alias("ratio"))
+
+
+RATIO = """
+WITH p AS (SELECT p_partkey, p_partkey % 25 AS k, lower(p_name || ' ' || p_type) AS a FROM part), s AS (SELECT s_suppkey, s_nationkey AS k, lower(p_type || ' ' || p_name || ' ' || n_name) AS b FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey),
+w AS (SELECT p_partkey, s_suppkey, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM p JOIN s USING (k)),
+d AS (SELECT p_partkey, s_suppkey, array_to_string(list_sort(list_intersect(x, y)), ' ') AS t, array_to_string(list_sort(list_filter(x, lambda z: NOT list_contains(y, z))), ' ') AS l, array_to_string(list_sort(list_filter(y, lambda z: NOT list_contains(x, z))), ' ') AS r FROM w),
+m AS (SELECT DISTINCT l, r, CAST((1::BIGINT << length(l)) - 1 AS BIGINT) AS full_ FROM d WHERE l <> '' AND r <> ''),
+c AS (SELECT l, r, length(l) - bit_count(list_reduce(list_prepend(full_, list_transform(string_split(r, ''), lambda z: CAST(list_sum(list_transform(range(1, length(l) + 1), lambda i: CASE WHEN l[i] = z THEN 1::BIGINT << CAST(i - 1 AS INT) ELSE 0 END)) AS BIGINT))), lambda v, h: ((v + (v & h)) | (v - (v & h))) & full_)) AS lcs FROM m),
+n AS (SELECT p_partkey, s_suppkey, length(t) AS n, length(d.l) AS l, length(d.r) AS r, (length(t) > 0 AND length(d.l) > 0)::INT AS gl, (length(t) > 0 AND length(d.r) > 0)::INT AS gr, coalesce(lcs, 0) AS lcs FROM d LEFT JOIN c ON c.l = d.l AND c.r = d.r)
+SELECT p_partkey, s_suppkey, round(CASE WHEN n > 0 AND (l = 0 OR r = 0) THEN 1.0::DOUBLE WHEN n + l = 0 OR n + r = 0 THEN 0.0::DOUBLE
+ELSE greatest(2.0::DOUBLE * (n + least(gl, gr) + lcs) / (n + gl + l + n + gr + r), CASE WHEN n > 0 THEN 2.0::DOUBLE * n / (n + n + gl + l) ELSE 0 END, CASE WHEN n > 0 THEN 2.0::DOUBLE * n / (n + n + gr + r) ELSE 0 END) END, 9) AS ratio FROM n
+"""
+
+
+@query(RATIO)
+def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types of parts against those of suppliers' parts with their nation, within 25 blocks, as sets of words."""
+    part = _t(spark, sf_dir, "part")
+    p = part.select("p_partkey", (F.col("p_partkey") % 25).alias("k"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("a"))
+    s = _t(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    s = s.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("k"), F.lower(F.concat_ws(" ", "p_type", "p_name", "n_name")).alias("b"))
+    return _spread(p, "p_partkey").join(s, "k").select("p_partkey", "s_suppkey", F.round(vectors.token_set_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+
+
+MISHEARD = ((r"\bs", "x"), (r"\br", "gi"), (r"\bl", "n"), (r"\bc", "k"), (r"ng\b", "n"), (r"ot\b", "och"))
+
+
+def _sound_sql(x: str) -> str:
+    x = f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, code in phonetic.SOUNDS:
+        x = f"regexp_replace({x}, '{pattern}', '{code}', 'g')"
+    return x
+
+
+def _misheard_sql(x: str) -> str:
+    for pattern, code in MISHEARD:
+        x = f"regexp_replace({x}, '{pattern}', '{code}', 'g')"
+    return x
+
+
+SOUND = """
+WITH u AS (SELECT p_name, min(p_partkey) AS id, {tu} AS y, {ku} AS k FROM part GROUP BY p_name), q AS (SELECT p_partkey, {mis} AS q FROM part), d AS (SELECT q, {tq} AS x, {kq} AS k FROM (SELECT DISTINCT q FROM q)),
+m AS (SELECT q, id, {sim} AS sim FROM d JOIN u USING (k))
+SELECT p_partkey AS request, q AS variant, id, (1 + {back}) / 2 AS score, sim <= CAST(0.3 AS DOUBLE) AS missed_by_trigrams FROM q JOIN m USING (q)
+""".format(tu=duck.trigrams("p_name"), ku=_sound_sql("p_name"), mis=_misheard_sql("lower(p_name)"), tq=duck.trigrams("q"), kq=_sound_sql("q"), sim=duck.overlap("x", "y"), back=duck.read_back("sim"))
+
+
+@query(SOUND)
+def phonetic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as they are misheard, found among all distinct names by their sound, and whether trigrams would miss them."""
+    heard = F.lower("p_name")
+    for pattern, code in MISHEARD:
+        heard = F.regexp_replace(heard, pattern, code)
+    asked = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("request"), heard.alias("variant"), F.lit("province").alias("level"), F.lit(match.ROOT).cast("bigint").alias("parent"), F.lit(TODAY).alias("as_of"))
+    hits = match.sounding(asked, match.index_sounds(_part_units(spark, sf_dir), below_root=True))
+    found = hits.join(asked.select("request", "variant"), "request")
+    return found.select("request", "variant", F.col("unit_id").alias("id"), "score", (2 * F.col("score") - 1 <= F.lit(0.3)).alias("missed_by_trigrams"))
 
 
 @query(
@@ -864,7 +926,7 @@ def string_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lower(F.concat(F.substring("c_name", 1, 3), "c_mktsegment")).alias("a"))
     s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.lower(F.concat(F.reverse(F.substring("s_name", 1, 8)), "n_name")).alias("b"))
     a, b = F.col("a"), F.col("b")
-    return c.join(s, "c_nationkey").select("c_custkey", "s_suppkey", vectors.damerau(a, b).alias("damerau"), F.round(vectors.jaro_winkler(a, b), 9).alias("jaro_winkler"), F.round(vectors.trigram_cosine(a, b), 9).alias("cosine"))
+    return _spread(c, "c_custkey").join(s, "c_nationkey").select("c_custkey", "s_suppkey", vectors.damerau(a, b).alias("damerau"), F.round(vectors.jaro_winkler(a, b), 9).alias("jaro_winkler"), F.round(vectors.trigram_cosine(a, b), 9).alias("cosine"))
 
 
 @query(CONF + "SELECT o_orderkey AS addr_id, confidence, CAST(round(abs(confidence - 0.6), 6) AS DOUBLE) AS distance FROM c ORDER BY distance, addr_id LIMIT 50")
