@@ -44,7 +44,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to all cores: one small file would be one task, though the pairs made of its rows are many."""
+    """Pairs dealt to all cores: by its bytes a small join is one task, though what follows costs far more a pair."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
@@ -761,7 +761,7 @@ def token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = part.select("p_partkey", (F.col("p_partkey") % 25).alias("k"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("a"))
     s = _t(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
     s = s.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("k"), F.lower(F.concat_ws(" ", "p_type", "p_name", "n_name")).alias("b"))
-    return _spread(p, "p_partkey").join(s, "k").select("p_partkey", "s_suppkey", F.round(vectors.token_set_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
+    return _spread(p.join(s, "k"), "p_partkey").select("p_partkey", "s_suppkey", F.round(vectors.token_set_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
 
 
 MISHEARD = ((r"\bs", "x"), (r"\br", "gi"), (r"\bl", "n"), (r"\bc", "k"), (r"ng\b", "n"), (r"ot\b", "och"))
@@ -926,7 +926,7 @@ def string_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.lower(F.concat(F.substring("c_name", 1, 3), "c_mktsegment")).alias("a"))
     s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), F.lower(F.concat(F.reverse(F.substring("s_name", 1, 8)), "n_name")).alias("b"))
     a, b = F.col("a"), F.col("b")
-    return _spread(c, "c_custkey").join(s, "c_nationkey").select("c_custkey", "s_suppkey", vectors.damerau(a, b).alias("damerau"), F.round(vectors.jaro_winkler(a, b), 9).alias("jaro_winkler"), F.round(vectors.trigram_cosine(a, b), 9).alias("cosine"))
+    return _spread(c.join(s, "c_nationkey"), "c_custkey").select("c_custkey", "s_suppkey", vectors.damerau(a, b).alias("damerau"), F.round(vectors.jaro_winkler(a, b), 9).alias("jaro_winkler"), F.round(vectors.trigram_cosine(a, b), 9).alias("cosine"))
 
 
 @query(CONF + "SELECT o_orderkey AS addr_id, confidence, CAST(round(abs(confidence - 0.6), 6) AS DOUBLE) AS distance FROM c ORDER BY distance, addr_id LIMIT 50")
