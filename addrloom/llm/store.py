@@ -2,8 +2,9 @@
 
 A cluster names the folder in ``spark.checkpoint.dir``; only in local mode, where
 that is unset (tests, notebooks), a temporary one is made. Tasks write each file under a name
-of their own and rename it, so a task that is run again after a loss leaves the
-same file. Readers map a file into memory; a remote one is fetched once per
+of their own. Those of a kept table stay under it, and only what successful tasks
+report is read; those of a model are renamed, so a task that is run again after a
+loss leaves the same file. Readers map a file into memory; a remote one is fetched once per
 process into an unlinked temporary file.
 """
 
@@ -63,20 +64,23 @@ GROUP_BYTES = 8 << 20
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """The same, written by the Python workers: a file for each partition, visible only when complete.
+    """The same, written by the Python workers: a file for each partition with rows.
 
     For tables whose rows come from a worker anyway. On a local file system Hadoop's
     writer starts three processes for each file to set permissions, each for a moment
-    as large as the JVM; this one starts none. An attempt that runs again leaves a
-    file of the same name.
+    as large as the JVM; this one starts none. Every attempt writes a file of a name of
+    its own and reports it, and the table is what successful tasks reported: a file of
+    an attempt that failed, whose input may have ended early, or that another attempt
+    was ahead of, is never read. Their rows are counted again in what is read. The names
+    and counts, one for each partition, reach the driver.
     """
     path = new_folder(df.sparkSession, name)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = 0
+        rows, file = 0, f"{path}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet"
         if (first := next((b for b in batches if len(b)), None)) is not None:
             held, size = [first], first.nbytes
-            with writing(f"{path}/part-{TaskContext.get().partitionId():06d}.parquet") as f, pq.ParquetWriter(f, first.schema, compression="zstd") as writer:
+            with writing(file) as f, pq.ParquetWriter(f, first.schema, compression="zstd") as writer:
                 rows = len(first)
                 for batch in batches:
                     if size >= GROUP_BYTES:
@@ -86,10 +90,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
                     size += batch.nbytes
                     rows += len(batch)
                 writer.write_table(pa.Table.from_batches(held).combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
-
-    n = df.mapInArrow(write, "n long").groupBy().sum("n").first()[0]
-    return df.sparkSession.read.schema(df.schema).parquet(path) if n else df.sparkSession.createDataFrame([], df.schema)
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([rows], pa.int64())], ["file", "n"])
+
+    made = df.mapInArrow(write, "file string, n long").where("n > 0").collect()
+    if not made:
+        return df.sparkSession.createDataFrame([], df.schema)
+    out = df.sparkSession.read.schema(df.schema).parquet(*sorted(r["file"] for r in made))
+    if (found := out.count()) != (n := sum(r["n"] for r in made)):
+        raise RuntimeError(f"{path} holds {found} rows of {n}")
+    return out
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -33,6 +33,24 @@ def test_kept_tables(spark):
     assert store.keep(df.where("i > 5"), "t").count() == 0 and store.keep(df.limit(0), "t").schema == df.schema
 
 
+def test_a_kept_table_is_what_successful_tasks_wrote(spark, monkeypatch, tmp_path):
+    """An attempt whose input ends early, and one that loses, leave complete-looking files; neither is read."""
+    monkeypatch.setattr(store, "new_folder", lambda s, name: str(tmp_path / name))
+    rows = spark.range(2000).repartition(4)
+    broken = rows.withColumn("x", F.when(F.col("id") == 1999, F.raise_error(F.lit("late"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="late"):
+        store.keep(broken, "t")
+    left = list((tmp_path / "t").glob("*.parquet"))
+    kept = store.keep(rows, "t")
+    assert len(list((tmp_path / "t").glob("*.parquet"))) == len(left) + 4
+    assert sorted(r["id"] for r in kept.collect()) == list(range(2000))
+    # A loser that ends after the winner.
+    for f in kept.inputFiles():
+        path = f.removeprefix("file://").removeprefix("file:")
+        (tmp_path / "t" / (path.rpartition("/")[2][:11] + "-late.parquet")).write_bytes(open(path, "rb").read())
+    assert kept.count() == 2000 and store.keep(rows, "t").count() == 2000
+
+
 def test_files_that_are_not_complete_are_not_seen(tmp_path):
     with pytest.raises(RuntimeError), store.writing(str(tmp_path / "x")) as f:
         f.write(b"half")
