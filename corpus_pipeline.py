@@ -46,14 +46,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of the documents in training order, as the mix takes them; the last copy of a source is cut to its words."""
-    mixed = mixing.mix(docs, carry=("text", "lang", "n_chars"))
-    order = mixing.training_order(mixed)
-    cut = F.col("words") < F.col("size")
-    whole = F.col("carried.text")
-    order = order.withColumn("text", F.when(cut, mixing.first_words(whole, F.col("words"))).otherwise(whole))
-    n_chars = F.when(cut, F.length("text").cast("long")).otherwise(F.col("carried.n_chars"))
-    return order.select("doc_id", "text", F.col("carried.lang").alias("lang"), "source", n_chars.alias("n_chars"))
+    """Whole copies of the documents in training order, as the mix takes them.
+
+    Of its last document a source takes some words only; that copy is whole if they
+    are at least half of its words and is left out otherwise, whichever is nearer to
+    the source's target.
+    """
+    order = mixing.training_order(mixing.mix(docs, carry=("text", "lang", "n_chars")))
+    whole = order.where(2 * F.col("words") >= F.col("size"))
+    return whole.select("doc_id", F.col("carried.text").alias("text"), F.col("carried.lang").alias("lang"), "source", F.col("carried.n_chars").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
