@@ -138,7 +138,8 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     repeated = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     # Written first, so that the join below has an exchange on either side and a very common line can be split.
     repeated = store.keep(repeated, "repeated")
-    drops = pairs.join(repeated, "digest").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("digest").alias("_drops"))
+    # Both joins are merged at every size: what is broadcast of a small table is shuffled of a large one, so costs would tell nothing.
+    drops = pairs.join(repeated.hint("merge"), "digest").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("digest").alias("_drops"))
     drops = store.keep(drops.select(F.col("doc_id").alias("_doc"), "_drops"), "drops")
     of = lambda c: F.unhex(F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")))
     losing, many = bloom.once(drops.select(of("_doc").alias("d")), "d")
@@ -147,5 +148,5 @@ def dedup_lines(docs: DataFrame, column: str = "text", min_chars: int = MIN_CHAR
     text = F.coalesce("text", F.lit(""))
     lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     clean = shape(marked.where("NOT _s"), text, lines, F.lit(0).cast("long"))
-    rest = marked.where("_s").join(drops, F.col("doc_id") == F.col("_doc"), "left").withColumn("_d", _drop(F.col("text"), F.col("_drops"), min_chars))
+    rest = marked.where("_s").join(drops.hint("merge"), F.col("doc_id") == F.col("_doc"), "left").withColumn("_d", _drop(F.col("text"), F.col("_drops"), min_chars))
     return clean.unionByName(shape(rest, F.col("_d.text"), F.col("_d.n_lines"), F.col("_d.n_dropped")))
