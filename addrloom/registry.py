@@ -520,8 +520,20 @@ def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the cascade
 
 
-def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Addresses and units: regions as provinces, nations as districts, and a ward for each supplier in either era, named like the part with its key."""
+#: How an address of ``_places`` writes its ward, district and province: misspelt or by name, and some by an alias.
+SPELT = (
+    "CASE WHEN s_suppkey % 9 = 4 THEN 'zz' || translate(CAST(s_suppkey AS VARCHAR(20)), '0123456789', 'abcdefghij') ELSE substring(p_name, 1, 1) || substring(p_name, 3) END",
+    "CASE WHEN s_suppkey % 11 = 5 THEN 'nn' || translate(CAST(s_nationkey AS VARCHAR(20)), '0123456789', 'abcdefghij') ELSE replace(n_name, '_', ' ') END",
+    "CASE WHEN s_suppkey % 13 = 6 THEN 'rr' || translate(CAST(n_regionkey AS VARCHAR(20)), '0123456789', 'abcdefghij') ELSE r_name END",
+)
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, plan.Gazetteer]:
+    """Addresses and the gazetteer: regions as provinces, nations as districts, and a ward for each supplier in either era, named like the part with its key.
+
+    Each unit has an alias of the letters of its key. A ward's of the later era weighs
+    0.7, a district's of an odd key 0.5, a province's 0.9, and others 1.
+    """
     s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "part").selectExpr("p_partkey s_suppkey", "p_name"), "s_suppkey").join(_t(spark, sf_dir, "nation").selectExpr("n_nationkey s_nationkey", "n_regionkey", "n_name"), "s_nationkey").join(_t(spark, sf_dir, "region").selectExpr("r_regionkey n_regionkey", "r_name"), "n_regionkey")
     s = cut(s)
     shape = lambda df, id, name, kind, parent, start, end, era: df.selectExpr(f"CAST({id} AS BIGINT) id", f"CAST({id} AS STRING) gso_code", f"{name} full_name", f"{name} name", f"'{kind}' unit_type", f"{name} ascii_name", f"CAST({parent} AS BIGINT) parent_id", f"DATE'{start}' valid_from", f"CAST({end} AS DATE) valid_to", f"'{era}' era")
@@ -529,22 +541,32 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     units = units.unionByName(shape(_t(spark, sf_dir, "nation"), "100 + n_nationkey", "replace(n_name, '_', ' ')", "district", "n_regionkey", "2000-01-01", "DATE'2025-06-30'", "pre_merger"))
     units = units.unionByName(shape(s, "1000 + s_suppkey", "p_name", "ward", "100 + s_nationkey", "2000-01-01", "DATE'2025-06-30'", "pre_merger"))
     units = units.unionByName(shape(s, "10000000 + s_suppkey", "p_name", "ward", "n_regionkey", "2025-07-01", "NULL", "post_merger"))
-    raw = "'so ' || (s_suppkey % 300 + 1000) || ' ' || substring(p_name, 1, 1) || substring(p_name, 3) || ' ' || replace(n_name, '_', ' ') || ', ' || r_name"
-    return s.selectExpr("s_suppkey addr_id", f"{raw} raw_input"), cut(units)
+    key = F.when(F.col("id") >= 10_000_000, F.col("id") - 10_000_000).when(F.col("id") >= 1000, F.col("id") - 1000).when(F.col("id") >= 100, F.col("id") - 100).otherwise(F.col("id"))
+    letters = F.translate(key.cast("string"), "0123456789", "abcdefghij")
+    kind, weight = F.col("unit_type"), F.when(F.col("id") >= 10_000_000, 0.7).when((F.col("unit_type") == "district") & (F.col("id") % 2 == 1), 0.5).when(F.col("unit_type") == "province", 0.9).otherwise(1.0)
+    units = cut(units)
+    aliases = units.select(F.concat(F.when(kind == "ward", "zz").when(kind == "district", "nn").otherwise("rr"), letters).alias("alias"), F.col("full_name").alias("canonical"), kind.alias("alias_type"), F.col("id").alias("unit_id"), weight.alias("weight"))
+    ward, district, province = SPELT
+    raw = f"'so ' || (s_suppkey % 300 + 1000) || ' ' || {ward} || ' ' || {district} || ', ' || {province}"
+    return s.selectExpr("s_suppkey addr_id", f"{raw} raw_input"), plan.Gazetteer(units, cut(aliases))
 
 
-NAMED = "substring(p_name, 1, 1) || substring(p_name, 3) || ' ' || n_name || ' ' || r_name"
+NAMED = "ward_text || ' ' || district_text || ' ' || province_text"
 PLACES = """
-s AS (SELECT s_suppkey, p_name, n_nationkey, n_regionkey, replace(n_name, '_', ' ') AS n_name, r_name FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
-a AS (SELECT s_suppkey AS addr_id, {normal} AS rest0, lower(n_name) AS nn, lower(r_name) AS last, CAST(s_suppkey % 300 + 1000 AS VARCHAR) AS house_number FROM s),
+s AS (SELECT s_suppkey, p_name, n_nationkey, n_regionkey, replace(n_name, '_', ' ') AS n_name, r_name, {ward} AS ward_text, {district} AS district_text, {province} AS province_text FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+al AS (SELECT prefix || translate(CAST(key AS VARCHAR), '0123456789', 'abcdefghij') AS alias, base + key AS unit, weight FROM (SELECT 'rr' AS prefix, r_regionkey AS key, 0 AS base, 0.9::DOUBLE AS weight FROM region UNION ALL SELECT 'nn', n_nationkey, 100, CASE WHEN n_nationkey % 2 = 1 THEN 0.5 ELSE 1 END FROM nation
+UNION ALL SELECT 'zz', s_suppkey, 1000, 1 FROM s UNION ALL SELECT 'zz', s_suppkey, 10000000, 0.7 FROM s)),
+a AS (SELECT s_suppkey AS addr_id, {normal} AS rest0, lower(province_text) AS last, CAST(s_suppkey % 300 + 1000 AS VARCHAR) AS house_number FROM s),
 a2 AS (SELECT *, rest0 AS rest FROM a), a3 AS (SELECT *, {tokens} AS t FROM a2), v AS (SELECT addr_id, {variants} AS vs FROM a3),
 lt AS (SELECT addr_id, last, {ltokens} AS t FROM a), lv AS (SELECT addr_id, unnest({lvariants}) AS v FROM lt), lx AS (SELECT addr_id, {tv} AS x FROM lv),
 p AS (SELECT r_regionkey AS pid, r_name, {tp} AS y FROM region), ph AS (SELECT addr_id, pid, r_name, max({sim}) AS sim FROM lx, p GROUP BY ALL),
-pt AS (SELECT addr_id, pid, r_name, {back} AS ps FROM (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY sim DESC, pid) AS n FROM ph WHERE sim > CAST(0.3 AS DOUBLE)) WHERE n = 1 AND {back} >= 0.5),
+pa AS (SELECT addr_id, pid, r_name, {back} AS ps, 0 AS named FROM ph WHERE sim > CAST(0.3 AS DOUBLE) UNION ALL SELECT addr_id, pid, r_name, weight, 1 FROM lv JOIN al ON alias = v JOIN p ON pid = unit),
+pb AS (SELECT addr_id, pid, r_name, max(ps) AS ps, max(named) AS named FROM pa GROUP BY ALL),
+pt AS (SELECT addr_id, pid, r_name, ps FROM (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY ps DESC, named DESC, pid) AS n FROM pb) WHERE n = 1 AND ps >= 0.5),
 sv0 AS (SELECT addr_id, pid, r_name, ps, vs, list_filter(vs, lambda z: len(list_filter({ztokens}, lambda w: NOT list_contains(string_split(lower(r_name), ' '), w))) > 0) AS f FROM pt JOIN v USING (addr_id)), sv AS (SELECT addr_id, pid, ps, r_name, CASE WHEN len(f) > 0 THEN f ELSE vs END AS vs FROM sv0)
 """.format(
     tokens=duck.tokens("rest"), variants=duck.variants("rest", "t"), ltokens=duck.tokens("last"), lvariants=duck.variants("last", "t"), tv=duck.trigrams("v"), tp=duck.trigrams("r_name"),
-    sim=duck.overlap("x", "y"), back=duck.read_back("sim"), ztokens=duck.tokens("z"), normal=duck.normalize(f"({NAMED})"),
+    sim=duck.overlap("x", "y"), back=duck.read_back("sim"), ztokens=duck.tokens("z"), normal=duck.normalize(f"({NAMED})"), ward=SPELT[0], district=SPELT[1], province=SPELT[2],
 )
 
 #: Half even to three places of the number as it is written.
@@ -553,7 +575,8 @@ SCORE3 = "round_even(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 20)), 3)::DOUBLE"
 POST = f"""
 WITH {PLACES}, x AS (SELECT addr_id, pid, {duck.trigrams('q')} AS x FROM (SELECT addr_id, pid, unnest(vs) AS q FROM sv)), w AS (SELECT 10000000 + s_suppkey AS wid, n_regionkey AS pid, p_name, {duck.trigrams('p_name')} AS y FROM s),
 h AS (SELECT addr_id, wid, p_name, max({duck.overlap('x', 'y')}) AS sim FROM x JOIN w USING (pid) GROUP BY ALL),
-k AS (SELECT addr_id, wid, p_name, {duck.read_back('sim')} AS ws, row_number() OVER (PARTITION BY addr_id ORDER BY sim DESC, wid) AS n FROM h WHERE sim > CAST(0.08 AS DOUBLE)),
+ha AS (SELECT addr_id, wid, p_name, {duck.read_back('sim')} AS ws, 0 AS named FROM h WHERE sim > CAST(0.08 AS DOUBLE) UNION ALL SELECT addr_id, wid, p_name, weight, 1 FROM (SELECT addr_id, pid, unnest(vs) AS q FROM sv) v JOIN al ON alias = q JOIN w ON wid = unit AND w.pid = v.pid),
+hb AS (SELECT addr_id, wid, p_name, max(ws) AS ws, max(named) AS named FROM ha GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY ws DESC, named DESC, wid) AS n FROM hb),
 c AS (SELECT addr_id, pid, ps, wid, ws, 0 AS second, n FROM sv JOIN k USING (addr_id) WHERE n <= 3 UNION ALL SELECT addr_id, pid, ps, NULL, NULL, 1, 0 FROM sv),
 o AS (SELECT *, {SCORE3.format('coalesce(ps * 10, 0) + coalesce(ws * 6 + 10, 0)')} AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY score DESC, second, n) AS rank FROM o)
 SELECT addr_id, CAST(rank AS INT) AS rank, CAST(pid AS BIGINT) AS province_id, CAST(-1 AS BIGINT) AS district_id, CAST(coalesce(wid, -1) AS BIGINT) AS ward_id, score, house_number FROM r JOIN a USING (addr_id)
@@ -562,11 +585,13 @@ SELECT addr_id, CAST(rank AS INT) AS rank, CAST(pid AS BIGINT) AS province_id, C
 PRE = f"""
 WITH {PLACES}, x AS (SELECT addr_id, pid, {duck.trigrams('q')} AS x FROM (SELECT addr_id, pid, unnest(vs) AS q FROM sv)), d AS (SELECT 100 + n_nationkey AS did, n_regionkey AS pid, lower(replace(n_name, '_', ' ')) AS dname, {duck.trigrams("replace(n_name, '_', ' ')")} AS y FROM nation),
 h AS (SELECT addr_id, did, dname, max({duck.overlap('x', 'y')}) AS sim FROM x JOIN d USING (pid) GROUP BY ALL),
-k AS (SELECT addr_id, did, dname, {duck.read_back('sim')} AS ds, row_number() OVER (PARTITION BY addr_id ORDER BY sim DESC, did) AS dn FROM h WHERE sim > CAST(0.08 AS DOUBLE)), k3 AS (SELECT * FROM k WHERE dn <= 3),
+ha AS (SELECT addr_id, did, dname, {duck.read_back('sim')} AS ds, 0 AS named FROM h WHERE sim > CAST(0.08 AS DOUBLE) UNION ALL SELECT addr_id, did, dname, weight, 1 FROM (SELECT addr_id, pid, unnest(vs) AS q FROM sv) v JOIN al ON alias = q JOIN d ON did = unit AND d.pid = v.pid),
+hb AS (SELECT addr_id, did, dname, max(ds) AS ds, max(named) AS named FROM ha GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY addr_id ORDER BY ds DESC, named DESC, did) AS dn FROM hb), k3 AS (SELECT * FROM k WHERE dn <= 3),
 dv AS (SELECT addr_id, did, vs, list_filter(vs, lambda z: len(list_filter({duck.tokens('z')}, lambda w: NOT list_contains(string_split(dname, ' '), w))) > 0) AS f FROM k3 JOIN sv USING (addr_id)),
-wx AS (SELECT addr_id, did, {duck.trigrams('q')} AS x FROM (SELECT addr_id, did, unnest(CASE WHEN len(f) > 0 THEN f ELSE vs END) AS q FROM dv)), w AS (SELECT 1000 + s_suppkey AS wid, 100 + n_nationkey AS did, {duck.trigrams('p_name')} AS y FROM s),
+wv AS (SELECT addr_id, did, unnest(CASE WHEN len(f) > 0 THEN f ELSE vs END) AS q FROM dv), wx AS (SELECT addr_id, did, {duck.trigrams('q')} AS x FROM wv), w AS (SELECT 1000 + s_suppkey AS wid, 100 + n_nationkey AS did, {duck.trigrams('p_name')} AS y FROM s),
 wh AS (SELECT addr_id, did, wid, max({duck.overlap('x', 'y')}) AS sim FROM wx JOIN w USING (did) GROUP BY ALL),
-wk AS (SELECT addr_id, did, wid, {duck.read_back('sim')} AS ws, row_number() OVER (PARTITION BY addr_id, did ORDER BY sim DESC, wid) AS wn FROM wh WHERE sim > CAST(0.08 AS DOUBLE)),
+wa AS (SELECT addr_id, did, wid, {duck.read_back('sim')} AS ws, 0 AS named FROM wh WHERE sim > CAST(0.08 AS DOUBLE) UNION ALL SELECT wv.addr_id, wv.did, wid, weight, 1 FROM wv JOIN al ON alias = q JOIN w ON wid = unit AND w.did = wv.did),
+wb AS (SELECT addr_id, did, wid, max(ws) AS ws, max(named) AS named FROM wa GROUP BY ALL), wk AS (SELECT *, row_number() OVER (PARTITION BY addr_id, did ORDER BY ws DESC, named DESC, wid) AS wn FROM wb),
 c AS (SELECT addr_id, pid, ps, k3.did, ds, wid, ws, 0 AS second, dn, coalesce(wn, 0) AS wn FROM sv JOIN k3 USING (addr_id) LEFT JOIN (SELECT * FROM wk WHERE wn <= 3) wk ON wk.addr_id = k3.addr_id AND wk.did = k3.did
 UNION ALL SELECT addr_id, pid, ps, did, ds, NULL, NULL, 1, 0, 0 FROM sv JOIN k3 USING (addr_id) WHERE dn = 1 UNION ALL SELECT addr_id, pid, ps, NULL, NULL, NULL, NULL, 0, 0, 0 FROM sv WHERE addr_id NOT IN (SELECT addr_id FROM k3)),
 o AS (SELECT *, coalesce(ps * 10, 0) + coalesce(ds * 8 + 6, 0) + coalesce(ws * 6 + 10, 0) AS raw FROM c), o2 AS (SELECT *, {SCORE3.format('raw')} AS score FROM o),
@@ -577,9 +602,9 @@ SELECT addr_id, CAST(rank AS INT) AS rank, CAST(pid AS BIGINT) AS province_id, C
 
 
 def _cascade(spark: SparkSession, sf_dir: str, as_of: date) -> DataFrame:
-    addresses, units = _places(spark, sf_dir)
+    addresses, gaz = _places(spark, sf_dir)
     prepared = cut(plan.prepare(addresses.withColumn("as_of", F.lit(as_of))))
-    rows = plan.ranked(plan.candidates(prepared, plan.Gazetteer(units, _no_aliases(spark))))
+    rows = plan.ranked(plan.candidates(prepared, gaz))
     ids = [F.coalesce(F.col(f"{level}.id"), F.lit(-1)).alias(f"{level}_id") for level in ("province", "district", "ward")]
     return rows.join(prepared.select("addr_id", "house_number"), "addr_id").select("addr_id", "rank", *ids, "score", "house_number")
 
@@ -612,14 +637,14 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     the next supplier, and every eighth another of the source that is asked first.
     Every seventh wants no lookup.
     """
-    addresses, units = _places(spark, sf_dir)
+    addresses, gaz = _places(spark, sf_dir)
     k = F.col("addr_id")
     rows = addresses.withColumn("raw_input", F.concat(F.when(k % 12 == 0, F.lit("Nhà hàng ")).otherwise(F.lit("")), "raw_input"))
     rows = cut(rows.withColumn("as_of_date", F.when(k % 5 == 0, F.lit(dicts.PRE_MERGER_LAST))).withColumn("use_geocoder", k % 7 != 0))
     place = lambda step, each, source: rows.where(k % each == 0).select((k + step).alias("_to"), F.lower(F.trim("raw_input")).alias("query_key"), F.concat(F.lit("place "), k).alias("display_name"), F.lit(source).alias("source"))
     places = place(1, 4, "nominatim").unionByName(place(2, 8, "gemini"))
     poi = places.join(rows.select(k.alias("_to"), F.col("raw_input").alias("address")), "_to").select("query_key", "address", "display_name", "source")
-    return plan.resolve(rows, plan.Gazetteer(units, _no_aliases(spark)), TODAY, poi)
+    return plan.resolve(rows, gaz, TODAY, poi)
 
 
 TWO = "round_even(CAST(CAST({} AS VARCHAR) AS DECIMAL(38, 20)), 2)::DOUBLE"
@@ -648,7 +673,7 @@ def _era_sql(era: str) -> str:
 
 RESOLVED = f"""
 WITH post AS {_era_sql('post_merger')}, pre AS {_era_sql('pre_merger')},
-every AS (SELECT s_suppkey AS addr_id, CASE WHEN s_suppkey % 12 = 0 THEN 'Nhà hàng ' ELSE '' END || 'so ' || (s_suppkey % 300 + 1000) || ' ' || substring(p_name, 1, 1) || substring(p_name, 3) || ' ' || replace(n_name, '_', ' ') || ', ' || r_name AS raw
+every AS (SELECT s_suppkey AS addr_id, CASE WHEN s_suppkey % 12 = 0 THEN 'Nhà hàng ' ELSE '' END || 'so ' || (s_suppkey % 300 + 1000) || ' ' || {SPELT[0]} || ' ' || {SPELT[1]} || ', ' || {SPELT[2]} AS raw
 FROM supplier JOIN part ON p_partkey = s_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
 era AS (SELECT every.addr_id, raw, {{normal}} AS normalized, post, pre FROM every LEFT JOIN post ON post.addr_id = every.addr_id LEFT JOIN pre ON pre.addr_id = every.addr_id),
 none AS (SELECT *, CASE WHEN round(coalesce(pre.confidence, 0) - 0.05, 6) > round(coalesce(post.confidence, 0), 6) THEN pre ELSE post END AS either, CASE WHEN round(coalesce(pre.confidence, 0) - 0.05, 6) > round(coalesce(post.confidence, 0), 6) THEN 'pre_merger' ELSE 'post_merger' END AS best FROM era),
@@ -941,5 +966,5 @@ def labels_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def candidate_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates of each supplier's address as a graph."""
-    addresses, units = _places(spark, sf_dir)
-    return extensions.candidate_graph(plan.resolve_at(addresses.withColumn("as_of", F.lit(TODAY)), plan.Gazetteer(units, _no_aliases(spark))))
+    addresses, gaz = _places(spark, sf_dir)
+    return extensions.candidate_graph(plan.resolve_at(addresses.withColumn("as_of", F.lit(TODAY)), gaz))
