@@ -6,20 +6,16 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the checkpoint folder.
-
-    That is the one in ``spark.checkpoint.dir``; only in local mode, where it is
-    unset, is a temporary one made. A lost executor costs no more than the stage at hand.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only in local mode, where it is unset, is a temporary one made."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
             if context.master.partition("[")[0] != "local":
                 raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
@@ -27,4 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
             _OWN.append(named)
             atexit.register(shutil.rmtree, named, True)
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder. A lost executor costs no more than the stage at hand."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import dicts, phonetic, scoring, text
-from addrloom.operators import extensions, match, simjoin, tables, vectors
-from addrloom.operators.stages import cut
-from addrloom.plans import duck
+from addrloom.operators import ann, extensions, geo, match, simjoin, tables, vectors
+from addrloom.operators.stages import cut, shared_folder
+from addrloom.plans import cache, duck
 from addrloom.plans import resolve as plan
 from addrloom.sources import gazetteer, sample, schemas
 
@@ -494,6 +495,22 @@ def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "rank", "vec_id", F.round("c", 4).alias("cosine"))
 
 
+@query()
+def vector_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries by the approximate index, which all vectors enter; a test holds its share of ``vector_knn``'s rows at 0.95 or more.
+
+    As many lists as the square root of the vectors, at most 4,096; three of four are
+    probed, as the vectors lie in no clusters, and of what they hold eighty are ranked again.
+    """
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    lists = min(4096, max(1, round(rows.count() ** 0.5)))
+    if (model := ann.fit(rows, lists, 16)) is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, cosine double")
+    blocks = cut(ann.index(rows, model))
+    asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return ann.search(asked, rows, blocks, model, 5, -(-lists * 3 // 4), 80)
+
+
 @query(
     "WITH s AS (SELECT c_name AS query, CAST(c_nationkey AS BIGINT) AS parent, s_name AS ascii_name, CAST(levenshtein(c_name, s_name) AS INT) AS distance FROM customer JOIN supplier ON s_nationkey = c_nationkey) "
     "SELECT query, parent, ascii_name, distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, parent ORDER BY distance, ascii_name) AS rank FROM s) WHERE rank <= 3"
@@ -630,7 +647,7 @@ def resolve_rows(spark: SparkSession) -> DataFrame:
     return plan.resolve(sample.addresses(spark), gaz, TODAY, spark.createDataFrame(POI_ROWS, schemas.POI))
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, plan.Gazetteer, DataFrame]:
     """An address for each supplier, in either era or on a given day, with a table of places for some.
 
     Every twelfth names a place. Every fourth has a place on file, at the address of
@@ -644,6 +661,11 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda step, each, source: rows.where(k % each == 0).select((k + step).alias("_to"), F.lower(F.trim("raw_input")).alias("query_key"), F.concat(F.lit("place "), k).alias("display_name"), F.lit(source).alias("source"))
     places = place(1, 4, "nominatim").unionByName(place(2, 8, "gemini"))
     poi = places.join(rows.select(k.alias("_to"), F.col("raw_input").alias("address")), "_to").select("query_key", "address", "display_name", "source")
+    return rows, gaz, poi
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, gaz, poi = _asked(spark, sf_dir)
     return plan.resolve(rows, gaz, TODAY, poi)
 
 
@@ -717,6 +739,16 @@ def resolve_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(RESOLVED + "SELECT addr_id, era, as_of_date, confidence, action, score, province, district, ward, geocoder_used FROM resolved")
+def resolve_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a new cache of replies: one run fills it, and another, which resolves nothing, reads it."""
+    rows, gaz, poi = _asked(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"
+    cache.resolve(rows, gaz, TODAY, folder, poi)
+    levels = [F.col(f"top.{level}.full_name").alias(level) for level in ("province", "district", "ward")]
+    return cache.resolve(rows, gaz, TODAY, folder, poi).select("addr_id", "era", "as_of_date", "confidence", "action", F.col("top.score").alias("score"), *levels, "geocoder_used")
+
+
 @query()
 def resolve_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample addresses with accents, shorthand and missing parts, as replies in JSON; tests hold their results."""
@@ -749,6 +781,21 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(other, "g").select(F.col("n_nationkey").alias("a"), "b", F.round(extensions.distance_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 3).alias("km"))
 
 
+LATITUDE, LONGITUDE = "CAST(({0} * 7919 % 1800 - 900) / 10.0 AS DOUBLE)", "CAST(({0} * 104729 % 3600 - 1800) / 10.0 AS DOUBLE)"
+
+
+@query(
+    f"WITH c AS (SELECT c_custkey AS place_id, {LATITUDE.format('c_custkey')} AS lat, {LONGITUDE.format('c_custkey')} AS lon FROM customer), s AS (SELECT s_suppkey AS unit_id, {LATITUDE.format('(s_suppkey * 3 + 1)')} AS lat2, {LONGITUDE.format('(s_suppkey * 3 + 1)')} AS lon2 FROM supplier), "
+    "d AS (SELECT place_id, unit_id, round(2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin((radians(lat2) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2), 1))), 6) AS km FROM c, s) "
+    "SELECT place_id, unit_id, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY km, unit_id) AS n FROM d) WHERE n = 1"
+)
+def nearest_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier nearest to each customer on the globe, at places made of their keys, by joins over cells."""
+    c = _t(spark, sf_dir, "customer").selectExpr("c_custkey place_id", f"{LATITUDE.format('c_custkey')} lat", f"{LONGITUDE.format('c_custkey')} lon")
+    s = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey unit_id", f"{LATITUDE.format('(s_suppkey * 3 + 1)')} lat", f"{LONGITUDE.format('(s_suppkey * 3 + 1)')} lon")
+    return geo.nearest(c, s).select("place_id", "unit_id", F.round("km", 3).alias("km"))
+
+
 @query(
     "WITH r AS (SELECT c_custkey, c_nationkey AS d, CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_custkey END AS w, CASE WHEN c_custkey % 3 = 0 THEN 'review' ELSE 'auto_accept' END AS action FROM customer) "
     "SELECT count(*) AS n, avg((c_custkey % 7 <> 0)::INT) AS exact, avg((c_custkey % 7 <> 0)::INT) AS ward, avg((c_custkey % 7 = 0)::INT) FILTER (action <> 'auto_accept') AS uncertainty_precision, avg((c_custkey % 7 = 0)::INT) AS hallucination FROM r"
