@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import dicts, scoring, text
@@ -18,15 +18,19 @@ from addrloom.sources import landing as landed
 
 @dataclass(frozen=True)
 class Gazetteer:
-    """Units with ids, the aliases for them, and their trigram index, which is made once if it is not given."""
+    """Units with ids, the aliases for them, and their trigram index, which is made once if it is not given.
+
+    ``counts`` are rows that a build met, by step, if it was built here.
+    """
 
     units: DataFrame
     aliases: DataFrame
     index: DataFrame | None = None
+    counts: dict[str, int] | None = None
 
 
 def indexed(gaz: Gazetteer) -> Gazetteer:
-    return gaz if gaz.index is not None else Gazetteer(gaz.units, gaz.aliases, cut(match.index_units(gaz.units)))
+    return gaz if gaz.index is not None else Gazetteer(gaz.units, gaz.aliases, cut(match.index_units(gaz.units)), gaz.counts)
 
 
 def build(spark: SparkSession, nested: str, objects: str, aliases_before_merger: bool = False) -> Gazetteer:
@@ -39,10 +43,13 @@ def build(spark: SparkSession, nested: str, objects: str, aliases_before_merger:
 
 
 def from_units(old: DataFrame, new: DataFrame, aliases_before_merger: bool = False) -> Gazetteer:
-    """The same from the scanned units of either era."""
-    old, new = gazetteer.with_ids(old), gazetteer.with_ids(new)
-    units = cut(tables.close_out(tables.upsert(old, new)))
-    return indexed(Gazetteer(units, cut(gazetteer.seed_aliases(units.where("era = 'pre_merger'") if aliases_before_merger else units))))
+    """The same from the scanned units of either era, each read once; rows are counted as they pass."""
+    seen = {name: Observation() for name in ("old", "new", "units", "aliases")}
+    passed = lambda df, name: cut(df.observe(seen[name], F.count(F.lit(1)).alias("n")))
+    old, new = gazetteer.with_ids(passed(old, "old")), gazetteer.with_ids(passed(new, "new"))
+    units = passed(tables.close_out(tables.upsert(old, new)), "units")
+    aliases = passed(gazetteer.seed_aliases(units.where("era = 'pre_merger'") if aliases_before_merger else units), "aliases")
+    return indexed(Gazetteer(units, aliases, counts={name: o.get["n"] for name, o in seen.items()}))
 
 
 def save(gaz: Gazetteer, folder: str) -> None:

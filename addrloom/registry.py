@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import dicts, phonetic, scoring, text
-from addrloom.operators import ann, extensions, geo, match, simjoin, tables, vectors
+from addrloom.operators import ann, calibration, extensions, geo, match, simjoin, tables, vectors
 from addrloom.operators.stages import cut, shared_folder
 from addrloom.plans import cache, duck
 from addrloom.plans import resolve as plan
@@ -1001,6 +1001,19 @@ def string_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(c.join(s, "c_nationkey"), "c_custkey").select("c_custkey", "s_suppkey", vectors.damerau(a, b).alias("damerau"), F.round(vectors.jaro_winkler(a, b), 9).alias("jaro_winkler"), F.round(vectors.trigram_cosine(a, b), 9).alias("cosine"))
 
 
+@query(
+    CONF + ", m AS (SELECT confidence, (o_orderkey % 97 < floor(confidence * 90))::INT AS ok FROM c WHERE confidence IS NOT NULL), b AS (SELECT CAST(greatest(0, least(floor(confidence * 50), 49)) AS INT) AS bin, count(*) AS n, CAST(sum(ok) AS BIGINT) AS right_, avg(confidence::DOUBLE) AS score FROM m GROUP BY 1), "
+    "s AS (SELECT i.bin AS lo, j.bin AS hi, sum(k.right_) / sum(k.n) AS rate FROM b i JOIN b j ON i.bin <= j.bin JOIN b k ON k.bin BETWEEN i.bin AND j.bin GROUP BY ALL), "
+    "f AS (SELECT bin, max(low) AS fitted FROM (SELECT b.bin, lo, min(rate) AS low FROM b JOIN s ON b.bin BETWEEN lo AND hi GROUP BY ALL) GROUP BY bin) "
+    'SELECT bin, n, right_ AS "right", round(score, 6) AS score, round(fitted, 9) AS fitted FROM b JOIN f USING (bin)'
+)
+def isotonic_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The increasing fit of being right by confidence, over all orders."""
+    k = F.col("o_orderkey")
+    rows = _confidence(spark, sf_dir).select("confidence", (k % 97 < F.floor(F.col("confidence") * 90)).alias("correct"))
+    return calibration.isotonic(calibration.binned(rows, bins=50)).select("bin", "n", "right", F.round("score", 6).alias("score"), F.round("fitted", 9).alias("fitted"))
+
+
 @query(CONF + "SELECT o_orderkey AS addr_id, confidence, CAST(round(abs(confidence - 0.6), 6) AS DOUBLE) AS distance FROM c ORDER BY distance, addr_id LIMIT 50")
 def labels_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty orders whose confidence lies nearest to the edge of review."""

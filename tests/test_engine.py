@@ -155,6 +155,7 @@ def test_refresh_checks_and_saves(spark, tmp_path):
     assert not (tmp_path / "bad").exists()
     gaz, checks = plan.refresh(spark, str(tmp_path / "landing"), str(tmp_path / "out"), strict=False)
     assert checks.count() == 5
+    assert gaz.counts == {"old": 27, "new": 11, "units": 38, "aliases": gaz.aliases.count()}
     again = plan.load(spark, str(tmp_path / "out"))
     assert again.units.count() == gaz.units.count() and again.index.count() == gaz.index.count()
     assert plan.search(spark, "ha noi", again, TODAY).first()["full_name"] == "Thành phố Hà Nội"
