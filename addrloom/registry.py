@@ -1002,10 +1002,10 @@ def string_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    CONF + ", m AS (SELECT confidence, (o_orderkey % 97 < floor(confidence * 90))::INT AS ok FROM c WHERE confidence IS NOT NULL), b AS (SELECT CAST(greatest(0, least(floor(confidence * 50), 49)) AS INT) AS bin, count(*) AS n, CAST(sum(ok) AS BIGINT) AS right_, avg(confidence::DOUBLE) AS score FROM m GROUP BY 1), "
-    "s AS (SELECT i.bin AS lo, j.bin AS hi, sum(k.right_) / sum(k.n) AS rate FROM b i JOIN b j ON i.bin <= j.bin JOIN b k ON k.bin BETWEEN i.bin AND j.bin GROUP BY ALL), "
-    "f AS (SELECT bin, max(low) AS fitted FROM (SELECT b.bin, lo, min(rate) AS low FROM b JOIN s ON b.bin BETWEEN lo AND hi GROUP BY ALL) GROUP BY bin) "
-    'SELECT bin, n, right_ AS "right", round(score, 6) AS score, round(fitted, 9) AS fitted FROM b JOIN f USING (bin)'
+    CONF + ", marks AS (SELECT confidence, (o_orderkey % 97 < floor(confidence * 90))::INT AS ok FROM c WHERE confidence IS NOT NULL), bins AS (SELECT CAST(greatest(0, least(floor(confidence * 50), 49)) AS INT) AS bin, count(*) AS n, CAST(sum(ok) AS BIGINT) AS right_, avg(confidence::DOUBLE) AS score FROM marks GROUP BY 1), "
+    "spans AS (SELECT i.bin AS lo, j.bin AS hi, sum(k.right_) / sum(k.n) AS rate FROM bins i JOIN bins j ON i.bin <= j.bin JOIN bins k ON k.bin BETWEEN i.bin AND j.bin GROUP BY ALL), "
+    "fits AS (SELECT bin, max(low) AS fitted FROM (SELECT bins.bin, lo, min(rate) AS low FROM bins JOIN spans ON bins.bin BETWEEN lo AND hi GROUP BY ALL) GROUP BY bin) "
+    'SELECT bin, n, right_ AS "right", round(score, 6) AS score, round(fitted, 9) AS fitted FROM bins JOIN fits USING (bin)'
 )
 def isotonic_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The increasing fit of being right by confidence, over all orders."""
