@@ -355,6 +355,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets have a similarity of 0.8 or more."""
     a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
+    # Later rounds ask for few sets: only those move, and where they are many the join reuses this one's partitions.
+    b = b.join(pairs.select("b").distinct(), "b", "left_semi")
     both = F.size(F.array_intersect("_a", "_b"))
     return store.keep(pairs.join(a, "a").join(b, "b").where(5 * both >= 4 * (F.size("_a") + F.size("_b") - both)).select("a", "b"), "alike")
 
