@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrloom.functions import dicts, text
+from addrloom.functions import dicts
 from addrloom.operators import match
 from addrloom.operators.stages import cut
 from addrloom.plans import resolve as plan
@@ -48,13 +48,13 @@ def version(gaz: plan.Gazetteer, poi: DataFrame | None = None, compat: bool = Tr
 
 
 def keyed(addresses: DataFrame, today: date, places: bool = False, compat: bool = True) -> DataFrame:
-    """Addresses (addr_id, raw_input, as_of_date, use_geocoder) with ``key`` and ``variants``, all of them at every level."""
+    """Addresses (addr_id, raw_input, as_of_date, use_geocoder, is_place, place_key) with ``key`` and ``variants``, all of them at every level."""
     day = F.coalesce("as_of_date", F.lit(today).cast("date"))
-    rows = plan.prepare(addresses.select("addr_id", "raw_input", "as_of_date", F.coalesce("use_geocoder", F.lit(True)).alias("use_geocoder")).withColumn("as_of", day), compat)
-    looked_up = F.lower(F.trim("raw_input")) if places else F.lit(None).cast("string")
-    read = F.struct("normalized", "anchor_variants", text.is_place_name(F.col("raw_input")).alias("named"), F.col("as_of_date").isNull().alias("either"), "as_of", "use_geocoder", looked_up.alias("looked_up"))
+    rows = plan.prepare(addresses.select("addr_id", "raw_input", "as_of_date", F.coalesce("use_geocoder", F.lit(True)).alias("use_geocoder"), plan.names_place(addresses).alias("is_place"), plan.place_key(addresses).alias("place_key")).withColumn("as_of", day), compat)
+    looked_up = F.col("place_key") if places else F.lit(None).cast("string")
+    read = F.struct("normalized", "anchor_variants", F.col("is_place").alias("named"), F.col("as_of_date").isNull().alias("either"), "as_of", "use_geocoder", looked_up.alias("looked_up"))
     every = F.array_distinct(F.transform(F.concat("variants", F.coalesce("anchor_variants", F.array().cast("array<string>"))), lambda v: F.lower(F.trim(v))))
-    return rows.select("addr_id", "raw_input", "as_of_date", "use_geocoder", F.sha2(F.to_json(read, {"ignoreNullFields": "false"}), 256).alias("key"), F.coalesce(every, F.array().cast("array<string>")).alias("variants"))
+    return rows.select("addr_id", "raw_input", "as_of_date", "use_geocoder", "is_place", "place_key", F.sha2(F.to_json(read, {"ignoreNullFields": "false"}), 256).alias("key"), F.coalesce(every, F.array().cast("array<string>")).alias("variants"))
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -77,12 +77,12 @@ def resolve(addresses: DataFrame, gaz: plan.Gazetteer, today: date, folder: str,
     spark, gaz = addresses.sparkSession, plan.indexed(gaz)
     where = f"{folder}/{version(gaz, poi, compat)}"
     rows = cut(keyed(addresses, today, poi is not None, compat))
-    new = rows.groupBy("key").agg(F.min(F.struct("addr_id", "raw_input", "as_of_date", "use_geocoder", "variants")).alias("one"))
+    new = rows.groupBy("key").agg(F.min(F.struct("addr_id", "raw_input", "as_of_date", "use_geocoder", "is_place", "place_key", "variants")).alias("one"))
     if (known := entries(spark, where)) is not None:
         new = new.join(known.select("key"), "key", "left_anti")
     new = cut(new)
     if known is None or not new.isEmpty():
-        found = plan.resolve(new.select("one.addr_id", "one.raw_input", "one.as_of_date", "one.use_geocoder"), gaz, today, poi, compat)
+        found = plan.resolve(new.select("one.addr_id", "one.raw_input", "one.as_of_date", "one.use_geocoder", "one.is_place", "one.place_key"), gaz, today, poi, compat)
         reply = F.struct(*[c for c in found.columns if c not in ("addr_id", "raw_input")]).alias("reply")
         made = new.select("key", F.col("one.addr_id").alias("addr_id"), F.col("one.variants").alias("variants")).join(found, "addr_id").select("key", "variants", reply)
         made.write.mode("append").parquet(where)

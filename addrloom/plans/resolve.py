@@ -194,13 +194,27 @@ def best_poi(poi: DataFrame) -> DataFrame:
     return poi.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_key", "address", "display_name", "source")
 
 
+def names_place(addresses: DataFrame) -> Column:
+    """Whether an address names a place: by its column ``is_place``, where there is one and it is known, else by the text."""
+    told = text.is_place_name(F.col("raw_input"))
+    return F.coalesce("is_place", told) if "is_place" in addresses.columns else told
+
+
+def place_key(addresses: DataFrame) -> Column:
+    """The key under which an address is looked up: its column ``place_key``, where there is one and it is known, else the text."""
+    key = F.lower(F.trim("raw_input"))
+    return F.coalesce("place_key", key) if "place_key" in addresses.columns else key
+
+
 def resolve(addresses: DataFrame, gaz: Gazetteer, today: date, poi: DataFrame | None = None, compat: bool = True) -> DataFrame:
     """One row for each address (addr_id, raw_input, as_of_date, use_geocoder); addr_id is its key.
 
     Places by name and results below a confidence are looked up in ``poi``, a table
     (query_key, address, display_name, source) in place of a geocoder. The place's
     address is resolved too, and wins if it is clearly better or the text names a
-    place. Without a table nothing is looked up.
+    place. Without a table nothing is looked up. Addresses may say themselves whether
+    they name a place (``is_place``), and under which key one is on file (``place_key``):
+    two customers may write the same text and mean different places.
     """
     gaz = indexed(gaz)
     first = cut(best_era(addresses, gaz, today, compat))
@@ -208,11 +222,11 @@ def resolve(addresses: DataFrame, gaz: Gazetteer, today: date, poi: DataFrame |
     echo = addresses.select("addr_id", F.date_format(F.coalesce("as_of_date", F.lit(today).cast("date")), "yyyy-MM-dd").alias("as_of_date"))
     if poi is None:
         return first.drop("as_of").select("*", F.lit(False).alias("geocoder_used"), *empty).join(echo, "addr_id")
-    flags = addresses.select("addr_id", "as_of_date", F.coalesce("use_geocoder", F.lit(True)).alias("_use"), text.is_place_name(F.col("raw_input")).alias("_named"))
+    flags = addresses.select("addr_id", "as_of_date", F.coalesce("use_geocoder", F.lit(True)).alias("_use"), names_place(addresses).alias("_named"), place_key(addresses).alias("_key"))
     rows = first.drop("as_of").join(flags, "addr_id")
     ask = F.col("_use") & (F.col("_named") | (F.col("confidence") < dicts.GEOCODER_BELOW))
     places = best_poi(poi).withColumnRenamed("address", "_address")
-    asked = rows.where(ask).select("addr_id", "as_of_date", F.lower(F.trim("raw_input")).alias("query_key")).join(places, "query_key")
+    asked = rows.where(ask).select("addr_id", "as_of_date", F.col("_key").alias("query_key")).join(places, "query_key")
     second = best_era(asked.select("addr_id", F.col("_address").alias("raw_input"), "as_of_date"), gaz, today, compat).drop("as_of")
     again = second.select("addr_id", F.struct(*[c for c in second.columns if c != "addr_id"]).alias("_new")).join(asked.select("addr_id", F.col("source").alias("_source"), F.col("display_name").alias("_shown")), "addr_id")
     both = rows.join(again, "addr_id", "left")
