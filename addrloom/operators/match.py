@@ -5,13 +5,17 @@ Many addresses ask for the same variant below the same parent, so each distinct
 units on (parent, trigram), those not valid on the day drop out, and shared
 trigrams are counted. Similarities of pairs without a shared trigram are 0, below
 every threshold in use. Addresses then look their variants' hits up.
+
+Many units may have one name too. Those with the same name, level, parent and validity
+are alike for every variant, so the first of them (by id) stands for all in an index,
+and of the best names for a variant the first few units are read again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import phonetic, text
@@ -36,6 +40,26 @@ def index_units(units: DataFrame, below_root: bool = False) -> DataFrame:
     return rows.select("level", "parent", F.explode("t").alias("g"), "unit_id", "n", "valid_from", "valid_to")
 
 
+def _name_key(units: DataFrame, below_root: bool) -> list[Column]:
+    parent = F.lit(ROOT).cast("bigint") if below_root else F.coalesce("parent_id", F.lit(ROOT))
+    return [F.col("unit_type"), parent, F.col("ascii_name"), F.col("valid_from"), F.col("valid_to")]
+
+
+def first_units(units: DataFrame, below_root: bool = False) -> DataFrame:
+    """Of the units that have one name, level, parent and validity the one with the smallest id, with the columns that an index reads."""
+    key = _name_key(units, below_root)
+    names = ["unit_type", "_parent", "ascii_name", "valid_from", "valid_to"]
+    rows = units.where(F.col("ascii_name").isNotNull()).select("id", *[c.alias(n) for c, n in zip(key, names)])
+    return rows.groupBy(*names).agg(F.min("id").alias("id")).withColumn("parent_id", F.nullif("_parent", F.lit(ROOT).cast("bigint"))).drop("_parent")
+
+
+def namesakes(units: DataFrame, top: int, below_root: bool = False) -> DataFrame:
+    """(first, unit_id): the first unit of each name with the ``top`` first ones, itself included."""
+    order = Window.partitionBy(*_name_key(units, below_root)).orderBy("id")
+    few = units.where(F.col("ascii_name").isNotNull()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top)
+    return few.select(F.min("id").over(order).alias("first"), F.col("id").alias("unit_id"))
+
+
 def scored(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """(level, parent, variant, as_of, unit_id, sim float) for (level, parent, variant, as_of, threshold) rows.
 
@@ -86,7 +110,8 @@ FEW_UNITS = 2_000
 
 
 def search_index(units: DataFrame) -> DataFrame | PrefixIndex:
-    """An index of all ``units`` below ROOT; either kind gives the same hits."""
+    """An index of all ``units`` below ROOT, by the first of each name; either kind gives the same hits."""
+    units = cut(first_units(units, below_root=True))
     return index_units(units, below_root=True) if units.limit(FEW_UNITS + 1).count() <= FEW_UNITS else prefix_index(units, below_root=True)
 
 
@@ -129,17 +154,29 @@ def sounding(variants: DataFrame, sounds: DataFrame) -> DataFrame:
     return met.groupBy("request", "as_of", "unit_id").agg(F.max(score).alias("score"))
 
 
-def similar_broadcast(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """The same by comparing each variant with all units below its parent; for few units to a parent."""
+def similar_broadcast(pairs: DataFrame, units: DataFrame, top: int | None = None) -> DataFrame:
+    """The same by comparing each variant with all names below its parent; for few names to a parent.
+
+    With ``top`` a variant keeps its best names alone, and of each name the first units:
+    the ``top`` best by similarity and id are among them.
+    """
     t = text.trigrams(F.col("variant"))
     distinct = pairs.select("level", "parent", "variant").distinct().withColumn("t", t)
-    u = text.trigrams(F.col("ascii_name"))
-    below = units.select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), F.explode(F.array_distinct(F.array(F.coalesce("parent_id", F.lit(ROOT)), F.lit(ROOT)))).alias("parent"), u.alias("u"))
+    below = units.where(F.col("ascii_name").isNotNull()).select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), F.explode(F.array_distinct(F.array(F.coalesce("parent_id", F.lit(ROOT)), F.lit(ROOT)))).alias("parent"), "ascii_name")
+    names = below.groupBy("level", "parent", "ascii_name").agg(F.min("unit_id").alias("first")).withColumn("u", text.trigrams(F.col("ascii_name")))
     shared = F.size(F.array_intersect("t", "u"))
-    return distinct.join(below, ["level", "parent"]).where(shared > 0).select("level", "parent", "variant", "unit_id", text.overlap(shared, F.size("t"), F.size("u")).alias("sim"))
+    hits = distinct.join(names, ["level", "parent"]).withColumn("shared", shared).where("shared > 0").select("level", "parent", "variant", "ascii_name", "first", text.overlap(F.col("shared"), F.size("t"), F.size("u")).alias("sim"))
+    if top is not None:
+        hits = _first(hits, ["level", "parent", "variant"], [F.desc("sim"), F.col("first")], top)
+        below = _first(below, ["level", "parent", "ascii_name"], [F.col("unit_id")], top)
+    return hits.join(below, ["level", "parent", "ascii_name"]).select("level", "parent", "variant", "unit_id", "sim")
+
+
+def _first(rows: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | None = None, sounds: DataFrame | None = None) -> DataFrame:
+def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | None = None, sounds: DataFrame | None = None, below_root: bool = False) -> DataFrame:
     """(request, rank, unit, score) for requests (request, level, parent, as_of, threshold, variants).
 
     A unit's score is its best similarity above the threshold over the variants,
@@ -154,9 +191,19 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     variants = requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant"))
     unit = F.struct(*UNIT_FIELDS)
     known = units.select(F.col("id").alias("unit_id"), unit.alias("unit"), "valid_from", "valid_to")
-    hits = scored_best(variants, index, top) if isinstance(index, PrefixIndex) else scored(variants, index_units(units) if index is None else index)
-    fuzzy = variants.join(hits, ["level", "parent", "variant", "as_of"]).where(F.col("sim") > F.col("threshold")).select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias"))
+    if index is None:
+        index = index_units(first_units(units, below_root), below_root)
+    hits = scored_best(variants, index, top) if isinstance(index, PrefixIndex) else scored(variants, index)
+    # Each name has at least one unit, so the best units of a variant have its best names, by the first unit's id.
+    hits = _first(hits, ["level", "parent", "variant", "as_of"], [F.desc("sim"), F.col("unit_id")], top).withColumnRenamed("unit_id", "first")
+    found = variants.join(hits, ["level", "parent", "variant", "as_of"]).where(F.col("sim") > F.col("threshold")).groupBy("request", "as_of", "first").agg(F.max("sim").alias("sim"))
+    fuzzy = found.join(namesakes(units, top, below_root), "first").select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias"))
     exact = named(variants, units, aliases).withColumn("by_alias", F.lit(1))
+    # A unit with an alias goes first among equals, so its similarity counts wherever it stands among its namesakes.
+    level, parent, name, _, _ = _name_key(units, below_root)
+    spelt = exact.select("request", "as_of", "unit_id").distinct().join(units.where(name.isNotNull()).select(F.col("id").alias("unit_id"), level.alias("level"), parent.alias("parent"), "ascii_name"), "unit_id")
+    spelt = spelt.join(variants, ["request", "as_of", "level", "parent"]).withColumn("sim", text.similarity(F.col("variant"), F.col("ascii_name"))).where(F.col("sim") > F.col("threshold"))
+    fuzzy = fuzzy.unionByName(spelt.select("request", "as_of", "unit_id", text.read_back(F.col("sim")).alias("score"), F.lit(0).alias("by_alias")))
     if sounds is not None:
         fuzzy = fuzzy.unionByName(sounding(variants, sounds).withColumn("by_alias", F.lit(0)))
     hits = fuzzy.unionByName(exact).groupBy("request", "as_of", "unit_id").agg(F.max("score").alias("score"), F.max("by_alias").alias("by_alias"))

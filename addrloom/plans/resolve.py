@@ -30,7 +30,7 @@ class Gazetteer:
 
 
 def indexed(gaz: Gazetteer) -> Gazetteer:
-    return gaz if gaz.index is not None else Gazetteer(gaz.units, gaz.aliases, cut(match.index_units(gaz.units)), gaz.counts)
+    return gaz if gaz.index is not None else Gazetteer(gaz.units, gaz.aliases, cut(match.index_units(match.first_units(gaz.units))), gaz.counts)
 
 
 def build(spark: SparkSession, nested: str, objects: str, aliases_before_merger: bool = False) -> Gazetteer:
@@ -270,7 +270,7 @@ def search_many(asked: DataFrame, gaz: Gazetteer, unit_type: str, limit: int, by
     rows = asked.select(F.col("query_id").alias("request"), "as_of", F.array(text.to_ascii(F.col("q"))).alias("variants"))
     units = gaz.units.where(F.col("unit_type") == unit_type)
     sounds = match.index_sounds(units, below_root=True) if by_sound else None
-    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit, match.search_index(units), sounds)
+    hits = match.best_match(_requests(rows, unit_type, F.lit(None).cast("bigint"), "variants", dicts.SEARCH_THRESHOLD), gaz.units, gaz.aliases, limit, match.search_index(units), sounds, below_root=True)
     return hits.select(F.col("request").alias("query_id"), "rank", *[F.col(f"unit.{c}").alias(c) for c in ("id", "gso_code", "full_name", "name", "unit_type", "ascii_name")], F.bround("score", 4).alias("score"))
 
 
