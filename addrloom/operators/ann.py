@@ -33,6 +33,8 @@ CODES = 256
 #: Vectors and queries of a block, so that an Arrow batch of pairs of blocks stays small.
 BLOCK, ASKED = 1024, 32
 ROUNDS = 12
+#: Queries whose best a task holds at once: some 16 MB at eighty candidates each.
+HELD = 8192
 
 
 @dataclass(frozen=True)
@@ -60,6 +62,8 @@ def _rows(column: pa.Array) -> np.ndarray:
 def _nearest(a: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
     """The ``n`` nearest centres of each row, the nearest first."""
     d = (centres**2).sum(1) - 2 * a @ centres.T
+    if n == 1:
+        return d.argmin(1)[:, None]
     return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
@@ -156,6 +160,14 @@ def search(asked: DataFrame, rows: DataFrame, blocks: DataFrame, model: Model, k
             yield pa.RecordBatch.from_arrays([pa.array(to.ravel().astype(np.int32)), pa.array(ids), pa.array([p for p in packed for _ in range(probes)])], ["list", "id", "payload"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The best of each query over the pairs of blocks that a task has met, so that a pair does not put out its own.
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> pa.RecordBatch:
+            n = [len(v) for v, _ in best.values()]
+            ids, near = (np.concatenate([x[i] for x in best.values()]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(list(best), n)), pa.array(ids), pa.array(near)], ["query_id", "vec_id", "near"])
+
         for batch in batches:
             for at, qi, qs, di, ds in zip(*[c.to_pylist() for c in batch.columns]):
                 q, c = np.frombuffer(qs, np.float32).reshape(-1, size), np.frombuffer(ds, np.uint8).reshape(-1, parts)
@@ -165,11 +177,18 @@ def search(asked: DataFrame, rows: DataFrame, blocks: DataFrame, model: Model, k
                 for p in range(parts):
                     near += (split[:, p] @ model.words[p].T)[:, c[:, p]]
                 near[qi[:, None] == di[None]] = -np.inf
-                n = min(again, len(c))
-                best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                value = np.take_along_axis(near, best, 1).ravel()
-                whole = value > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)[whole]), pa.array(di[best].ravel()[whole]), pa.array(value[whole])], ["query_id", "vec_id", "near"])
+                for i, row in zip(qi.tolist(), near):
+                    ids, values = best.get(i, (di[:0], row[:0]))
+                    ids, values = np.concatenate([ids, di[row > -np.inf]]), np.concatenate([values, row[row > -np.inf]])
+                    if len(ids) > again:
+                        order = np.argpartition(-values, again - 1)[:again]
+                        ids, values = ids[order], values[order]
+                    best[i] = ids, values
+                if len(best) > HELD:
+                    yield out()
+                    best.clear()
+        if best:
+            yield out()
 
     own = asked.where(usable(F.col("embedding"), size)).select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>"))
     sent = _gathered(own.mapInArrow(aim, "list int, id long, payload binary"), "list", ASKED).select("list", F.col("ids").alias("qids"), F.col("payloads").alias("queries"))
