@@ -89,7 +89,9 @@ def nearest(places: DataFrame, units: DataFrame) -> DataFrame:
     thousands of kilometres with distinct positions of units; where units lie around
     the places, as in a gazetteer, there are none.
     """
-    left = cut(places.where(valid(F.col("lat"), F.col("lon"))).select("place_id", "lat", "lon"))
+    every = cut(places.where(valid(F.col("lat"), F.col("lon"))).select("place_id", "lat", "lon"))
+    # Places at one position are looked for once, by the smallest id.
+    sites = left = cut(every.groupBy("lat", "lon").agg(F.min("place_id").alias("place_id")))
     # Units at one position are one: the smallest id.
     spots = cut(units.where(valid(F.col("lat"), F.col("lon"))).groupBy("lat", "lon").agg(F.min("unit_id").alias("unit_id")).withColumnsRenamed({"lat": "_lat", "lon": "_lon"}))
     km = F.round(distance_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), 6)
@@ -110,5 +112,5 @@ def nearest(places: DataFrame, units: DataFrame) -> DataFrame:
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
-    return out
+    return every.join(out.join(sites, "place_id").drop("place_id"), ["lat", "lon"]).select("place_id", "unit_id", "km")
 

@@ -47,3 +47,13 @@ def test_codes_are_nested(spark):
     for row in rows.select(*[geo.cell_code(F.col("lat"), F.col("lon"), k).alias(f"c{k}") for k in (1, 6, 15)]).collect():
         assert row["c15"] is None or (row["c15"].startswith(row["c6"]) and row["c6"].startswith(row["c1"]) and len(row["c15"]) == 15)
     assert [r[0] for r in rows.select(geo.cell_code(F.col("lat"), F.col("lon"), 2)).collect()] == ["31", "00", "22", None]
+
+
+def test_places_at_one_position_are_looked_for_once(spark, monkeypatch):
+    """Fifty places at each of four positions meet the units around as four do."""
+    seen, around = [], geo._around
+    monkeypatch.setattr(geo, "_around", lambda rows, level: seen.append(rows.count()) or around(rows, level))
+    places = spark.createDataFrame([(i, float(i % 4), 10.0) for i in range(200)], "place_id int, " + SCHEMA)
+    units = spark.createDataFrame([(i, float(i), 10.1) for i in range(4)], "unit_id int, " + SCHEMA)
+    got = geo.nearest(places, units).collect()
+    assert sorted((r["place_id"], r["unit_id"]) for r in got) == [(i, i % 4) for i in range(200)] and max(seen) == 4
