@@ -15,7 +15,9 @@ stay few over many texts. At a similarity of 0.81, 99 of 100 pairs meet or more
 Texts that meet are verified: first by size and by the bits of an unweighted
 fingerprint, which rule out what is far off, then over whole sets. Where so many
 meet that their pairs would outgrow them, all are compared with the most central
-one, and only pairs in different components remain for the next round.
+one first. What is then in different components is compared in full where its sets
+are brought together, and only the links that join components leave the task: no
+pairs are listed, however many there are.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ PRINTS, WIDTH, STARTS = 4, 32, (0, 32)
 FAR = 20
 #: Texts of a variant whose pairs are listed at once, and those whose pairs a task counts.
 SMALL, RUN = 8, 8192
-#: Pairs to each text that are listed in the first round; pairs of a variant that are listed later; rounds before all are.
-FEW, LISTED, ROUNDS = 4, 20_000, 6
+#: Pairs to each text that a round may list; rounds of central texts before the others are compared in full.
+FEW, ROUNDS = 4, 1
+#: Texts and shingles of a variant that are one part, of which a task compares two in full.
+LISTED, SHINGLES = 8192, 1 << 20
 #: Nodes to a file.
 SLICE = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -178,13 +182,14 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.nda
         yield held[0], held[1:], False
 
 
-FOUND = "pair boolean, a long, b long"
+FOUND = "pair boolean, a long, b long, side byte"
 
 
-def _batch(pair: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _batch(pair: bool, a: np.ndarray, b: np.ndarray, side: np.ndarray | None = None) -> pa.RecordBatch:
     if pair and len(a):
         a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0).T
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), pair)), pa.array(np.ascontiguousarray(a).astype(np.int64)), pa.array(np.ascontiguousarray(b).astype(np.int64))], ["pair", "a", "b"])
+    side = np.zeros(len(a), np.int8) if side is None else side
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), pair)), pa.array(np.ascontiguousarray(a).astype(np.int64)), pa.array(np.ascontiguousarray(b).astype(np.int64)), pa.array(side.astype(np.int8))], ["pair", "a", "b", "side"])
 
 
 def _within(keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -201,7 +206,7 @@ def _within(keys: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """What meets in an equal segment: pairs of nodes (pair, a, b) where few do, else (not pair, key, node) of each; keys may name several segments of the same members."""
+    """What meets in an equal segment: pairs of nodes (pair, a, b, 0) where few do, else (not pair, key, node, 0) of each; keys may name several segments of the same members."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = segments(sets).select(F.col("seg").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key")
 
@@ -233,10 +238,11 @@ def meetings(sets: DataFrame) -> DataFrame:
 
 
 def crossings(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(not pair, key, node) of what meets under a variant of segments that differ, after ``meetings`` was followed.
+    """(not pair, key, node, side) of what meets under a variant of segments that differ, after ``meetings`` was followed.
 
     Equal segments have been compared, so a node appears only if the other segment
-    holds a node of another component than its own.
+    holds a node of another component than its own, and is compared with those of
+    the other ``side`` alone: 1 has the wildcard bit unset, 2 set.
     """
     rooted = sets.withColumn("root", F.col("node")) if roots is None else sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = store.keep(rooted.select("node", "root", "prints"), "rooted")
@@ -245,9 +251,9 @@ def crossings(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
     side = lambda s: span.select(F.col("seg").alias(s), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
     apart = variants(span.select("seg")).join(side("low"), "low").join(side("high"), "high").where(F.least("x_low", "x_high") < F.greatest("y_low", "y_high"))
     apart = store.keep(apart, "apart")
-    across = lambda s, o: apart.select("key", F.col(s).alias("seg"), F.col(f"x_{o}").alias("x"), F.col(f"y_{o}").alias("y"))
-    found = across("low", "high").unionByName(across("high", "low")).join(held, "seg").where("x <> root OR y <> root")
-    return store.keep(found.select(F.lit(False).alias("pair"), F.col("key").alias("a"), F.col("node").alias("b")), "crossings")
+    across = lambda s, o, k: apart.select("key", F.col(s).alias("seg"), F.col(f"x_{o}").alias("x"), F.col(f"y_{o}").alias("y"), F.lit(k).cast("byte").alias("side"))
+    found = across("low", "high", 1).unionByName(across("high", "low", 2)).join(held, "seg").where("x <> root OR y <> root")
+    return store.keep(found.select(F.lit(False).alias("pair"), F.col("key").alias("a"), F.col("node").alias("b"), "side"), "crossings")
 
 
 def _near(n: np.ndarray, m: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -255,6 +261,11 @@ def _near(n: np.ndarray, m: np.ndarray, f: np.ndarray, g: np.ndarray) -> np.ndar
     return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.bitwise_count(f ^ g) <= FAR)
 
 
+def _other(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether two sides are to be compared: those of an equal segment, 0, or of two that differ."""
+    return (s != t) | (s == 0)
+
+
 def _centre(sketch: np.ndarray, root: np.ndarray, k: int) -> int:
     """The place of a member outside the largest component whose fingerprint is near to what most of those have: the ``k``-th nearest.
 
@@ -268,24 +279,25 @@ def _centre(sketch: np.ndarray, root: np.ndarray, k: int) -> int:
 
 
 def open_pairs(held: DataFrame, k: int) -> DataFrame:
-    """Of (key, node, n, sketch, root): pairs in different components that may be alike, and the members of variants that still have others.
+    """Of (key, node, n, sketch, root, side): pairs in different components that may be alike, and the members of variants that still have others.
 
-    A variant with few such pairs has them all listed; of one with many, those of its centre.
+    A variant with few such pairs has them all listed; of one with many, those of its
+    centre, so that the pairs are at most ``FEW`` times the members.
     """
     parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = held.select("key", F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "sketch", "root").repartition(parts, "key").sortWithinPartitions("key", "h")
+    ordered = held.select("key", F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "sketch", "root", "side").repartition(parts, "key").sortWithinPartitions("key", "h")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None
-        for key, (_, node, n, sketch, root), long in _runs(batches, RUN):
+        for key, (_, node, n, sketch, root, side), long in _runs(batches, RUN):
             sketch = np.ascontiguousarray(sketch).view(np.uint64)
             if long:
                 if lead is None or lead[0] != key[0]:
                     c = _centre(sketch, root, k)
-                    lead = (key[0], node[c], n[c], sketch[c], root[c])
-                hit = (root != lead[4]) & _near(n, lead[2], sketch, lead[3])
+                    lead = (key[0], node[c], n[c], sketch[c], root[c], side[c])
+                hit = (root != lead[4]) & _other(side, lead[5]) & _near(n, lead[2], sketch, lead[3])
                 yield _batch(True, np.full(int(hit.sum()), lead[1]), node[hit])
-                yield _batch(False, key, node)
+                yield _batch(False, key, node, side)
                 continue
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             a, b, again = [], [], []
@@ -294,11 +306,11 @@ def open_pairs(held: DataFrame, k: int) -> DataFrame:
                     continue
                 left, right, count = [], [], 0
                 for i in range(s, e - 1):
-                    hit = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & _near(n[i + 1 : e], n[i], sketch[i + 1 : e], sketch[i]))
+                    hit = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & _other(side[i + 1 : e], side[i]) & _near(n[i + 1 : e], n[i], sketch[i + 1 : e], sketch[i]))
                     count += len(hit)
-                    if count > max(FEW * (e - s), LISTED if k else 0) and k < ROUNDS:
+                    if count > FEW * (e - s):
                         c = s + _centre(sketch[s:e], root[s:e], k)
-                        hit = s + np.flatnonzero((root[s:e] != root[c]) & _near(n[s:e], n[c], sketch[s:e], sketch[c]))
+                        hit = s + np.flatnonzero((root[s:e] != root[c]) & _other(side[s:e], side[c]) & _near(n[s:e], n[c], sketch[s:e], sketch[c]))
                         left, right = [np.full(len(hit), node[c])], [node[hit]]
                         again.append((s, e))
                         break
@@ -310,7 +322,7 @@ def open_pairs(held: DataFrame, k: int) -> DataFrame:
                 yield _batch(True, np.concatenate(a), np.concatenate(b))
             if again:
                 at = np.concatenate([np.arange(s, e) for s, e in again])
-                yield _batch(False, key[at], node[at])
+                yield _batch(False, key[at], node[at], side[at])
 
     with store.short_rows(held.sparkSession):
         return store.keep(ordered.mapInArrow(find, FOUND), "open")
@@ -361,6 +373,53 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return store.keep(pairs.join(a, "a").join(b, "b").where(5 * both >= 4 * (F.size("_a") + F.size("_b") - both)).select("a", "b"), "alike")
 
 
+def joining(group: pa.Table) -> pa.Table:
+    """(a, b) of a group of (part, node, n, sketch, root, side, shingles), low and high the same throughout, that are alike: one of each two components that such pairs join.
+
+    Of two parts only members of different ones are compared. Each member is compared
+    at once with all later ones that are not in its component by then.
+    """
+    get = lambda c: group.column(c).to_numpy()
+    part, node, n, root, side, sketch = (*map(get, ("part", "node", "n", "root", "side")), np.ascontiguousarray(get("sketch")).view(np.uint64))
+    values = group.column("shingles").combine_chunks().flatten().to_numpy()
+    start = np.concatenate(([0], np.cumsum(n)))
+    values = np.unique(values, return_inverse=True)[1]
+    label, seen = np.unique(root, return_inverse=True)[1], np.zeros(int(values.max(initial=-1)) + 1, bool)
+    one = group.column("low")[0].as_py() == group.column("high")[0].as_py()
+    a, b = [], []
+    for i in range(len(node) - 1):
+        later = slice(i + 1, None)
+        at = (label[later] != label[i]) & _other(side[later], side[i]) & _near(n[later], n[i], sketch[later], sketch[i])
+        at = i + 1 + np.flatnonzero(at if one else at & (part[later] != part[i]))
+        if not len(at):
+            continue
+        own, ends = values[start[i] : start[i + 1]], np.cumsum(n[at])
+        seen[own] = True
+        places = np.repeat(start[at] - (ends - n[at]), n[at]) + np.arange(ends[-1])
+        both = np.add.reduceat(seen[values[places]], ends - n[at], dtype=np.int64)
+        seen[own] = False
+        at = at[5 * both >= 4 * (n[i] + n[at] - both)]
+        found, first = np.unique(label[at], return_index=True)
+        a.append(np.full(len(found), node[i]))
+        b.append(node[at[first]])
+        label[np.isin(label, found)] = label[i]
+    ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    return pa.table({"a": pa.array(np.minimum(*ends)), "b": pa.array(np.maximum(*ends))})
+
+
+def settled(held: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) that are alike and join components, over all pairs of each key in ``held`` (as ``open_pairs`` has it).
+
+    A key with many texts or shingles is cut into parts, and each two of its parts are
+    a group of their own; a group's links are fewer than its members.
+    """
+    size = held.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LISTED), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    dealt = held.join(size, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "_with").alias("low"), F.greatest("part", "_with").alias("high"), "part", "node", "n", "sketch", "root", "side")
+    return store.keep(dealt.join(sets, "node").groupBy("key", "low", "high").applyInArrow(joining, "a long, b long").distinct(), "settled")
+
+
 #: What ``links`` knows: (node, root), (node, shingles) fetched so far, and the (a, b) that are alike; None where there are none.
 State = tuple[DataFrame | None, DataFrame | None, DataFrame | None]
 
@@ -369,47 +428,56 @@ def links(met: DataFrame, known: DataFrame, docs: DataFrame, state: State = (Non
     """The state after the pairs of ``met`` are followed: components that a similarity of 0.8 or more makes; lone nodes do not appear.
 
     ``known`` holds (node, n, sketch) of every node, ``met`` what ``meetings`` or ``crossings`` found.
-    Variants with more than ``RUN`` members that are still open after the last round
-    have their pairs listed by a join, which Spark splits where one is common.
+    After ``ROUNDS`` of central texts the variants that are still open are compared in full.
     """
     of = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"f_{x}"))
     near = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b"))) <= FAR)
     pairs = met.where("pair").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
-    members = store.keep(met.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("node")).distinct(), "members")
+    member = lambda df: df.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("node"), "side")
+    members = store.keep(member(met).distinct(), "members")
     roots, sets, found = state
-    for k in range(ROUNDS + 2):
+
+    def fetch(asked: DataFrame) -> None:
+        nonlocal sets
+        if sets is not None:
+            asked = asked.join(sets.select("node"), "node", "left_anti")
+        fetched = whole_sets(docs, asked)
+        sets = fetched if sets is None else sets.unionByName(fetched)
+
+    def follow(new: DataFrame) -> None:
+        nonlocal roots, found
+        found = new if found is None else found.unionByName(new)
+        if not new.isEmpty():
+            roots = store.keep(cc.components(found).distinct(), "roots")
+
+    for k in range(ROUNDS + 1):
         left = not members.isEmpty()
         if left:
             held = members.join(known, "node")
             held = held.withColumn("root", F.col("node")) if roots is None else held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             if k:  # variants whose members are all in one component are done
                 held = held.join(held.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "key")
-            if k > ROUNDS:
-                side = lambda x: held.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"f_{x}"), F.col("root").alias(f"r_{x}"))
-                more = side("a").join(side("b"), "key").where(near & (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b"))).select("a", "b")
-            else:
+            if k < ROUNDS:
                 opened = open_pairs(held, k)
                 more = opened.where("pair").select("a", "b")
-                members = opened.where("NOT pair").select(F.col("a").alias("key"), F.col("b").alias("node"))
-            pairs = more if pairs is None else pairs.unionByName(more)
-        if pairs is None:
-            break
-        pairs = store.keep(pairs.distinct(), "pairs")
-        if not pairs.isEmpty():
-            asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-            if left and not k:  # and of what later rounds may ask for, so that texts are read once
-                asked = asked.unionByName(members.select("node")).distinct()
-            if sets is not None:
-                asked = asked.join(sets.select("node"), "node", "left_anti")
-            fetched = whole_sets(docs, asked)
-            sets = fetched if sets is None else sets.unionByName(fetched)
-            new = _alike(pairs, sets)
-            found = new if found is None else found.unionByName(new)
-            if not new.isEmpty():
-                roots = store.keep(cc.components(found).distinct(), "roots")
-        pairs = None
+                pairs = more if pairs is None else pairs.unionByName(more)
+                members = member(opened)
+            else:
+                held = store.keep(held.select("key", "node", "n", "sketch", "root", "side"), "held")
+        if pairs is not None:
+            pairs = store.keep(pairs.distinct(), "pairs")
+            if not pairs.isEmpty():
+                asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+                if left and not k:  # and of what later rounds may ask for, so that texts are read once
+                    asked = asked.unionByName(members.select("node")).distinct()
+                fetch(asked)
+                follow(_alike(pairs, sets))
+            pairs = None
         if not left:
             break
+        if k == ROUNDS and not held.isEmpty():
+            fetch(held.select("node").distinct())
+            follow(settled(held, sets))
     return roots, sets, found
 
 

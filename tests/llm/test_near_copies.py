@@ -120,3 +120,43 @@ def test_copies_of_one_text_that_are_not_alike_among_themselves(spark, monkeypat
         monkeypatch.setattr(nearcopies, "LISTED", 10)
         monkeypatch.setattr(nearcopies, "FEW", 1)
         assert {i for i, _ in kept(spark, rows)} == want
+
+
+def test_rows_made_grow_no_faster_than_a_group(spark):
+    """A large group whose members are in components of their own: later rounds list no more pairs than the first."""
+    for size in (100, 200):
+        held = spark.range(size).selectExpr("1L AS key", "id AS node", "100L AS n", "0L AS sketch", "id AS root", "CAST(0 AS BYTE) AS side")
+        for k in (0, 1):
+            assert nearcopies.open_pairs(held, k).count() <= (nearcopies.FEW + 1) * size
+
+
+def test_settled_joins_what_brute_force_joins(spark, monkeypatch):
+    r, base = random.Random(12), list(range(100))
+    sets = {}
+    for node in range(80):
+        own = set(base[: r.choice([60, 100])])
+        own -= set(r.sample(sorted(own), r.randint(0, 9)))
+        sets[node] = sorted(own | {1000 + 100 * node + k for k in range(r.randint(0, 9))})
+    side = {1: lambda _: 0, 2: lambda node: 1 + node % 3 // 2}
+    held = [(key, node, len(own), 0, node if node % 10 else 5, side[key](node)) for key in side for node, own in sets.items() if key == 1 or node < 50]
+    held = spark.createDataFrame(held, "key bigint, node bigint, n bigint, sketch bigint, root bigint, side byte")
+    held = held.unionByName(held.where("key = 2").withColumn("key", held["key"] + 1))
+    known = spark.createDataFrame(list(sets.items()), "node bigint, shingles array<bigint>")
+
+    def joined(links: list[tuple], nodes: range) -> list[int]:
+        label = {node: node if node % 10 else 5 for node in nodes}
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = {node: min(x, y) if v in (x, y) else v for node, v in label.items()}
+        return list(label.values())
+
+    pairs = lambda nodes, sides: [(a, b) for a, b in itertools.combinations(nodes, 2) if sides(a, b) and alike(frozenset(sets[a]), frozenset(sets[b]))]
+    apart = pairs(range(50), lambda a, b: side[2](a) != side[2](b))
+    for listed, shingles_of_part in ((8192, 1 << 20), (10, 1 << 20), (8192, 1000)):
+        monkeypatch.setattr(nearcopies, "LISTED", listed)
+        monkeypatch.setattr(nearcopies, "SHINGLES", shingles_of_part)
+        for where, nodes, want in (("key = 1", range(80), pairs(range(80), lambda a, b: True)), ("key > 1", range(50), apart)):
+            got = [tuple(x) for x in nearcopies.settled(held.where(where), known).collect()]
+            assert set(got) <= set(want) and joined(got, nodes) == joined(want, nodes) and 2 < len(set(joined(want, nodes))) < len(nodes) - 10
+            if listed == 8192 and shingles_of_part == 1 << 20:
+                assert len(got) < len(nodes) <= len(want)
