@@ -124,3 +124,25 @@ def test_common_trigrams_are_not_looked_up(spark):
     assert len(row[0]["x"]) == row[0]["m"] == 10 and set(row[0]["x"][-4:]) == {known[g] for g in trigrams("kho")} and row[0]["x"] == sorted(row[0]["x"])
     assert len(row[1]["x"]) == 4 and row[1]["m"] == 8
     assert spark.range(1).select(simjoin.prefix(F.lit(10), F.lit(0.5))).first()[0] == 6
+
+
+def test_rows_of_one_text_are_spread_after_the_joins(spark):
+    """The join of what is alike with the rows puts out texts, not all pairs of their rows; a score is taken of texts too."""
+    rows = lambda key: spark.createDataFrame([(None if i == 7 else i % 50, f"kho {w}") for w in ("alpha", "bravo") for i in range(60)], f"{key} bigint, name string").repartition(2)
+    df = simjoin.threshold_join(rows("a"), rows("b"), "a", "b", "name", 0.9, score=F.col("sim") * 2)
+    keys = [None if i == 7 else i % 50 for i in range(60)]
+    key = lambda t: (t[0] is None, t[0] or 0, t[1] is None, t[1] or 0)
+    assert sorted((tuple(x) for x in df.collect()), key=key) == sorted([(a, b, 2.0) for a in keys for b in keys] * 2, key=key)
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(p.plan())
+        else:
+            if "Join" in name and "_right#" in p.leftKeys().toString():
+                made.append(p.metrics().get("numOutputRows").get().value())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert made and max(made) <= 2 * 2 * 2 * 2
