@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from addrloom.operators import stages
+
 # Weights of the seven terms, and the least confidence of each way of review.
 TERMS = {"exact": 10.0, "fuzzy": 8.0, "hierarchy": 12.0, "order": 5.0, "geo": 6.0, "alias": 4.0, "popularity": 2.0}
 REVIEW = (("auto_accept", 0.95), ("light_review", 0.80), ("review", 0.60))
@@ -87,9 +89,16 @@ def candidate_graph(results: DataFrame) -> DataFrame:
 
 
 def calibrate(samples: DataFrame, features: list[str], label: str = "correct"):  # noqa: ANN201
-    """A logistic model of being right by numeric features, fitted over all samples; ``transform`` adds probability."""
-    from pyspark.ml import Pipeline
+    """A logistic model of being right by numeric features, fitted over all samples; ``transform`` adds probability.
+
+    The model is read back from the shared folder: a fitted one holds a summary of its
+    training, and by it the session, which no task can take once a query was observed.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol=label, maxIter=50)]).fit(samples)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol=label, maxIter=50)]).fit(samples)
+    path = f"{stages.shared_folder(samples.sparkSession)}/{fitted.uid}"
+    fitted.save(path)
+    return PipelineModel.load(path)

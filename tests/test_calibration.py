@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from addrloom.operators import calibration as cal
+from addrloom.operators import extensions
 
 
 def by_definition(right, n):
@@ -46,3 +49,11 @@ def test_gaps_and_empty_tables(spark):
     assert {r["probability"] for r in cal.calibrated(asked, none, bins=10).collect()} == {None}
     with pytest.raises(ValueError, match="bins"):
         cal.binned(samples, bins=0)
+
+
+def test_a_trained_model_scores_after_an_observed_query(spark):
+    rows = spark.createDataFrame([(i / 40, int(i > 20)) for i in range(40)], "confidence double, correct int")
+    seen = Observation()
+    assert rows.observe(seen, F.count(F.lit(1)).alias("n")).count() == 40 and seen.get["n"] == 40
+    found = extensions.calibrate(rows, ["confidence"]).transform(rows).orderBy("confidence").collect()
+    assert found[0]["probability"][1] < 0.2 < 0.8 < found[-1]["probability"][1]
