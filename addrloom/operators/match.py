@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions import phonetic, text
-from addrloom.operators import simjoin
+from addrloom.operators import blocks, simjoin
 from addrloom.operators.stages import cut
 from addrloom.operators.tables import valid_at
 
@@ -105,6 +105,19 @@ def prefix_index(units: DataFrame, below_root: bool = False) -> PrefixIndex:
     return PrefixIndex(index, freq, simjoin.set_sizes(index))
 
 
+@dataclass(frozen=True)
+class NameIndex:
+    """Names of units below their parents, to be compared with all variants of the parent in blocks."""
+
+    names: DataFrame
+
+
+def name_index(units: DataFrame, below_root: bool = False) -> NameIndex:
+    """The same units as in ``index_units``, for many variants below few parents, whose names have trigrams in common."""
+    parent = F.lit(ROOT).cast("bigint") if below_root else F.coalesce("parent_id", F.lit(ROOT))
+    return NameIndex(units.where(F.col("ascii_name").isNotNull()).select(F.col("unit_type").alias("level"), parent.alias("parent"), F.col("id").alias("unit_id"), "ascii_name", "valid_from", "valid_to"))
+
+
 #: Units among which a search reads whole postings: fewer stages then weigh more than fewer candidates.
 FEW_UNITS = 2_000
 
@@ -155,19 +168,23 @@ def sounding(variants: DataFrame, sounds: DataFrame) -> DataFrame:
 
 
 def similar_broadcast(pairs: DataFrame, units: DataFrame, top: int | None = None) -> DataFrame:
-    """The same by comparing each variant with all names below its parent; for few names to a parent.
+    """The same by comparing each variant with all names below its parent; for few names to a parent, or a few best ones.
 
     With ``top`` a variant keeps its best names alone, and of each name the first units:
     the ``top`` best by similarity and id are among them.
     """
-    t = text.trigrams(F.col("variant"))
-    distinct = pairs.select("level", "parent", "variant").distinct().withColumn("t", t)
+    distinct = pairs.select("level", "parent", "variant").distinct()
     below = units.where(F.col("ascii_name").isNotNull()).select(F.col("id").alias("unit_id"), F.col("unit_type").alias("level"), F.explode(F.array_distinct(F.array(F.coalesce("parent_id", F.lit(ROOT)), F.lit(ROOT)))).alias("parent"), "ascii_name")
-    names = below.groupBy("level", "parent", "ascii_name").agg(F.min("unit_id").alias("first")).withColumn("u", text.trigrams(F.col("ascii_name")))
-    shared = F.size(F.array_intersect("t", "u"))
-    hits = distinct.join(names, ["level", "parent"]).withColumn("shared", shared).where("shared > 0").select("level", "parent", "variant", "ascii_name", "first", text.overlap(F.col("shared"), F.size("t"), F.size("u")).alias("sim"))
-    if top is not None:
-        hits = _first(hits, ["level", "parent", "variant"], [F.desc("sim"), F.col("first")], top)
+    names = below.groupBy("level", "parent", "ascii_name").agg(F.min("unit_id").alias("first"))
+    if top is None:
+        distinct, names = distinct.withColumn("t", text.trigrams(F.col("variant"))), names.withColumn("u", text.trigrams(F.col("ascii_name")))
+        shared = F.size(F.array_intersect("t", "u"))
+        hits = distinct.join(names, ["level", "parent"]).withColumn("shared", shared).where("shared > 0").select("level", "parent", "variant", "ascii_name", text.overlap(F.col("shared"), F.size("t"), F.size("u")).alias("sim"))
+    else:
+        day = F.lit(0).cast("int")
+        always = names.select("level", "parent", F.col("first").alias("unit_id"), "ascii_name", F.date_from_unix_date(day).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+        hits = blocks.best_names(distinct.withColumn("as_of", F.date_from_unix_date(day)), always, ["level", "parent"], top).withColumnRenamed("unit_id", "first")
+        hits = _first(hits, ["level", "parent", "variant"], [F.desc("sim"), F.col("first")], top).join(names, ["level", "parent", "first"])
         below = _first(below, ["level", "parent", "ascii_name"], [F.col("unit_id")], top)
     return hits.join(below, ["level", "parent", "ascii_name"]).select("level", "parent", "variant", "unit_id", "sim")
 
@@ -176,7 +193,7 @@ def _first(rows: DataFrame, key: list[str], order: list[Column], n: int) -> Data
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | None = None, sounds: DataFrame | None = None, below_root: bool = False) -> DataFrame:
+def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | NameIndex | None = None, sounds: DataFrame | None = None, below_root: bool = False) -> DataFrame:
     """(request, rank, unit, score) for requests (request, level, parent, as_of, threshold, variants).
 
     A unit's score is its best similarity above the threshold over the variants,
@@ -185,7 +202,8 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     without variants have no hits. The requests are read twice, so they had better
     come from a table or a cut stage, and so had the ``index`` (of ``index_units``;
     made here if it is not given). Where thousands of units stand below a parent, one
-    of ``prefix_index`` leaves out the postings of common trigrams. With ``sounds`` (of
+    of ``prefix_index`` leaves out the postings of common trigrams; one of ``name_index``
+    compares all names below a parent, for requests by the thousands to each. With ``sounds`` (of
     ``index_sounds``) units that sound like a variant are hits as well.
     """
     variants = requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant"))
@@ -193,7 +211,10 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     known = units.select(F.col("id").alias("unit_id"), unit.alias("unit"), "valid_from", "valid_to")
     if index is None:
         index = index_units(first_units(units, below_root), below_root)
-    hits = scored_best(variants, index, top) if isinstance(index, PrefixIndex) else scored(variants, index)
+    if isinstance(index, NameIndex):
+        hits = blocks.best_names(variants.select("level", "parent", "variant", "as_of").distinct(), index.names, ["level", "parent"], top)
+    else:
+        hits = scored_best(variants, index, top) if isinstance(index, PrefixIndex) else scored(variants, index)
     # Each name has at least one unit, so the best units of a variant have its best names, by the first unit's id.
     hits = _first(hits, ["level", "parent", "variant", "as_of"], [F.desc("sim"), F.col("unit_id")], top).withColumnRenamed("unit_id", "first")
     found = variants.join(hits, ["level", "parent", "variant", "as_of"]).where(F.col("sim") > F.col("threshold")).groupBy("request", "as_of", "first").agg(F.max("sim").alias("sim"))
