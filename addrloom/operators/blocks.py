@@ -113,6 +113,23 @@ def _best(mine: pa.Table, others: pa.Table, key: list[str], top: int) -> pa.Tabl
     return mine.select(key).take(pa.array(row)).append_column("unit_id", pa.array(ids)).append_column("sim", pa.array(sim))
 
 
+def dealt(left: DataFrame, right: DataFrame, block: list[str], left_by: list[str], right_by: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides, dealt by the hash of some columns to groups of a block in which all pairs of two groups meet, and what to group them by."""
+    of = lambda df, n: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias(n))
+    count = cut(of(left, "_nq").join(of(right, "_nr"), block))
+    if count.count() <= MANY:
+        count = F.broadcast(count)
+    groups = [*block, "_gq", "_gr"]
+    # As many tasks on either side, whatever the tables' sizes: it is the pairs that take time.
+    tasks = max(4 * left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(df: DataFrame, by: list[str], own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        rows = df.join(count, block).select(*df.columns, F.pmod(F.xxhash64(*by), F.col(own[1])).cast("int").alias(own[0]), F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)).alias(other[0]))
+        return rows.repartition(tasks, *groups)
+
+    return deal(left, left_by, ("_gq", "_nq"), ("_gr", "_nr")), deal(right, right_by, ("_gr", "_nr"), ("_gq", "_nq")), groups
+
+
 def best_names(asked: DataFrame, names: DataFrame, block: list[str], top: int) -> DataFrame:
     """(block, variant, as_of, unit_id, sim float): for distinct (block, variant, as_of) rows the ``top`` best (block, unit_id, ascii_name, valid_from, valid_to) rows valid on the day and of each pair of blocks, by similarity above 0, then by the smaller id.
 
@@ -121,19 +138,8 @@ def best_names(asked: DataFrame, names: DataFrame, block: list[str], top: int) -
     key = [*block, "variant", "as_of"]
     asked = asked.where(F.col("variant").isNotNull() & F.col("as_of").isNotNull()).select(*key, F.unix_date("as_of").alias("_day"))
     names = names.where(F.col("valid_from").isNotNull()).select(*block, "unit_id", "ascii_name", F.unix_date("valid_from").alias("_first"), F.coalesce(F.unix_date("valid_to"), F.lit(LAST_DAY)).alias("_last"))
-    of = lambda df, n: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias(n))
-    count = cut(of(asked, "_nq").join(of(names, "_nr"), block))
-    if count.count() <= MANY:
-        count = F.broadcast(count)
-    groups = [*block, "_q", "_r"]
-    # As many tasks on either side, whatever the tables' sizes: it is the pairs that take time. Trigrams are taken behind the shuffle.
-    tasks = max(4 * asked.sparkSession.sparkContext.defaultParallelism, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def deal(df: DataFrame, name: str, by: list[str], own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
-        rows = df.join(count, block).select(*df.columns, F.pmod(F.xxhash64(*by), F.col(own[1])).cast("int").alias(own[0]), F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)).alias(other[0]))
-        return rows.repartition(tasks, *groups).withColumn("t", text.trigram_codes(F.col(name)))
-
-    left = deal(asked, "variant", ["variant", "as_of"], ("_q", "_nq"), ("_r", "_nr"))
-    right = deal(names, "ascii_name", ["unit_id"], ("_r", "_nr"), ("_q", "_nq")).drop("ascii_name")
+    left, right, groups = dealt(asked, names, block, ["variant", "as_of"], ["unit_id"])
+    # Trigrams are taken behind the shuffle.
+    left, right = left.withColumn("t", text.trigram_codes(F.col("variant"))), right.select("*", text.trigram_codes(F.col("ascii_name")).alias("t")).drop("ascii_name")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*key).schema) + ", unit_id bigint, sim float"
     return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(lambda a, b: _best(a, b, key, top), out)

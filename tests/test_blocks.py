@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 
 from addrloom import registry
-from addrloom.operators import blocks, match
+from addrloom.operators import blocks, match, vectors
 from test_copies import calls
 from test_simjoin import sim, units
 
@@ -40,3 +40,36 @@ def test_no_join_puts_out_all_pairs(spark, tmp_path, name):
     assert df.count() == (300 if name == "fuzzy_topk_parent" else 1)
     df.collect()
     assert max(calls(df._jdf.queryExecution().executedPlan(), [])) <= 300
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distances_of_all_pairs():
+    r = random.Random(6)
+    made = lambda n: sorted({"".join(r.choices("abđ𝄞", k=r.randrange(n))) for _ in range(60)} | {"", "a", "aa"})
+    for n in (1, 9, 90):
+        left, right = made(n), made(7)
+        assert vectors.edit_distances(left, right).tolist() == [[_edits(a, b) for b in right] for a in left]
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_nearest_by_edits_either_way(spark, monkeypatch, few):
+    monkeypatch.setattr(vectors, "FEW_PAIRS", few)
+    monkeypatch.setattr(blocks, "GROUP", 20)
+    monkeypatch.setattr(blocks, "AT_ONCE", 500)
+    r = random.Random(7)
+    name = lambda: r.choice(["", "đà", f"Supplier#{r.randrange(99):05d}", None])
+    asked, names = [(name(), r.randrange(3)) for _ in range(90)], [(name(), r.randrange(2)) for _ in range(70)]
+    got = vectors.nearest_by_edits(spark.createDataFrame(asked, "query string, parent bigint"), spark.createDataFrame(names, "ascii_name string, parent bigint"), 3).collect()
+    want = set()
+    for q, p in set(asked):
+        every = sorted((None in (q, n), 0 if None in (q, n) else _edits(q, n), n is None, n or "") for n, up in names if up == p for _ in range(asked.count((q, p))))
+        want |= {(q, p, None if gone else n, None if null else d, rank) for rank, (null, d, gone, n) in enumerate(every[:3], 1)}
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
