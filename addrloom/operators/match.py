@@ -118,6 +118,43 @@ def name_index(units: DataFrame, below_root: bool = False) -> NameIndex:
     return NameIndex(units.where(F.col("ascii_name").isNotNull()).select(F.col("unit_type").alias("level"), parent.alias("parent"), F.col("id").alias("unit_id"), "ascii_name", "valid_from", "valid_to"))
 
 
+@dataclass(frozen=True)
+class AlikeIndex:
+    """Names of units below their parents, of which the best for a variant mostly are very much like it."""
+
+    names: DataFrame
+
+
+def alike_index(units: DataFrame, below_root: bool = False) -> AlikeIndex:
+    """The same units as in ``index_units``, for as many variants as names below a parent."""
+    return AlikeIndex(name_index(units, below_root).names)
+
+
+#: Similarities at which names are looked for in turn, until a variant has enough of them.
+STEPS = (0.55, 0.4)
+
+
+def scored_alike(pairs: DataFrame, index: AlikeIndex, top: int) -> DataFrame:
+    """The ``top`` best hits that ``scored`` gives for each variant, by similarity and id.
+
+    All names as similar as a step are found at it; who has ``top`` of them has its best.
+    """
+    key = ["level", "parent", "variant", "as_of"]
+    rows = cut(pairs.where(F.col("variant").isNotNull() & F.col("as_of").isNotNull()).groupBy(*key).agg(F.min("threshold").alias("least")))
+    last = max(rows.agg(F.min("least")).first()[0] or 0.0, 1e-9)
+    found = None
+    for step in (*[x for x in STEPS if x > last], last):
+        met = simjoin.alike(rows.select("level", "parent", F.col("variant").alias("_left")), index.names.select("level", "parent", F.col("ascii_name").alias("_right")), ["level", "parent"], step)
+        met = met.where(F.col("sim") >= F.lit(step).cast("float") * (1 - 1e-6)) if step == last else met.where(F.col("sim") >= F.lit(step).cast("float"))
+        hits = rows.join(met.withColumnRenamed("_left", "variant"), ["level", "parent", "variant"]).join(index.names.withColumnRenamed("ascii_name", "_right"), ["level", "parent", "_right"]).where(valid_at(F.col("as_of")))
+        best = cut(_first(hits, key, [F.desc("sim"), F.col("unit_id")], top).select(*key, "unit_id", "sim"))
+        if step != last:
+            full = best.groupBy(*key).count().where(F.col("count") >= top).select(*key)
+            rows, best = cut(rows.join(full, key, "left_anti")), best.join(full, key, "left_semi")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 #: Units among which a search reads whole postings: fewer stages then weigh more than fewer candidates.
 FEW_UNITS = 2_000
 
@@ -193,7 +230,7 @@ def _first(rows: DataFrame, key: list[str], order: list[Column], n: int) -> Data
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | NameIndex | None = None, sounds: DataFrame | None = None, below_root: bool = False) -> DataFrame:
+def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: int, index: DataFrame | PrefixIndex | NameIndex | AlikeIndex | None = None, sounds: DataFrame | None = None, below_root: bool = False) -> DataFrame:
     """(request, rank, unit, score) for requests (request, level, parent, as_of, threshold, variants).
 
     A unit's score is its best similarity above the threshold over the variants,
@@ -203,7 +240,8 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
     come from a table or a cut stage, and so had the ``index`` (of ``index_units``;
     made here if it is not given). Where thousands of units stand below a parent, one
     of ``prefix_index`` leaves out the postings of common trigrams; one of ``name_index``
-    compares all names below a parent, for requests by the thousands to each. With ``sounds`` (of
+    compares all names below a parent, for requests by the thousands to each, and one of
+    ``alike_index`` looks for very similar ones first. With ``sounds`` (of
     ``index_sounds``) units that sound like a variant are hits as well.
     """
     variants = requests.select("request", "level", F.coalesce("parent", F.lit(ROOT)).alias("parent"), "as_of", "threshold", F.explode(F.transform("variants", lambda v: F.lower(F.trim(v)))).alias("variant"))
@@ -213,6 +251,8 @@ def best_match(requests: DataFrame, units: DataFrame, aliases: DataFrame, top: i
         index = index_units(first_units(units, below_root), below_root)
     if isinstance(index, NameIndex):
         hits = blocks.best_names(variants.select("level", "parent", "variant", "as_of").distinct(), index.names, ["level", "parent"], top)
+    elif isinstance(index, AlikeIndex):
+        hits = scored_alike(variants, index, top)
     else:
         hits = scored_best(variants, index, top) if isinstance(index, PrefixIndex) else scored(variants, index)
     # Each name has at least one unit, so the best units of a variant have its best names, by the first unit's id.

@@ -156,3 +156,14 @@ def test_names_of_few_trigrams_meet_at_two(spark):
     full = {(a, b): s for a in range(400) for b in range(400) if (s := sim(f"cusomer#{a * 7:09d}", f"customer#{b * 7:09d}")) >= np.float32(0.6)}
     assert {(x["a"], x["b"]): x["sim"] for x in df.collect()} == full
     assert join_rows(df) == 0
+
+
+def test_the_best_of_names_of_few_trigrams(spark):
+    """Steps of similarity give the hits that comparing all gives, also where too few are very similar or not valid, and no join puts out all that share a trigram."""
+    r = random.Random(9)
+    table = units(spark, [(i, f"customer#{i * 37:09d}", None, date(2010, 1, 1) if i % 3 == 0 else None) for i in range(150)] + [(900 + i, n, None, None) for i, n in enumerate(["zz", "zzz q", "--"])])
+    asked = [(i, "ward", None, DAY, 0.3, [f"cusomer#{r.randrange(6000):09d}"]) for i in range(60)] + [(90, "ward", None, DAY, 0.3, ["zzz", None, ""])]
+    requests = spark.createDataFrame(asked, "request bigint, level string, parent bigint, as_of date, threshold double, variants array<string>")
+    none = spark.createDataFrame([], "alias string, unit_id bigint, weight double")
+    rows = lambda index: sorted((x["request"], x["rank"], x["unit"]["id"], x["score"]) for x in match.best_match(requests, table, none, 3, index).collect())
+    assert rows(match.alike_index(table)) == rows(match.index_units(table)) != []
